@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.core import bind, col, non_empty, or_empty, strings, strip
+from shelfmark.functions.core import bind, col, non_empty, or_empty, strip
 from shelfmark.refdata import TAG_ALIASES, TRUE_WORDS, VARIOUS_ARTISTS
 
 
-def first_tag(tags: Column | str, names: list[str]) -> Column:
-    """First value of the first named tag that has a non-empty one; ``''`` if none."""
-    bag = col(tags)
-    values = F.transform(strings(names), lambda n: F.get(F.try_element_at(bag, n), F.lit(0)))
-    return F.coalesce(F.get(F.filter(values, lambda v: v != ""), F.lit(0)), F.lit(""))
+def non_empty_tags(tags: Column | str) -> Column:
+    """Tags whose first value is not empty."""
+    return F.map_filter(col(tags), lambda _, v: F.get(v, F.lit(0)) != "")
+
+
+def first_tag(tags: Column | str, names: list[str], cleaned: bool = False) -> Column:
+    """First value of the first named tag that has a non-empty one; ``''`` if none.
+
+    Pass ``cleaned`` for a bag that went through ``non_empty_tags`` already.
+    """
+    bag = col(tags) if cleaned else non_empty_tags(tags)
+    return F.coalesce(*[bag[n][0] for n in names], F.lit(""))
 
 
 def extract_year(c: Column | str) -> Column:
@@ -99,9 +106,9 @@ def path_year(path: Column | str) -> Column:
 
 
 def attributes(tags: Column | str, aliases: dict[str, list[str]] | None = None) -> dict[str, Column]:
-    """Named columns read from a tag bag through the alias lists."""
+    """Named columns read through the alias lists from a bag that went through ``non_empty_tags``."""
     names = aliases or TAG_ALIASES
-    out = {k: first_tag(tags, v) for k, v in names.items()}
+    out = {k: first_tag(tags, v, cleaned=True) for k, v in names.items()}
     if "year" in out:
         out["year"] = extract_year(out["year"])
     if "track_number" in out:

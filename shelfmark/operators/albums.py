@@ -16,8 +16,9 @@ def extract_tracks(raw: DataFrame, aliases: dict[str, list[str]] | None = None)
 
     ``raw``: file_path, tags, technical.
     """
-    read = raw.select("file_path", "tags", "technical",
-                      *[c.alias(name) for name, c in tg.attributes("tags", aliases).items()])
+    known = raw.select("file_path", "tags", "technical", tg.non_empty_tags("tags").alias("known"))
+    read = known.select("file_path", "tags", "technical",
+                        *[c.alias(name) for name, c in tg.attributes("known", aliases).items()])
     read = read.withColumn("is_compilation", tg.is_compilation("compilation")).withColumn(
         "album_artist", tg.album_artist("artist", "album_artist", F.col("is_compilation")))
     return read.select(

@@ -16,7 +16,8 @@ CORRECTION_LIMIT = 98.0
 
 def source_rank(source: Column | str) -> Column:
     """Order in which sources win a tie; unknown sources come last."""
-    position = F.array_position(F.array(*[F.lit(s) for s in SOURCE_ORDER]), source)
+    name = F.col(source) if isinstance(source, str) else source
+    position = F.array_position(F.array(*[F.lit(s) for s in SOURCE_ORDER]), name)
     return F.when(position > 0, position).otherwise(len(SOURCE_ORDER) + 1)
 
 

@@ -16,6 +16,25 @@ BROADCAST_ROW_BOUND = 100_000
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+# Session settings that suit these operators. Wide expressions over tag bags and
+# rule tables generate methods past the size the JVM compiles; with the lower
+# limit Spark splits such expressions instead of fusing them into one method.
+# AQE is on by default and handles skewed joins and partition sizes.
+RECOMMENDED = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the recommended settings to a session."""
+    for key, value in RECOMMENDED.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 

@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _tuned(fn: Query) -> Query:
+    return lambda spark, sf_dir: fn(tune(spark), sf_dir)
+
+
 def registered() -> dict[str, tuple[Query, str | None]]:
     """Query name to (Spark function, SQL or None)."""
     from suite import q_albums, q_browse, q_genres, q_history, q_jobs, q_matching, q_quality, q_streaming, q_suggest
@@ -17,5 +23,5 @@ def registered() -> dict[str, tuple[Query, str | None]]:
         for name, pair in module.QUERIES.items():
             if name in out:
                 raise ValueError(f"query {name} registered twice")
-            out[name] = pair
+            out[name] = (_tuned(pair[0]), pair[1])
     return out
