@@ -33,5 +33,14 @@ def first_by(df: DataFrame, keys: list[str], rank: Column, keep: list[str] | Non
             .select(*keys, *[F.col("r")[c].alias(c) for c in rest]))
 
 
+def unnest(df: DataFrame, keep: list[str], items: Column, name: str) -> DataFrame:
+    """One row per non-null element of a computed list.
+
+    A plain ``explode`` makes the optimizer add a filter on the list's size and
+    push it below, so an expensive list would be computed twice.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))

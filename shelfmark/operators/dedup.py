@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as tx
 from shelfmark.refdata import DUPLICATE_THRESHOLD
+from shelfmark.session import materialize
 
 EPS = 1e-9
 
@@ -92,20 +93,47 @@ def similar_strings(left: DataFrame, right: DataFrame, max_loss: float, group: l
     one = shorter(left, "s1").join(longer(right, "s2"), on).select(*by, "s1", "s2")
     two = (longer(left, "s1").join(shorter(right, "s2"), on).where("length(s2) < length(s1)")
            .select(*by, "s1", "s2"))
-    sim = F.lit(1.0) - F.levenshtein("s1", "s2").cast("double") / F.greatest(
-        F.length("s1"), F.length("s2"), F.lit(1)).cast("double")
-    return (one.union(two).distinct().withColumn("sim", sim).where(F.lit(1.0) - F.col("sim") <= max_loss + EPS))
+    return _verified(one.union(two).distinct(), max_loss)
+
+
+def _verified(pairs: DataFrame, max_loss: float) -> DataFrame:
+    """Exact similarity of candidate pairs; the distance computation stops at the allowed distance."""
+    longest = "greatest(length(s1), length(s2))"
+    allowed = f"CAST(floor({longest} * {max_loss} + {EPS}) AS INT)"
+    near = pairs.where(F.expr(f"abs(length(s1) - length(s2)) <= {allowed}"))
+    found = near.withColumn("_d", F.expr(f"levenshtein(s1, s2, {allowed})")).where("_d >= 0")
+    return found.withColumn("sim", F.lit(1.0) - F.col("_d").cast("double") / F.greatest(
+        F.length("s1"), F.length("s2"), F.lit(1)).cast("double")).drop("_d")
+
+
+# A group of at most this many strings is compared directly: cheaper than blocking.
+DIRECT_GROUP = 64
+
+
+def similar_within(left: DataFrame, right: DataFrame, max_loss: float, group: str) -> DataFrame:
+    """``similar_strings`` inside groups: small groups directly, larger ones by pieces.
+
+    The direct comparison costs each left row at most ``DIRECT_GROUP``
+    distances. Groups beyond that, hot ones included, go through the blocking
+    join, so both ways together are exact for any group size.
+    """
+    big = right.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DIRECT_GROUP).select(group)
+    small = right.join(big, group, "left_anti").select(group, F.col("s").alias("s2"))
+    direct = _verified(left.select(group, F.col("s").alias("s1")).join(small, group), max_loss)
+    blocked = similar_strings(left.join(big, group, "left_semi"), right.join(big, group, "left_semi"), max_loss,
+                              [group])
+    return direct.unionByName(blocked)
 
 
 def _case(pairs: DataFrame, strict: str, loose: str, strict_weight: float, loose_weight: float, budget: float
           ) -> DataFrame:
     """Partners whose ``strict`` name is within half the budget and ``loose`` name within the whole."""
     names = pairs.select(F.col(strict).alias("s")).distinct()
-    close = similar_strings(names, names, budget / 2 / strict_weight)
+    close = materialize(similar_strings(names, names, budget / 2 / strict_weight), f"close-{strict}")
     left = (pairs.join(close.select(F.col("s1").alias(strict), F.col("s2").alias("partner")), strict)
             .select("partner", F.col(loose).alias("s")).distinct())
     right = pairs.select(F.col(strict).alias("partner"), F.col(loose).alias("s"))
-    other = similar_strings(left, right, budget / loose_weight, ["partner"])
+    other = similar_within(left, right, budget / loose_weight, "partner")
     # back to the pairs of albums: strict partner and loose partner must both hold
     first = pairs.select(F.col(strict).alias("x1"), F.col(loose).alias("y1"))
     hits = (first.join(close.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("sim").alias("x_sim")), "x1")
@@ -142,12 +170,13 @@ def duplicate_pairs(albums: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -
     Output: key1 < key2 (canonical album keys), similarity, members1, members2.
     With ``duplicate_members`` this holds every near-duplicate pair of the
     library: two albums match when they share a signature or their signatures
-    are listed here.
+    are listed here. Signatures and close names feed several branches and are
+    written to the shared folder once.
     """
     budget = 1.0 - threshold
     if budget / tx.ARTIST_WEIGHT >= 1 or budget / tx.TITLE_WEIGHT >= 1:
         raise ValueError("threshold too low for exact blocking")
-    sig = signatures(albums).where("a IS NOT NULL AND t IS NOT NULL AND n IS NOT NULL")
+    sig = materialize(signatures(albums).where("a IS NOT NULL AND t IS NOT NULL AND n IS NOT NULL"), "signatures")
     pairs = sig.select("a", "t").distinct()
     by_artist = _case(pairs, "a", "t", tx.ARTIST_WEIGHT, tx.TITLE_WEIGHT, budget)
     by_title = _case(pairs, "t", "a", tx.TITLE_WEIGHT, tx.ARTIST_WEIGHT, budget)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import genres as gx
 from shelfmark.functions.core import is_blank, or_empty, strip
 from shelfmark.operators import dedup
-from shelfmark.operators.common import one_row, percent
+from shelfmark.operators.common import one_row, percent, unnest
 from shelfmark.refdata import DUPLICATE_THRESHOLD, Taxonomy
 
 ISSUE_COLUMNS = ["issue_type", "severity", "album_key", "artist", "album", "description", "suggested_fix",
@@ -69,8 +69,8 @@ def value_rules(tax: Taxonomy, strict: bool = False) -> dict[str, ValueRule]:
 def value_findings(values: DataFrame, column: str, rules: dict[str, ValueRule]) -> DataFrame:
     """Findings of all rules for each value, one row per finding."""
     g = F.col(column)
-    every = F.filter(F.array(*[rule(g) for rule in rules.values()]), lambda x: x.isNotNull())
-    return values.select("*", F.explode(every).alias("f")).select(*values.columns, "f.*")
+    every = F.array(*[rule(g) for rule in rules.values()])
+    return unnest(values, values.columns, every, "f").select(*values.columns, "f.*")
 
 
 def genre_issues(albums: DataFrame, tax: Taxonomy, rules: dict[str, ValueRule] | None = None,
@@ -91,7 +91,7 @@ def artist_consistency(albums: DataFrame, tax: Taxonomy, strict: bool = False) -
     """Per artist: albums, albums with and without genres, distinct normalised genres."""
     sizes = albums.groupBy("artist").agg(F.count(F.lit(1)).alias("n_albums"),
                                          F.count_if(F.size("genres") > 0).alias("with_genres"))
-    spread = (albums.select("artist", F.explode(gx.normalize_list("genres", tax, strict)).alias("genre"))
+    spread = (unnest(albums, ["artist"], gx.normalize_list("genres", tax, strict), "genre")
               .groupBy("artist").agg(F.count_distinct("genre").alias("unique_genres")))
     return (sizes.join(spread, "artist", "left")
             .withColumn("unique_genres", F.coalesce("unique_genres", F.lit(0)))
@@ -110,8 +110,7 @@ def artist_issues(albums: DataFrame, tax: Taxonomy, strict: bool = False) -> Dat
         "missing_genres", "info",
         F.format_string("%d/%d albums missing genres (%.0f%%)", "without_genres", "n_albums", "percentage_missing"),
         "Add genres to albums based on artist's common genres", 80.0))
-    both = F.filter(F.array(many, lacking), lambda x: x.isNotNull())
-    return (checked.select("artist", F.explode(both).alias("f"))
+    return (unnest(checked, ["artist"], F.array(many, lacking), "f")
             .select("f.*", "artist", F.lit("").alias("album_key"), F.lit("").alias("album")).select(*ISSUE_COLUMNS))
 
 
@@ -153,7 +152,7 @@ def completeness_issues(albums: DataFrame) -> DataFrame:
             finding("suspicious_metadata", "warning", F.lit("Artist and album names are identical"),
                     "Verify metadata is correct").alias("f"),
             or_empty("artist").alias("artist"), or_empty("album").alias("album"))))
-    return (albums.select("album_key", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("x"))
+    return (unnest(albums, ["album_key"], rules, "x")
             .select("album_key", "x.f.*", "x.artist", "x.album").select(*ISSUE_COLUMNS))
 
 
@@ -171,7 +170,7 @@ def track_issues(albums: DataFrame, tracks: DataFrame) -> DataFrame:
             "multiple_artists", "info", F.format_string("Album has %d different track artists", "n_artists"),
             "Consider if this is a compilation album")))
     return (per_album.join(albums.select("album_key", "artist", "album"), "album_key")
-            .select("album_key", "artist", "album", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("f"))
+            .select("album_key", "artist", "album", F.explode_outer(rules).alias("f")).where("f IS NOT NULL")
             .select("album_key", "artist", "album", "f.*").select(*ISSUE_COLUMNS))
 
 

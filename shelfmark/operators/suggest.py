@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import genres as gx
-from shelfmark.functions.core import bind, col, no_strings, or_empty, strings, strip
+from shelfmark.functions.core import bind, col, list_map, no_strings, or_empty, strings, strip
 from shelfmark.functions.tags import path_year
-from shelfmark.operators.common import percent
+from shelfmark.operators.common import percent, unnest
 from shelfmark.refdata import ARTIST_KEYWORDS, COUNTRY_HINTS, ERAS, LABEL_HINTS, PATH_KEYWORDS, TITLE_KEYWORDS, \
     Taxonomy, era_df, hint_df
 
@@ -28,7 +28,7 @@ def artist_profiles(albums: DataFrame, tax: Taxonomy, strict: bool = False) -> D
     named = albums.select(strip("artist").alias("artist"), "genres").where("artist <> ''")
     sizes = named.groupBy("artist").agg(F.count(F.lit(1)).alias("total_albums"),
                                         F.count_if(F.size("genres") > 0).alias("albums_with_genres"))
-    counts = (named.select("artist", F.explode(gx.normalize_list("genres", tax, strict)).alias("genre"))
+    counts = (unnest(named, ["artist"], gx.normalize_list("genres", tax, strict), "genre")
               .groupBy("artist", "genre").agg(F.count(F.lit(1)).alias("n")))
     share = F.col("n") / F.col("albums_with_genres") * 100
     shared = counts.join(sizes, "artist").withColumn("share", share)
@@ -70,6 +70,32 @@ def artist_suggestion(albums: DataFrame, profiles: DataFrame) -> DataFrame:
     return albums.join(p, strip(albums["artist"]) == p["profile_artist"], "left").drop("profile_artist")
 
 
+_VOCABULARY: dict[tuple, dict[str, list[str]]] = {}
+
+
+def rule_vocabulary(tax: Taxonomy, words: list[str]) -> dict[str, list[str]]:
+    """Normalised list of each category the rules can name.
+
+    The rules name a few dozen fixed categories, so they are normalised once,
+    in one small job, instead of in every row.
+    """
+    key = (tax.to_json(), tuple(sorted(set(words))))
+    if key not in _VOCABULARY:
+        spark = SparkSession.active()
+        rows = spark.createDataFrame([(w,) for w in key[1]], "word string")
+        found = rows.select("word", gx.normalize_list(F.array("word"), tax).alias("names")).collect()
+        _VOCABULARY[key] = {r["word"]: list(r["names"]) for r in found}
+    return _VOCABULARY[key]
+
+
+def _spread(vocabulary: dict[str, list[str]], words: list[str]) -> list[str]:
+    return [name for w in words for name in vocabulary[w]]
+
+
+def _first_three(c: Column) -> Column:
+    return F.slice(gx.distinct_ignoring_case(F.array_sort(F.array_distinct(c))), 1, 3)
+
+
 def keyword_hits(path: Column | str, keywords: dict[str, list[str]] | None = None) -> Column:
     """(genre, keyword) for each genre with a keyword in the lower-cased path; its first keyword counts."""
     table = F.array(*[F.struct(F.lit(g).alias("genre"), strings(ws).alias("words"))
@@ -100,17 +126,25 @@ def with_era(df: DataFrame, year: str) -> DataFrame:
 
 def path_suggestion(path: Column | str, tax: Taxonomy, keywords: dict[str, list[str]] | None = None) -> Column:
     """Suggestion out of path keywords and the year in the path, or null."""
-    seen = F.struct(keyword_hits(path, keywords).alias("hits"), path_year(path).alias("year"))
+    table = keywords or PATH_KEYWORDS
+    vocabulary = rule_vocabulary(tax, [*table, *(g for *_, gs in ERAS for g in gs)])
+    names = list_map({g: _spread(vocabulary, [g]) for g in table})
+    seen = F.struct(keyword_hits(path, table).alias("hits"), path_year(path).alias("year"))
+
+    def era(year: Column) -> Column:
+        out = F.when(F.lit(False), no_strings())
+        for start, end, genres in ERAS:
+            out = out.when(year.between(start, end), strings(_spread(vocabulary, genres[:2])))
+        return F.coalesce(out, no_strings())
 
     def build(s: Column) -> Column:
-        era = F.coalesce(F.slice(era_genres(s["year"]), 1, 2), no_strings())
-        raw = F.concat(F.transform(s["hits"], lambda h: h["genre"]), era)
+        from_era = era(s["year"])
+        found = F.concat(F.flatten(F.transform(s["hits"], lambda h: F.try_element_at(names, h["genre"]))), from_era)
         reasons = F.concat(
             F.transform(s["hits"], lambda h: F.concat(F.lit("'"), h["keyword"], F.lit("' found in path"))),
-            F.when(F.size(era) > 0, F.array(F.concat(F.lit("era-based ("), s["year"].cast("string"), F.lit(")"))))
+            F.when(F.size(from_era) > 0, F.array(F.concat(F.lit("era-based ("), s["year"].cast("string"), F.lit(")"))))
             .otherwise(no_strings()))
-        genres = F.slice(gx.normalize_list(raw, tax), 1, 3)
-        return F.when(F.size(raw) > 0, bind(genres, lambda g: _suggestion(
+        return F.when(F.size(reasons) > 0, bind(_first_three(found), lambda g: _suggestion(
             g, F.least(F.lit(70), F.size(g) * 20 + 30),
             F.concat(F.lit("Directory analysis: "), F.array_join(reasons, ", ")), PATH)))
     return bind(seen, build)
@@ -126,9 +160,12 @@ def context_suggestion(artist: Column | str, album: Column | str, track_count: C
     n = F.coalesce(col(track_count), F.lit(0))
     who, title = F.lower(or_empty(artist)), F.lower(or_empty(album))
     rule = "struct<genres:array<string>,reason:string>"
+    vocabulary = rule_vocabulary(tax, ["Compilation", "Various Artists", "EP", "Single", "Hip Hop", "Electronic",
+                                       *(g for gs in TITLE_KEYWORDS.values() for g in gs)])
 
     def when(hit: Column, genres: list[str], reason: Column) -> Column:
-        return F.when(hit, F.struct(strings(genres).alias("genres"), reason.alias("reason"))).cast(rule)
+        names = strings(_spread(vocabulary, genres))
+        return F.when(hit, F.struct(names.alias("genres"), reason.alias("reason"))).cast(rule)
     by_artist = None
     for word in ARTIST_KEYWORDS:
         hit = _mentions(who, word, word_boundary)
@@ -144,9 +181,8 @@ def context_suggestion(artist: Column | str, album: Column | str, track_count: C
     ]
 
     def build(found: Column) -> Column:
-        genres = F.slice(gx.normalize_list(F.flatten(F.transform(found, lambda r: r["genres"])), tax), 1, 3)
         return F.when(F.size(found) > 0, _suggestion(
-            genres, F.least(F.lit(60), F.size(found) * 15 + 20),
+            _first_three(F.flatten(F.transform(found, lambda r: r["genres"]))), F.least(F.lit(60), F.size(found) * 15 + 20),
             F.concat(F.lit("Contextual analysis: "), F.array_join(F.transform(found, lambda r: r["reason"]), ", ")),
             CONTEXT))
     return bind(F.filter(F.array(*rules), lambda r: r.isNotNull()), build)
@@ -172,7 +208,7 @@ def with_suggestions(albums: DataFrame, tax: Taxonomy, profiles: DataFrame | Non
 
 def all_suggestions(albums: DataFrame, tax: Taxonomy) -> DataFrame:
     """One row per album and suggestion."""
-    return (with_suggestions(albums, tax).select("album_key", F.explode("suggestions").alias("s"))
+    return (unnest(with_suggestions(albums, tax), ["album_key"], F.col("suggestions"), "s")
             .select("album_key", "s.genres", "s.confidence", "s.reasoning", "s.source"))
 
 
@@ -205,8 +241,8 @@ def combine_suggestions(c: Column | str) -> Column:
 
 def best_suggestions(albums: DataFrame, tax: Taxonomy) -> DataFrame:
     """One combined suggestion per album that has any."""
-    return (with_suggestions(albums, tax).select("album_key", combine_suggestions("suggestions").alias("s"))
-            .where("s IS NOT NULL").select("album_key", "s.genres", "s.confidence", "s.reasoning", "s.source"))
+    return (unnest(with_suggestions(albums, tax), ["album_key"], F.array(combine_suggestions("suggestions")), "s")
+            .select("album_key", "s.genres", "s.confidence", "s.reasoning", "s.source"))
 
 
 def _gaps(albums: DataFrame, tax: Taxonomy) -> DataFrame:

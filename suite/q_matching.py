@@ -370,7 +370,8 @@ add("duplicate_pages",
     f"""SELECT least(k1, k2) AS key1, greatest(k1, k2) AS key2, round(similarity, 6) AS similarity
         FROM (SELECT x.album_key AS k1, y.album_key AS k2,
                      ({lev('x.artist', 'y.artist')}) * 0.4::double + ({lev('x.album', 'y.album')}) * 0.5::double
-                     + (1::double - abs(x.n - y.n)::double / greatest(x.n, y.n)::double) * 0.1::double AS similarity
+                     + CASE WHEN x.n > 0 AND y.n > 0 THEN 1::double - abs(x.n - y.n)::double
+                            / greatest(x.n, y.n)::double ELSE 0.5::double END * 0.1::double AS similarity
               FROM page_albums x JOIN page_albums y ON x.album_key < y.album_key) WHERE similarity >= 0.85::double""",
     {"page_albums": r"""
         SELECT CAST(page_id AS VARCHAR) AS album_key, regexp_extract(url, '^https?://([^/]+)/', 1) AS artist,

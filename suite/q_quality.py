@@ -1 +1,189 @@
+"""Quality rules, scores, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfmark.operators import quality as ql
+from suite import bindings as b
+
 QUERIES = {}
+C = "issue_type, severity, album_key, artist, album, description, suggested_fix, confidence"
+
+
+def add(name, fn, sql=None, extra=None):
+    QUERIES[name] = (fn, None if sql is None else b.with_sql(sql, extra))
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def issue(kind, severity, description, fix, where, confidence="100::double", source="used"):
+    return f"""SELECT '{kind}' AS issue_type, '{severity}' AS severity, album_key, artist, album,
+                      {description} AS description, {fix} AS suggested_fix, {confidence} AS confidence
+               FROM {source} WHERE {where}"""
+
+
+def lit(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+WORDS = r"string_split_regex(lower(trim(genre)), '\s+')"
+GENRE_SQL = " UNION ALL ".join([
+    issue("empty_genre", "warning", lit("Empty or whitespace-only genre"),
+          lit("Remove empty genre or replace with valid genre"), "trim(genre) = ''"),
+    issue("invalid_characters", "warning", "'Genre contains invalid characters: \"' || genre || '\"'",
+          lit("Remove special characters and normalize"), r"regexp_matches(genre, '[^\w\s\-&/().]')"),
+    issue("too_long", "info", "'Genre name is very long (' || length(genre) || ' chars): \"' || genre[1:30] || '...\"'",
+          lit("Use shorter, more standard genre name"), "length(genre) > 50"),
+    issue("numeric_only", "critical", "'Genre is numeric only: \"' || genre || '\"'",
+          lit("Replace with proper genre name"), r"regexp_full_match(trim(genre), '\d+')"),
+    issue("duplicate_words", "info", "'Genre has duplicate words: \"' || genre || '\"'", lit("Remove duplicate words"),
+          f"len({WORDS}) <> len(list_distinct({WORDS}))"),
+    issue("invalid_format", "warning", "'Genre has formatting issues: \"' || genre || '\"'",
+          lit("Clean up spacing and punctuation"), r"regexp_matches(genre, '/{2,}|&{2,}|\s{3,}')"),
+    issue("unknown_genre", "info", "'Unknown genre: \"' || genre || '\"'",
+          """'Consider mapping to: ' || coalesce((SELECT string_agg(g.genre, ', ' ORDER BY g.genre) FROM (
+                 SELECT v.genre FROM tax_valid v WHERE contains(lower(v.genre), lower(used.genre))
+                 ORDER BY v.genre LIMIT 3) g), '')""",
+          "genre IN (SELECT raw FROM canon WHERE canonical NOT IN (SELECT genre FROM tax_valid))", "50::double"),
+])
+USED = {
+    "used": "SELECT album_key, artist, album, genre FROM order_albums WHERE genre <> ''",
+    **b.names_sql("used", "genre"),
+    "genre_found": GENRE_SQL,
+}
+add("genre_issues",
+    lambda s, d: ql.genre_issues(b.order_albums(s, d), b.TAX),
+    f"SELECT {C} FROM genre_found", USED)
+
+P_USED = {**USED, "used": "SELECT album_key, artist, album, unnest(genres) AS genre FROM part_albums"}
+add("genre_issues_lists",
+    lambda s, d: ql.genre_issues(b.part_albums(s, d), b.TAX),
+    f"SELECT {C} FROM genre_found", P_USED)
+
+ARTISTS = {
+    **b.lists_sql("order_albums"),
+    "artist_facts": """
+        SELECT a.artist, count(DISTINCT a.album_key) AS n, count(DISTINCT a.album_key) FILTER (len(genres) > 0) AS w,
+               count(DISTINCT l.genre) AS u
+        FROM order_albums a LEFT JOIN norm_list l ON l.album_key = a.album_key GROUP BY 1""",
+    "artist_found": """
+        SELECT 'artist_inconsistency' AS issue_type, 'warning' AS severity, '' AS album_key, artist, '' AS album,
+               'Artist has ' || u || ' different genres across ' || w || ' albums' AS description,
+               'Review and standardize artist''s primary genres' AS suggested_fix, 70::double AS confidence
+        FROM artist_facts WHERE n >= 2 AND w >= 2 AND u > 10 AND w > 5
+        UNION ALL
+        SELECT 'missing_genres', 'info', '', artist, '', (n - w) || '/' || n || ' albums missing genres ('
+               || CAST(round((n - w) / n * 100) AS INTEGER) || '%)',
+               'Add genres to albums based on artist''s common genres', 80::double
+        FROM artist_facts WHERE n >= 2 AND w >= 2 AND (n - w) / n * 100 > 30""",
+}
+add("artist_consistency",
+    lambda s, d: ql.artist_consistency(b.order_albums(s, d), b.TAX).withColumn("percentage_missing",
+                                                                              r6("percentage_missing")),
+    """SELECT artist, n AS n_albums, w AS with_genres, u AS unique_genres, n - w AS without_genres,
+              round((n - w) / n * 100, 6) AS percentage_missing FROM artist_facts""", ARTISTS)
+
+add("artist_issues",
+    lambda s, d: ql.artist_issues(b.order_albums(s, d), b.TAX),
+    f"SELECT {C} FROM artist_found", ARTISTS)
+
+ROUGH = {
+    "rough_found": " UNION ALL ".join([
+        issue("missing_artist", "critical", lit("Missing artist name"),
+              lit("Add artist name from file metadata or directory"), "trim(coalesce(artist, '')) = ''",
+              source="(SELECT album_key, artist, coalesce(album, '') AS album FROM rough_albums)").replace(
+            "artist, album,\n", "'' AS artist, album,\n"),
+        issue("missing_album", "critical", lit("Missing album title"),
+              lit("Add album title from file metadata or directory"), "trim(coalesce(album, '')) = ''",
+              source="(SELECT album_key, coalesce(artist, '') AS artist, album FROM rough_albums)").replace(
+            "artist, album,\n", "artist, '' AS album,\n"),
+        issue("suspicious_metadata", "warning", lit("Artist and album names are identical"),
+              lit("Verify metadata is correct"), "same",
+              source="(SELECT album_key, coalesce(artist, '') AS artist, coalesce(album, '') AS album, "
+                     "artist IS NOT DISTINCT FROM album AS same FROM rough_albums)")]),
+}
+add("completeness_issues",
+    lambda s, d: ql.completeness_issues(b.rough_albums(s, d)),
+    f"SELECT {C} FROM rough_found", ROUGH)
+
+TRACKS = {
+    "track_facts": """
+        SELECT a.album_key, a.artist, a.album, count(*) AS n, count(*) FILTER (trim(title) = '') AS unnamed,
+               count(DISTINCT t.artist) AS who
+        FROM order_tracks t JOIN rough_albums a ON a.album_key = t.album_key GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+    "track_found": " UNION ALL ".join([
+        issue("missing_track_names", "warning", "unnamed || '/' || n || ' tracks missing names'",
+              lit("Add track names from file metadata"), "unnamed > 0", source="track_facts"),
+        issue("multiple_artists", "info", "'Album has ' || who || ' different track artists'",
+              lit("Consider if this is a compilation album"), "who > 3", source="track_facts")]),
+}
+add("track_issues",
+    lambda s, d: ql.track_issues(b.rough_albums(s, d), b.order_tracks(s, d)),
+    f"SELECT {C} FROM track_found", TRACKS)
+
+EVERY = {
+    **USED, **ARTISTS, "used": USED["used"],
+    "order_rough": "SELECT album_key, artist, album FROM order_albums WHERE artist = album",
+    "every": f"SELECT {C} FROM genre_found UNION ALL SELECT {C} FROM artist_found",
+}
+
+
+def issues(s, d):
+    return ql.all_issues(b.order_albums(s, d), None, b.TAX, duplicates=False)
+
+
+add("issue_summary",
+    lambda s, d: ql.issue_summary(issues(s, d)),
+    """SELECT 'total' AS level, 'all' AS name, count(*) AS n FROM every
+       UNION ALL SELECT 'severity', severity, count(*) FROM every GROUP BY severity
+       UNION ALL SELECT 'type', issue_type, count(*) FROM every GROUP BY issue_type""", EVERY)
+
+add("quality_scores",
+    lambda s, d: ql.scores(b.order_albums(s, d), issues(s, d)).select(
+        "total_albums", "albums_with_genres", "total_issues", "critical_issues", "warning_issues", "info_issues",
+        r6("quality_exact").alias("quality"), r6("consistency_exact").alias("consistency")),
+    """SELECT a.n AS total_albums, a.w AS albums_with_genres, t AS total_issues, c AS critical_issues,
+              wa AS warning_issues, i AS info_issues,
+              round(greatest(0::double, 100 - (c * 5 + wa * 2 + i * 0.5::double) / a.n), 6) AS quality,
+              round(greatest(0::double, a.w / a.n * 100 - k / a.n * 20), 6) AS consistency
+       FROM (SELECT count(*) AS n, count(*) FILTER (len(genres) > 0) AS w FROM order_albums) a,
+            (SELECT count(*) AS t, count(*) FILTER (severity = 'critical') AS c,
+                    count(*) FILTER (severity = 'warning') AS wa, count(*) FILTER (severity = 'info') AS i,
+                    count(*) FILTER (issue_type IN ('artist_inconsistency', 'unknown_genre', 'invalid_format')) AS k
+             FROM every) e""", EVERY)
+
+add("top_issues",
+    lambda s, d: ql.top_issues(issues(s, d)),
+    f"""SELECT {C} FROM every ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC,
+        confidence DESC, issue_type, album_key, artist, description LIMIT 20""", EVERY)
+
+add("duplicate_issues",
+    lambda s, d: ql.duplicate_issues(b.part_albums(s, d)).groupBy("album_key", "artist", "album", "severity").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.max("confidence")).alias("top")),
+    """SELECT key1 AS album_key, artist, album, 'warning' AS severity, count(*) AS n,
+              round(max(similarity * 100), 6) AS top
+       FROM sims JOIN part_albums ON album_key = key1 WHERE similarity >= 0.85::double GROUP BY 1, 2, 3""",
+    {"sims": __import__("suite.q_matching", fromlist=["PAIRS"]).PAIRS["sims"]})
+
+add("full_quality_run",
+    lambda s, d: ql.issue_summary(ql.all_issues(
+        b.part_albums(s, d), b.order_tracks(s, d).withColumn("album_key", F.lit(None).cast("string")), b.TAX)),
+    """SELECT 'total' AS level, 'all' AS name, count(*) AS n FROM run
+       UNION ALL SELECT 'severity', severity, count(*) FROM run GROUP BY severity
+       UNION ALL SELECT 'type', issue_type, count(*) FROM run GROUP BY issue_type""",
+    {**P_USED, "sims": __import__("suite.q_matching", fromlist=["PAIRS"]).PAIRS["sims"],
+     "lists_part": "SELECT 1",
+     **{k: v for k, v in b.lists_sql("part_albums").items() if k in ("items",)},
+     "i_canon_raw": f"SELECT DISTINCT item AS raw, {b.clean_sql('item')} AS cleaned FROM items",
+     "i_canon": b.names_sql("x", "y")["canon"].replace("canon_raw", "i_canon_raw"),
+     "i_known": "SELECT DISTINCT album_key, canonical AS genre FROM items JOIN i_canon ON item = raw",
+     "i_list": """SELECT album_key, genre FROM i_known
+                  UNION SELECT album_key, parent FROM i_known JOIN tax_parents ON child = genre""",
+     "p_facts": """SELECT a.artist, count(DISTINCT a.album_key) AS w, count(DISTINCT l.genre) AS u
+                   FROM part_albums a JOIN i_list l ON l.album_key = a.album_key GROUP BY 1""",
+     "run": """SELECT issue_type, severity FROM genre_found
+               UNION ALL SELECT 'artist_inconsistency', 'warning' FROM p_facts WHERE u > 10 AND w > 5
+               UNION ALL SELECT 'potential_duplicate', 'warning' FROM sims WHERE similarity >= 0.85::double"""})
