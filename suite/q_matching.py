@@ -373,7 +373,8 @@ add("duplicate_pages",
                      + CASE WHEN x.n > 0 AND y.n > 0 THEN 1::double - abs(x.n - y.n)::double
                             / greatest(x.n, y.n)::double ELSE 0.5::double END * 0.1::double AS similarity
               FROM page_albums x JOIN page_albums y ON x.album_key < y.album_key) WHERE similarity >= 0.85::double""",
-    {"page_albums": r"""
+    {"page_albums": "SELECT min(album_key) AS album_key, artist, album, n FROM page_rows GROUP BY 2, 3, 4",
+     "page_rows": r"""
         SELECT CAST(page_id AS VARCHAR) AS album_key, regexp_extract(url, '^https?://([^/]+)/', 1) AS artist,
                regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(
                    strip_accents(regexp_extract(html, '<title>([^<]*)</title>', 1)), '^(The|A|An)\s+', '', 'i'),
