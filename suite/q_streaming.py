@@ -1 +1,111 @@
+"""Streams over the event file, run to the end of what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfmark.operators.albums import fingerprint_text
+from shelfmark.session import scratch_path
+from shelfmark.streaming import progress as sp
+from shelfmark.streaming import registry as sr
+from suite import bindings as b
+
 QUERIES = {}
+
+
+def add(name, fn, sql=None, extra=None):
+    QUERIES[name] = (fn, None if sql is None else b.with_sql(sql, extra))
+
+
+def results(s, d):
+    """The job results as a stream of files."""
+    schema = b.table(s, d, "events").schema
+
+    class Source:  # the binding reads "events" through spark.read; here it is a stream
+        class read:
+            @staticmethod
+            def parquet(path):
+                return s.readStream.schema(schema).parquet(path.replace("events.parquet", "events*.parquet"))
+    return b.job_results(Source, d)
+
+
+def run(s, stream, mode, keys=None):
+    out = scratch_path(s, "stream")
+    sp.run_available(stream, f"{out}/rows", f"{out}/checkpoint", mode)
+    return sp.current(s, f"{out}/rows", keys) if keys else s.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def stamp(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+add("stream_job_progress",
+    lambda s, d: run(s, sp.job_progress(results(s, d)), "update", ["job_id"]).select(
+        "job_id", "processed", "successful", "failed", "needs_review", "skipped", "latest_album",
+        stamp("latest_at").alias("latest_at")),
+    """SELECT job_id, count(*) AS processed, count(*) FILTER (status IN ('completed', 'approved')) AS successful,
+              count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'needs_review') AS needs_review,
+              count(*) FILTER (status = 'skipped') AS skipped, arg_max(album_key, created_at) AS latest_album,
+              strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS latest_at FROM job_results GROUP BY 1""")
+
+add("stream_sliding_rate",
+    lambda s, d: run(s, sp.sliding_rate(results(s, d)), "update", ["job_id", "window_start"]).select(
+        "job_id", stamp("window_start").alias("window_start"), "n"),
+    """SELECT job_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n
+       FROM (SELECT job_id, unnest(generate_series(date_trunc('minute', created_at) - INTERVAL 4 MINUTES,
+                    date_trunc('minute', created_at), INTERVAL 1 MINUTE)) AS w FROM job_results) GROUP BY 1, 2""")
+
+add("stream_hourly_throughput",
+    lambda s, d: run(s, sp.hourly_throughput(results(s, d)), "update", ["hour"]).select(
+        stamp("hour").alias("hour"), "n", F.round("mean_confidence", 6).alias("mean_confidence")),
+    """SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n,
+              round(avg(confidence), 6) AS mean_confidence FROM job_results GROUP BY 1""")
+
+add("stream_activity_sessions",
+    lambda s, d: run(s, sp.activity_sessions(results(s, d)), "append").select(
+        "job_id", stamp("session_start").alias("session_start"), stamp("session_end").alias("session_end"), "n"),
+    """SELECT job_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS session_start,
+              strftime(max(created_at) + INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n
+       FROM (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY created_at) AS g
+             FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY job_id ORDER BY created_at)
+                          < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM job_results))
+       GROUP BY job_id, g HAVING max(created_at) + INTERVAL 30 MINUTES
+              <= (SELECT max(created_at) - INTERVAL 10 MINUTES FROM job_results)""")
+
+add("stream_first_results",
+    lambda s, d: run(s, sp.first_results(results(s, d), "40 days"), "append").select("job_id", "album_key").distinct(),
+    "SELECT DISTINCT job_id, album_key FROM job_results")
+
+
+def streamed_registry(s, d):
+    out = scratch_path(s, "registry")
+    files = results(s, d).select("album_key", "artist", "album", F.date_format(
+        "created_at", "yyyyMMddHHmmssSSSSSS").alias("file_path"))
+    sr.start_registry(files, f"{out}/state", f"{out}/checkpoint").awaitTermination()
+    return sr.latest_state(s, f"{out}/state")
+
+
+add("stream_registry",
+    lambda s, d: streamed_registry(s, d).select("album_key", "artist", "n_paths", fingerprint_text(
+        "n_paths", "hash_hi", "hash_lo").alias("file_hash")),
+    """SELECT album_key, artist, n AS n_paths, md5(n || '-' || hi || '-' || lo) AS file_hash
+       FROM (SELECT album_key, artist, count(*) AS n,
+                    sum(CAST(CAST('0x' || substr(m, 1, 15) AS BIGINT) AS HUGEINT)) AS hi,
+                    sum(CAST(CAST('0x' || substr(m, 16, 15) AS BIGINT) AS HUGEINT)) AS lo
+             FROM (SELECT album_key, artist, md5(strftime(created_at, '%Y%m%d%H%M%S%f')) AS m FROM job_results)
+             GROUP BY 1, 2)""")
+
+
+def streamed_cache(s, d):
+    out = scratch_path(s, "cache")
+    answers = results(s, d).select("artist", "album", F.col("status").alias("source"),
+                                   F.col("suggested_genres").alias("genres"), "confidence",
+                                   F.lit(1.0).alias("weight"))
+    sr.start_cache(answers, f"{out}/state", f"{out}/checkpoint", b.now).awaitTermination()
+    return sr.latest_state(s, f"{out}/state")
+
+
+add("stream_cache",
+    lambda s, d: streamed_cache(s, d).select("artist", "source", "cache_key"),
+    """SELECT DISTINCT artist, status AS source, md5(lower(artist) || '|' || lower(album) || '|' || status) AS cache_key
+       FROM job_results""")
