@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -21,22 +22,25 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def constant(value: object, schema: str) -> Column:
+    """A nested constant, written as one literal so that the plan stays small.
+
+    Catalyst folds it to a value once; a tree of one node per entry would be
+    walked by every analysis and optimizer rule.
+    """
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def strings(values: Iterable[str]) -> Column:
-    """Literal array of strings; folded to a constant by Catalyst."""
-    items = [F.lit(v) for v in values]
-    return F.array(*items) if items else F.expr("CAST(array() AS array<string>)")
+    return constant(list(values), "array<string>")
 
 
 def string_map(entries: dict[str, str]) -> Column:
-    if not entries:
-        return F.expr("CAST(map() AS map<string,string>)")
-    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
+    return constant(entries, "map<string,string>")
 
 
 def list_map(entries: dict[str, list[str]]) -> Column:
-    if not entries:
-        return F.expr("CAST(map() AS map<string,array<string>>)")
-    return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), strings(v))])
+    return constant(entries, "map<string,array<string>>")
 
 
 def no_strings() -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.core import bind, col, list_map, no_strings, string_map, strings, strip
+from shelfmark.functions.core import bind, col, constant, list_map, no_strings, string_map, strings, strip
 from shelfmark.functions.text import clean_category, title_case
 from shelfmark.refdata import SOURCE_GENRE_NAMES, Taxonomy
 
@@ -37,7 +37,7 @@ def parse_list(c: Column | str) -> Column:
 
 def _known(tax: Taxonomy, longest_first: bool) -> Column:
     names = sorted(tax.valid, key=lambda g: ((-len(g) if longest_first else len(g)), g))
-    return F.array(*[F.struct(F.lit(g.lower()).alias("lower"), F.lit(g).alias("name")) for g in names])
+    return constant([{"lower": g.lower(), "name": g} for g in names], "array<struct<lower:string,name:string>>")
 
 
 def partial_match(c: Column | str, tax: Taxonomy, min_len: int = 1) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import genres as gx
-from shelfmark.functions.core import strip
+from shelfmark.functions.core import no_strings, strip
 from shelfmark.functions.text import clean_category
 from shelfmark.operators.common import percent
 from shelfmark.refdata import Taxonomy
@@ -67,6 +67,22 @@ def normalize_values(df: DataFrame, column: str, tax: Taxonomy, out: str = "norm
             .withColumn(out, F.coalesce(out, F.lit(""))))
 
 
+def with_normalized(albums: DataFrame, tax: Taxonomy, strict: bool = False) -> DataFrame:
+    """Adds ``normalized`` (list with parents) and the numbers of its valid and invalid elements.
+
+    Many albums carry the same list, so each distinct list is normalised once
+    and joined back. Only distinct lists leave a task before the shuffle; AQE
+    broadcasts the result when its measured size allows and otherwise splits
+    lists that very many albums share.
+    """
+    own = albums.withColumn("genres", F.coalesce("genres", no_strings()))
+    lists = own.select("genres").distinct().withColumn("normalized", gx.normalize_list("genres", tax, strict))
+    checked = lists.withColumn("_v", gx.validate_list("normalized", tax, strict)).select(
+        F.col("genres").alias("_genres"), "normalized", F.size("_v.valid").alias("n_valid"),
+        F.size("_v.invalid").alias("n_invalid"))
+    return own.join(checked, F.col("genres") == F.col("_genres"), "left").drop("_genres")
+
+
 def category_counts(albums: DataFrame, tax: Taxonomy, strict: bool = False) -> DataFrame:
     """Distinct raw categories with their number of uses, canonical name and validity."""
     counts = albums.select(F.explode("genres").alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))

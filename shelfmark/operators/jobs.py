@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import genres as gx
 from shelfmark.operators.common import percent
+from shelfmark.operators.genres import with_normalized
 from shelfmark.refdata import AUTO_THRESHOLD, LOW_THRESHOLD, MEDIUM_THRESHOLD, SECONDS_PER_ALBUM, Taxonomy
 
 
@@ -61,11 +62,10 @@ PRIORITIES = {"high": 1, "medium": 2, "low": 3}
 
 def processing_candidates(albums: DataFrame, tax: Taxonomy) -> DataFrame:
     """Albums to process: no genres (high), mostly invalid (medium), some invalid (low)."""
-    checked = gx.validate_list(gx.normalize_list("genres", tax), tax)
-    n_valid, n_invalid = F.size("checked.valid"), F.size("checked.invalid")
+    n_valid, n_invalid = F.col("n_valid"), F.col("n_invalid")
     priority = (F.when(F.size("genres") <= 0, "high").when(n_invalid > n_valid, "medium").when(n_invalid > 0, "low"))
     rank = F.when(F.col("priority") == "high", 1).when(F.col("priority") == "medium", 2).otherwise(3)
-    return (albums.withColumn("checked", checked).withColumn("priority", priority).drop("checked")
+    return (with_normalized(albums, tax).withColumn("priority", priority).drop("normalized", "n_valid", "n_invalid")
             .where("priority IS NOT NULL").withColumn("priority_rank", rank))
 
 

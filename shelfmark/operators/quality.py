@@ -12,6 +12,7 @@ from shelfmark.functions import genres as gx
 from shelfmark.functions.core import is_blank, or_empty, strip
 from shelfmark.operators import dedup
 from shelfmark.operators.common import one_row, percent, unnest
+from shelfmark.operators.genres import with_normalized
 from shelfmark.refdata import DUPLICATE_THRESHOLD, Taxonomy
 
 ISSUE_COLUMNS = ["issue_type", "severity", "album_key", "artist", "album", "description", "suggested_fix",
@@ -91,7 +92,7 @@ def artist_consistency(albums: DataFrame, tax: Taxonomy, strict: bool = False) -
     """Per artist: albums, albums with and without genres, distinct normalised genres."""
     sizes = albums.groupBy("artist").agg(F.count(F.lit(1)).alias("n_albums"),
                                          F.count_if(F.size("genres") > 0).alias("with_genres"))
-    spread = (unnest(albums, ["artist"], gx.normalize_list("genres", tax, strict), "genre")
+    spread = (unnest(with_normalized(albums, tax, strict), ["artist"], F.col("normalized"), "genre")
               .groupBy("artist").agg(F.count_distinct("genre").alias("unique_genres")))
     return (sizes.join(spread, "artist", "left")
             .withColumn("unique_genres", F.coalesce("unique_genres", F.lit(0)))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import genres as gx
-from shelfmark.functions.core import bind, col, list_map, no_strings, or_empty, strings, strip
+from shelfmark.functions.core import bind, col, constant, list_map, no_strings, or_empty, strings, strip
 from shelfmark.functions.tags import path_year
 from shelfmark.operators.common import percent, unnest
+from shelfmark.operators.genres import with_normalized
 from shelfmark.refdata import ARTIST_KEYWORDS, COUNTRY_HINTS, ERAS, LABEL_HINTS, PATH_KEYWORDS, TITLE_KEYWORDS, \
     Taxonomy, era_df, hint_df
 
@@ -28,7 +29,7 @@ def artist_profiles(albums: DataFrame, tax: Taxonomy, strict: bool = False) -> D
     named = albums.select(strip("artist").alias("artist"), "genres").where("artist <> ''")
     sizes = named.groupBy("artist").agg(F.count(F.lit(1)).alias("total_albums"),
                                         F.count_if(F.size("genres") > 0).alias("albums_with_genres"))
-    counts = (unnest(named, ["artist"], gx.normalize_list("genres", tax, strict), "genre")
+    counts = (unnest(with_normalized(named, tax, strict), ["artist"], F.col("normalized"), "genre")
               .groupBy("artist", "genre").agg(F.count(F.lit(1)).alias("n")))
     share = F.col("n") / F.col("albums_with_genres") * 100
     shared = counts.join(sizes, "artist").withColumn("share", share)
@@ -98,8 +99,8 @@ def _first_three(c: Column) -> Column:
 
 def keyword_hits(path: Column | str, keywords: dict[str, list[str]] | None = None) -> Column:
     """(genre, keyword) for each genre with a keyword in the lower-cased path; its first keyword counts."""
-    table = F.array(*[F.struct(F.lit(g).alias("genre"), strings(ws).alias("words"))
-                      for g, ws in (keywords or PATH_KEYWORDS).items()])
+    table = constant([{"genre": g, "words": ws} for g, ws in (keywords or PATH_KEYWORDS).items()],
+                     "array<struct<genre:string,words:array<string>>>")
 
     def hits(text: Column) -> Column:
         found = F.transform(table, lambda k: F.struct(
@@ -246,11 +247,10 @@ def best_suggestions(albums: DataFrame, tax: Taxonomy) -> DataFrame:
 
 
 def _gaps(albums: DataFrame, tax: Taxonomy) -> DataFrame:
-    checked = gx.validate_list(gx.normalize_list("genres", tax), tax)
-    return (with_suggestions(albums, tax).withColumn("checked", checked)
+    return (with_normalized(with_suggestions(albums, tax), tax)
             .withColumn("has_genres", F.size("genres") > 0)
             .withColumn("has_suggestion", F.size("suggestions") > 0)
-            .withColumn("poor", F.col("has_genres") & (F.size("checked.invalid") > F.size("checked.valid"))))
+            .withColumn("poor", F.col("has_genres") & (F.col("n_invalid") > F.col("n_valid"))))
 
 
 def suggestion_gaps(albums: DataFrame, tax: Taxonomy) -> DataFrame:

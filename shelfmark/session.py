@@ -69,6 +69,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of an input that has fewer splits than the session has cores.
+
+    For small files read by compute-heavy expressions. Inputs with enough splits
+    are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hinted(df: DataFrame, known_rows: int) -> DataFrame:
     """Broadcast hint for a side whose size the driver already knows."""
     return F.broadcast(df) if known_rows <= BROADCAST_ROW_BOUND else df

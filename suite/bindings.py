@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.refdata import Taxonomy
+from shelfmark.session import spread
 
 TAX = Taxonomy.default()
 
@@ -89,7 +90,7 @@ def raw_genre() -> Column:
 
 
 def order_albums(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
+    orders = spread(table(spark, sf, "orders"))
     names = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
     sizes = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"))
@@ -131,7 +132,7 @@ def track_path() -> Column:
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey")
-    return table(spark, sf, "lineitem").join(part, "l_partkey").join(supplier, "l_suppkey")
+    return spread(table(spark, sf, "lineitem")).join(part, "l_partkey").join(supplier, "l_suppkey")
 
 
 def order_tracks(spark: SparkSession, sf: str) -> DataFrame:
