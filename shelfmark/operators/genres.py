@@ -12,25 +12,27 @@ from shelfmark.operators.common import percent
 from shelfmark.refdata import Taxonomy
 
 
-def _substrings(c: str) -> Column:
-    """All distinct substrings of a column."""
+def _substrings(c: str, longest: int) -> Column:
+    """All distinct substrings of a column up to a length."""
     return F.expr(f"""array_distinct(flatten(transform(sequence(1, length({c})), i ->
-        transform(sequence(1, length({c}) - i + 1), n -> substring({c}, i, n)))))""")
+        transform(sequence(1, least({longest}, length({c}) - i + 1)), n -> substring({c}, i, n)))))""")
 
 
 def partial_lookup(values: DataFrame, valid: DataFrame, min_len: int = 1) -> DataFrame:
     """Containment match of distinct texts with any number of valid names.
 
     "Contains" becomes an equi-join on substrings, so neither side has to be
-    small. Input: ``text`` (lower case); ``genre``. Output: text, genre, one
-    row per text that matches: a name inside the text wins, longest first;
-    else a name around it, shortest first.
+    small. Texts of any length only yield substrings as long as the longest
+    name. Input: ``text`` (lower case); ``genre``. Output: text, genre, one row
+    per text that matches: a name inside the text wins, longest first; else a
+    name around it, shortest first.
     """
+    longest = valid.agg(F.coalesce(F.max(F.length(F.lower("genre"))), F.lit(1))).first()[0]
     names = valid.select("genre", F.lower("genre").alias("lower")).where("lower <> ''")
     texts = values.where("trim(text) <> ''").select("text").distinct()
-    inside = (texts.select("text", F.explode(_substrings("text")).alias("lower")).join(names, "lower")
+    inside = (texts.select("text", F.explode(_substrings("text", longest)).alias("lower")).join(names, "lower")
               .select("text", "genre", F.lit(0).alias("tier"), (-F.length("genre")).alias("size")))
-    around = (names.select("genre", F.explode(_substrings("lower")).alias("text"))
+    around = (names.select("genre", F.explode(_substrings("lower", longest)).alias("text"))
               .where(F.length("text") >= min_len).join(texts, "text")
               .select("text", "genre", F.lit(1).alias("tier"), F.length("genre").alias("size")))
     best = F.min(F.struct("tier", "size", "genre")).alias("b")

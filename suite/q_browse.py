@@ -69,8 +69,8 @@ BLANK = {
 }
 for sort, order in BLANK.items():
     add(f"page_by_{sort}",
-        lambda s, d, sort=sort: br.album_page(b.rough_albums(s, d), 30, 200, sort).select("album_key", "artist", "album"),
-        f"SELECT album_key, artist, album FROM rough_albums ORDER BY {order} LIMIT 200 OFFSET 5800")
+        lambda s, d, sort=sort: br.album_page(b.rough_albums(s, d), 4, 200, sort).select("album_key", "artist", "album"),
+        f"SELECT album_key, artist, album FROM rough_albums ORDER BY {order} LIMIT 200 OFFSET 600")
 
 add("page_by_year",
     lambda s, d: br.album_page(b.part_albums(s, d), 3, 40, "year").select("album_key", "year"),
