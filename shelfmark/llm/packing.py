@@ -3,7 +3,7 @@
 Texts are tokenised and cut into pieces of at most ``capacity`` tokens. The plan needs only how many pieces each length
 has, at most ``capacity`` numbers however many documents there are, and is made on the driver:
 
-1. Lengths above ``capacity * LARGE_SHARE`` are large. In falling order they are split into a number of groups of equal
+1. Lengths above ``capacity * share`` are large. In falling order they are split into a number of groups of equal
    cardinality, and each length is rounded up to the largest of its group.
 2. With so few sizes, the configurations (which sizes share a sequence) are optimised by column generation: a linear
    programme over configurations whose new columns come from a knapsack over its prices; rounded down to whole sequences.
@@ -39,8 +39,9 @@ from shelfmark.llm.common import cut, one_table, raw_texts, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
-LARGE_SHARE = 1 / 3
-GROUPS = (16, 32, 64)  # each is tried; the plan with the fewest sequences is taken
+# Each pair of these is tried; the plan with the fewest sequences is taken.
+LARGE_SHARES = (1 / 4, 1 / 3, 1 / 2)
+GROUPS = (16, 32, 64)
 SALT_ROWS = 256
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 _KEEP_CHUNKS = 1 << 20
@@ -172,7 +173,7 @@ def configurations(sizes: list[int], demands: list[int], capacity: int) -> list[
     return [(basis[:, k].astype(int), int(used[k] + 1e-6)) for k in range(count) if used[k] >= 1 - 1e-6]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, large_share: float = LARGE_SHARE,
+def plan(counts: dict[int, int], capacity: int = CAPACITY, large_share: float = LARGE_SHARES[1],
          groups: int = GROUPS[0]) -> tuple[np.ndarray, int]:
     """Places for all pieces, and the number of sequences.
 
@@ -271,6 +272,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, large_share: float =
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5), opened
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """The plan with the fewest sequences over all LARGE_SHARES and GROUPS."""
+    return min((plan(counts, capacity, share, n) for share in LARGE_SHARES for n in GROUPS), key=lambda made: made[1])
+
+
 # ------------------------------------------------------------------ places of the pieces
 
 
@@ -294,7 +300,7 @@ def pack(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY, end_
     spark = docs.sparkSession
     made = cut(pieces(docs, path, capacity, end_id))
     counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most `capacity` rows
-    rows, _ = min((plan(counts, capacity, groups=n) for n in GROUPS), key=lambda made_plan: made_plan[1])
+    rows, _ = best_plan(counts, capacity)
     salts = spark.createDataFrame([(k, -(-n // salt_rows)) for k, n in counts.items()], "l long, salts long")
     numbered = (made.withColumn("uid", F.monotonically_increasing_id())  # stable: the checkpoint fixes the rows' order
                 .join(F.broadcast(salts), F.col("length") == F.col("l"))  # at most `capacity` rows
