@@ -148,10 +148,12 @@ def merge_preserving(existing: Column | str, new: Column | str) -> Column:
     return distinct_ignoring_case(F.concat(F.coalesce(col(existing), no_strings()), F.coalesce(col(new), no_strings())))
 
 
-def merge_for_update(original: Column | str, suggested: Column | str, tax: Taxonomy, limit: int = 5) -> Column:
-    """Original then suggested, normalised, then missing parents, first ``limit``."""
+def merge_for_update(original: Column | str, suggested: Column | str, tax: Taxonomy,
+                     limit: int | None = None) -> Column:
+    """Original then suggested, normalised, then missing parents; the first ``limit`` of them if one is given."""
     both = F.array_distinct(F.concat(normalize_list(original, tax), normalize_list(suggested, tax)))
-    return F.slice(bind(both, lambda b: expand_with_parents(b, tax)), 1, limit)
+    merged = bind(both, lambda b: expand_with_parents(b, tax))
+    return merged if limit is None else F.slice(merged, 1, limit)
 
 
 def list_diff(original: Column | str, suggested: Column | str, final: Column | str) -> Column:

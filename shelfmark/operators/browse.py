@@ -81,10 +81,6 @@ def sort_order(sort_by: str) -> list[Column]:
     return [*orders.get(sort_by, orders["artist"]), F.asc("album_key")]
 
 
-def clamp_page_size(n: int) -> int:
-    return max(10, min(200, n))
-
-
 def album_page(albums: DataFrame, page: int = 1, per_page: int = 50, sort_by: str = "artist") -> DataFrame:
     """One page of an already searched and filtered list."""
     return albums.orderBy(*sort_order(sort_by)).offset((page - 1) * per_page).limit(per_page)

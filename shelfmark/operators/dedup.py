@@ -145,9 +145,17 @@ def _case(pairs: DataFrame, strict: str, loose: str, strict_weight: float, loose
                        F.col("x_sim").alias(f"{strict}_sim"), F.col("y_sim").alias(f"{loose}_sim"))
 
 
+def _signature() -> list[Column]:
+    return [F.coalesce(F.lower("artist"), F.lit("")).alias("a"), F.coalesce(F.lower("album"), F.lit("")).alias("t"),
+            F.coalesce("track_count", F.lit(0)).alias("n")]
+
+
 def signatures(albums: DataFrame) -> DataFrame:
-    """Albums that the score cannot tell apart, as one row: names without case and track count."""
-    return (albums.groupBy(F.lower("artist").alias("a"), F.lower("album").alias("t"), F.col("track_count").alias("n"))
+    """Albums that the score cannot tell apart, as one row: names without case and track count.
+
+    An unknown name is an empty one and an unknown count is 0, which the score rates as half.
+    """
+    return (albums.groupBy(*_signature())
             .agg(F.min("album_key").alias("canonical_key"), F.count(F.lit(1)).alias("members")))
 
 
@@ -158,8 +166,7 @@ def duplicate_members(albums: DataFrame) -> DataFrame:
     score 1 and follow from these links.
     """
     sig = signatures(albums)
-    return (albums.select("album_key", "artist", "album", F.lower("artist").alias("a"), F.lower("album").alias("t"),
-                          F.col("track_count").alias("n"))
+    return (albums.select("album_key", "artist", "album", *_signature())
             .join(sig.where("members > 1"), ["a", "t", "n"]).where("album_key <> canonical_key")
             .select("album_key", "artist", "album", "canonical_key", "members"))
 
@@ -176,7 +183,7 @@ def duplicate_pairs(albums: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -
     budget = 1.0 - threshold
     if budget / tx.ARTIST_WEIGHT >= 1 or budget / tx.TITLE_WEIGHT >= 1:
         raise ValueError("threshold too low for exact blocking")
-    sig = materialize(signatures(albums).where("a IS NOT NULL AND t IS NOT NULL AND n IS NOT NULL"), "signatures")
+    sig = materialize(signatures(albums), "signatures")
     pairs = sig.select("a", "t").distinct()
     by_artist = _case(pairs, "a", "t", tx.ARTIST_WEIGHT, tx.TITLE_WEIGHT, budget)
     by_title = _case(pairs, "t", "a", tx.TITLE_WEIGHT, tx.ARTIST_WEIGHT, budget)

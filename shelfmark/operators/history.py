@@ -51,8 +51,10 @@ def apply_approvals(albums: DataFrame, results: DataFrame, approvals: DataFrame,
                     ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply approved results. Returns (albums, results, new version rows).
 
-    ``approvals``: album_key. The first change of an album also stores the state
-    before it, as version 0. ``versions`` supplies the last number per album.
+    ``approvals``: album_key; an album named several times is approved once. The
+    first change of an album also stores the state before it, as version 0.
+    ``versions`` supplies the last number per album. Results of an album that
+    has nothing to apply, or that isn't in ``albums``, keep waiting for review.
     """
     waiting = results.where("status = 'needs_review'").join(approvals.select("album_key"), "album_key", "left_semi")
     chosen = latest(waiting, ["album_key"], ["created_at", "job_id"],
@@ -82,7 +84,7 @@ def apply_approvals(albums: DataFrame, results: DataFrame, approvals: DataFrame,
         changed_fields("old", "new", ["artist", "album", "genre"]).alias("changed_fields"),
         F.lit("api_match").alias("changed_by"), "change_reason", F.lit(True).alias("is_current"))
     rows = first.unionByName(new).withColumn("created_at", now)
-    done = approvals.select("album_key", F.lit(True).alias("approved"))
+    done = joined.where(touched).select("album_key").distinct().withColumn("approved", F.lit(True))
     new_results = (results.join(done, "album_key", "left")
                    .withColumn("status", F.when(F.col("approved") & (F.col("status") == "needs_review"), "approved")
                                .otherwise(F.col("status"))).select(*results.columns))
@@ -129,13 +131,15 @@ def revert(albums: DataFrame, versions: DataFrame, requests: DataFrame, now: Col
            ) -> tuple[DataFrame, DataFrame]:
     """Restore albums to a stored version. Returns (albums, new version rows).
 
-    ``requests``: album_key, version_number. History only grows: the state
+    ``requests``: album_key, version_number. Of several requests for an album
+    the one for its highest stored version counts. History only grows: the state
     before the revert is stored, then the restored state as the new current
     version with the number it came from.
     """
     target = (versions.select("album_key", "version_number", F.col("snapshot").alias("target"))
-              .join(requests.select("album_key", "version_number"), ["album_key", "version_number"])
-              .withColumnRenamed("version_number", "target_number"))
+              .join(requests.select("album_key", "version_number"), ["album_key", "version_number"], "left_semi")
+              .groupBy("album_key").agg(F.max("version_number").alias("target_number"),
+                                        F.max_by("target", "version_number").alias("target")))
     joined = albums.join(target, "album_key", "left")
     hit = F.col("target").isNotNull()
     restored = {f: F.when(hit, F.col("target")[f]).otherwise(F.col(f)) for f in RESTORED_FIELDS}

@@ -25,16 +25,18 @@ def decision_reason(confidence: Column, threshold: Column | float = AUTO_THRESHO
             .otherwise(F.format_string("Very low confidence (%.1f%%) - no reliable match found", confidence)))
 
 
-def decide(results: DataFrame, tax: Taxonomy, threshold: float = AUTO_THRESHOLD) -> DataFrame:
+def decide(results: DataFrame, tax: Taxonomy, threshold: float = AUTO_THRESHOLD, genre_limit: int | None = None
+           ) -> DataFrame:
     """Adds status, final_genres and manual_review_reason to matched albums.
 
     ``results``: original_genres, suggested_genres, confidence and, optionally,
     error_message; rows with an error are ``failed`` and keep their genres.
+    ``genre_limit`` cuts the merged list; without it every genre is kept.
     """
     c = F.col("confidence")
     failed = F.col("error_message").isNotNull() if "error_message" in results.columns else F.lit(False)
     status = F.when(failed, "failed").otherwise(decision_status(c, threshold))
-    merged = gx.merge_for_update("original_genres", "suggested_genres", tax)
+    merged = gx.merge_for_update("original_genres", "suggested_genres", tax, genre_limit)
     return (results.withColumn("status", status)
             .withColumn("final_genres", F.when(F.col("status") == "completed", merged)
                         .otherwise(F.col("original_genres")))
@@ -50,10 +52,10 @@ def artist_range(df: DataFrame, span: str) -> DataFrame:
 
 
 def specific_album(df: DataFrame, wanted: str) -> DataFrame:
-    """The album named ``Artist,Album``, without case; a malformed name keeps every row."""
+    """The album named ``Artist,Album``, without case; a name without a comma is refused."""
     artist, comma, album = wanted.partition(",")
     if not comma:
-        return df
+        raise ValueError(f"not of the form 'Artist,Album': {wanted!r}")
     return df.where((F.lower("artist") == artist.strip().lower()) & (F.lower("album") == album.strip().lower()))
 
 

@@ -86,28 +86,35 @@ def _search_keys(artist: str, album: str) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("rank"), k.alias("key")) for i, k in enumerate(keys, start=1)])
 
 
-def tiered_search(entities: DataFrame, catalog: DataFrame, limit: int = 10) -> DataFrame:
-    """Hits of the first lookup that finds anything, at most ``limit`` per entity as a search returns.
+def _shelf(catalog: DataFrame) -> DataFrame:
+    """(found_key, rank, lookup_key) of every album under each of its lookups."""
+    return (catalog.select(F.col("album_key").alias("found_key"), F.explode(_search_keys("artist", "album")).alias("s"))
+            .select("found_key", "s.rank", F.col("s.key").alias("lookup_key")).where("lookup_key <> ''"))
 
-    Output: entity_key, tier, n_hits (all of them), found_key (one row per
-    returned hit, by key). The catalogue is reduced to one row per lookup key
-    before the join, so a title shared by very many albums meets its entities
-    as one row and pairs never multiply.
+
+def _tier() -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in SEARCH_TIERS]), F.col("rank")).alias("tier")
+
+
+def tiered_search(entities: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The first lookup of each entity that finds anything.
+
+    Output: entity_key, tier, lookup_key, n_hits. The catalogue is one row per
+    lookup key before the join, so a title shared by very many albums meets its
+    entities as one row. ``search_hits`` lists what each lookup finds, whole.
     """
-    shelf = (catalog.select(F.col("album_key").alias("found_key"),
-                            F.explode(_search_keys("artist", "album")).alias("s"))
-             .select("found_key", "s.rank", "s.key").where("key <> ''"))
-    counts = shelf.groupBy("rank", "key").agg(F.count(F.lit(1)).alias("n_hits"))
-    order = Window.partitionBy("rank", "key").orderBy("found_key")
-    listed = (shelf.withColumn("i", F.row_number().over(order)).where(F.col("i") <= limit)
-              .groupBy("rank", "key").agg(F.array_sort(F.collect_list("found_key")).alias("hits")))
-    index = counts.join(listed, ["rank", "key"])
-    asked = (entities.select(F.col("album_key").alias("entity_key"),
-                             F.explode(_search_keys("artist", "album")).alias("s"))
-             .select("entity_key", "s.rank", "s.key"))
-    won = first_by(asked.join(index, ["rank", "key"]), ["entity_key"], F.col("rank"), ["rank", "n_hits", "hits"])
-    return won.select("entity_key", F.element_at(F.array(*[F.lit(t) for t in SEARCH_TIERS]), F.col("rank")).alias("tier"),
-                      "n_hits", F.explode("hits").alias("found_key"))
+    counts = _shelf(catalog).groupBy("rank", "lookup_key").agg(F.count(F.lit(1)).alias("n_hits"))
+    asked = (entities.select(F.col("album_key").alias("entity_key"), F.explode(_search_keys("artist", "album")).alias("s"))
+             .select("entity_key", "s.rank", F.col("s.key").alias("lookup_key")))
+    won = first_by(asked.join(counts, ["rank", "lookup_key"]), ["entity_key"], F.col("rank"),
+                   ["rank", "lookup_key", "n_hits"])
+    return won.select("entity_key", _tier(), "lookup_key", "n_hits")
+
+
+def search_hits(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(tier, lookup_key, found_key): all albums under the lookups that ``tiered_search`` settled on."""
+    used = found.select("tier", "lookup_key").distinct()
+    return _shelf(catalog).select(_tier(), "lookup_key", "found_key").join(used, ["tier", "lookup_key"], "left_semi")
 
 
 def metadata_corrections(matches: DataFrame, metric: str = "levenshtein") -> DataFrame:

@@ -48,9 +48,13 @@ MATCH_FIELDS = ["match_status", "matched_genres", "confidence", "api_sources", "
 
 
 def update_match_status(registry: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
-    """Registry with the outcome of a matching run; ``updates``: album_key and the match fields."""
+    """Registry with the outcome of a matching run; ``updates``: album_key and the match fields.
+
+    Of several updates for an album the one with the highest confidence counts; ties go to the greater fields.
+    """
     fields = [c for c in MATCH_FIELDS if c in updates.columns]
-    new = updates.select("album_key", F.struct(*fields).alias("u"))
+    order = sorted(fields, key=lambda c: c != "confidence")
+    new = updates.groupBy("album_key").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("u"))
     joined = registry.join(new, "album_key", "left")
     hit = F.col("u").isNotNull()
     changed = {c: F.when(hit, F.col(f"u.{c}")).otherwise(F.col(c)) for c in fields}

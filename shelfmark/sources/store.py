@@ -33,12 +33,13 @@ def refresh_albums(albums: DataFrame, tracks: DataFrame, scanned_albums: DataFra
 
 
 def retry_outcome(registry: DataFrame, scanned_albums: DataFrame) -> DataFrame:
-    """Each album with a stored error: ``fixed`` when a new scan finds artist and title."""
+    """Each album with a stored error: ``fixed`` when a new scan finds an artist, an album or a title."""
     failed = registry.where("coalesce(error_message, '') <> ''").select("album_key")
-    found = scanned_albums.select("album_key", (
-        (F.coalesce("artist", F.lit("")) != "") & (F.coalesce("album", F.lit("")) != "")).alias("complete"))
+    named = [c for c in ("artist", "album", "title") if c in scanned_albums.columns]
+    found = (scanned_albums.where(F.concat_ws("", *named) != "").select("album_key").distinct()
+             .withColumn("found", F.lit(True)))
     return (failed.join(found, "album_key", "left")
-            .select("album_key", F.when(F.coalesce("complete", F.lit(False)), "fixed").otherwise("still_failed")
+            .select("album_key", F.when(F.col("found"), "fixed").otherwise("still_failed")
                     .alias("outcome")))
 
 

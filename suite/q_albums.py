@@ -293,9 +293,10 @@ add("rescan_failed",
     lambda s, d: store.refresh_failed(
         b.rough_albums(s, d), b.files(s, d),
         b.rough_albums(s, d).select("album_key", F.when(F.col("artist").isNull(), "no artist").alias("error_message")),
-        b.rough_albums(s, d).withColumn("artist", F.lit("found")), b.files(s, d))[2],
-    """SELECT count(*) AS checked, count(*) FILTER (album IS NOT NULL) AS fixed,
-              count(*) FILTER (album IS NULL) AS still_failed FROM rough_albums WHERE artist IS NULL""")
+        b.rough_albums(s, d), b.files(s, d))[2],
+    """SELECT count(*) AS checked, count(*) FILTER (coalesce(artist, '') <> '' OR coalesce(album, '') <> '') AS fixed,
+              count(*) FILTER (coalesce(artist, '') = '' AND coalesce(album, '') = '') AS still_failed
+       FROM rough_albums WHERE artist IS NULL""")
 
 add("albums_across_stores",
     lambda s, d: b.rough_albums(s, d).join(al.album_totals(b.order_tracks(s, d)), "album_key", "left").groupBy(

@@ -181,7 +181,7 @@ MERGE = {
 add("merge_for_update",
     lambda s, d: b.part_albums(s, d).select("album_key", F.array_join(gx.merge_for_update(
         "genres", F.array(F.lit("house"), F.lit("Pop Music")), b.TAX), "~").alias("merged")),
-    "SELECT album_key, array_to_string(g[1:5], '~') AS merged FROM spread", MERGE)
+    "SELECT album_key, array_to_string(g, '~') AS merged FROM spread", MERGE)
 
 
 def _diff(s, d):

@@ -114,12 +114,21 @@ TIERS = {
     "tier_min": "SELECT entity_key, min(tier) AS best_tier FROM tier_hits GROUP BY 1",
 }
 add("tiered_search",
-    lambda s, d: mt.tiered_search(wanted(s, d), b.part_albums(s, d)),
-    """SELECT h.entity_key, ['exact', 'quoted', 'broad', 'album_focused'][tier] AS tier,
+    lambda s, d: mt.tiered_search(wanted(s, d), b.part_albums(s, d)).select("entity_key", "tier", "n_hits"),
+    """SELECT h.entity_key, ['exact', 'quoted', 'broad', 'album_focused'][best_tier] AS tier, count(*) AS n_hits
+       FROM tier_hits h JOIN tier_min m ON h.entity_key = m.entity_key AND tier <= best_tier GROUP BY ALL""", TIERS)
+
+
+def listed_hits(s, d):
+    found = mt.tiered_search(wanted(s, d), b.part_albums(s, d))
+    return found.join(mt.search_hits(found, b.part_albums(s, d)), ["tier", "lookup_key"])
+
+
+add("search_hits",
+    lambda s, d: listed_hits(s, d).select("entity_key", "tier", "n_hits", "found_key"),
+    """SELECT h.entity_key, ['exact', 'quoted', 'broad', 'album_focused'][best_tier] AS tier,
               count(*) OVER (PARTITION BY h.entity_key) AS n_hits, found_key
-       FROM tier_hits h JOIN tier_min m ON h.entity_key = m.entity_key AND tier <= best_tier
-       QUALIFY row_number() OVER (PARTITION BY h.entity_key ORDER BY found_key) <= 10""",
-    {**TIERS, "tier_hits": TIERS["tier_hits"]})
+       FROM tier_hits h JOIN tier_min m ON h.entity_key = m.entity_key AND tier <= best_tier""", TIERS)
 
 CORRECTED = {
     **SCORED,

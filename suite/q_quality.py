@@ -126,13 +126,24 @@ add("track_issues",
 
 EVERY = {
     **USED, **ARTISTS, "used": USED["used"],
+    **TRACKS,
+    "track_facts": TRACKS["track_facts"].replace(
+        "rough_albums a ON a.album_key = t.album_key",
+        "order_albums a ON regexp_extract(a.album, '[0-9]+$') = t.album_key"),
     "order_rough": "SELECT album_key, artist, album FROM order_albums WHERE artist = album",
-    "every": f"SELECT {C} FROM genre_found UNION ALL SELECT {C} FROM artist_found",
+    "every": f"SELECT {C} FROM genre_found UNION ALL SELECT {C} FROM artist_found "
+             f"UNION ALL SELECT {C} FROM track_found",
 }
 
 
+def tracks_of_orders(s, d):
+    """The tracks of the order albums, whose titles end in the order's key."""
+    keys = b.order_albums(s, d).select("album_key", F.regexp_extract("album", "[0-9]+$", 0).alias("order_key"))
+    return b.order_tracks(s, d).withColumnRenamed("album_key", "order_key").join(keys, "order_key").drop("order_key")
+
+
 def issues(s, d):
-    return ql.all_issues(b.order_albums(s, d), None, b.TAX, duplicates=False)
+    return ql.all_issues(b.order_albums(s, d), tracks_of_orders(s, d), b.TAX, duplicates=False)
 
 
 add("issue_summary",

@@ -70,3 +70,13 @@ def test_copies_stay_linear(spark):
 def test_threshold_without_blocking_bound(spark):
     with pytest.raises(ValueError):
         dedup.duplicate_pairs(library(spark, 1), 0.5)
+
+
+def test_unknown_names_and_counts(spark):
+    rows = [("a", "Some Artist", "Some Title", None), ("b", "some artist", "some title", 0), ("c", "Some Artist", "Some Titel", None),
+            ("d", None, "Only Title", 3), ("e", None, "Only Titel", 3)]
+    albums = spark.createDataFrame(rows, "album_key string, artist string, album string, track_count long")
+    assert [(r.album_key, r.canonical_key) for r in dedup.duplicate_members(albums).collect()] == [("b", "a")]
+    filled = albums.fillna("").fillna(0)
+    found = {(r.key1, r.key2) for r in dedup.duplicate_pairs(albums).collect()}
+    assert found == brute(spark, filled, 0.85)

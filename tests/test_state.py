@@ -2,12 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators import albums as al
 from shelfmark.operators import history as hs
+from shelfmark.operators import jobs as jb
 from shelfmark.operators import registry as rg
 from shelfmark.operators.ordered import numbered, trailing_count, with_previous
 from shelfmark.plans import enrich, quality_report, register
@@ -120,6 +122,44 @@ def test_approve_then_revert(spark):
     assert final[3].reverted_from == 0 and set(final[3].changed_fields) == {"artist", "genre"}
 
 
+def test_repeated_requests_count_once(spark):
+    album = spark.createDataFrame([("k", "old", "t", 2000, "Rock", 3, 1.0, "/p"), ("m", "a", "b", 2000, "Pop", 1, 1.0, "/q")],
+                                  "album_key string, artist string, album string, year int, genre string, track_count long, total_duration double, file_path string")
+    result = spark.createDataFrame(
+        [("j", "k", "needs_review", ["Jazz"], None), ("j", "m", "needs_review", None, "nothing to correct")],
+        "job_id string, album_key string, status string, suggested_genres array<string>, manual_review_reason string"
+    ).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    now = F.lit("2024-01-02").cast("timestamp")
+    none = spark.createDataFrame([], schemas.VERSIONS)
+    twice = spark.createDataFrame([("k",), ("k",), ("m",), ("x",)], "album_key string")
+    albums, results, rows = hs.apply_approvals(album, result, twice, none, now)
+    assert albums.count() == 2
+    assert sorted((r.album_key, r.status) for r in results.collect()) == [("k", "approved"), ("m", "needs_review")]
+    versions = hs.append_versions(none, rows)
+    asked = spark.createDataFrame([("k", 0), ("k", 1), ("k", 0), ("k", 9)], "album_key string, version_number long")
+    back, more = hs.revert(albums, versions, asked, now)
+    assert back.count() == 2
+    assert sorted((r.version_number, r.reverted_from) for r in more.collect() if r.is_current) == [(3, 1)]
+    registry = spark.createDataFrame([("k", "new", 0.0)], "album_key string, match_status string, confidence double")
+    updates = spark.createDataFrame([("k", "low", 10.0), ("k", "high", 90.0), ("k", "high", 90.0)], registry.schema)
+    changed = rg.update_match_status(registry, updates, now).collect()
+    assert [(r.match_status, r.confidence) for r in changed] == [("high", 90.0)]
+
+
+def test_rescan_needs_one_name(spark):
+    registry = spark.createDataFrame([(k, "bad") for k in "abcd"], "album_key string, error_message string")
+    scan = spark.createDataFrame([("a", "x", None), ("b", None, "y"), ("b", None, "y"), ("c", "", None)],
+                                 "album_key string, artist string, album string")
+    found = {r.album_key: r.outcome for r in store.retry_outcome(registry, scan).collect()}
+    assert found == {"a": "fixed", "b": "fixed", "c": "still_failed", "d": "still_failed"}
+    assert store.retry_outcome(registry, scan).count() == 4
+
+
+def test_malformed_album_name_is_refused(spark):
+    with pytest.raises(ValueError):
+        jb.specific_album(spark.createDataFrame([("a", "b")], "artist string, album string"), "no comma")
+
+
 def test_stream_drops_late_rows_and_repeats(spark, tmp_path):
     def put(name, rows):
         df = spark.createDataFrame(rows, "job_id string, album_key string, status string, created_at timestamp, confidence double")
