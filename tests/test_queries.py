@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from suite import registered
 from suite.check import TABLES, compare
 from tests.conftest import SF
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {name: fn for name, (fn, _) in registered().items()}
+ORACLE = {name: sql for name, (_, sql) in registered().items() if sql is not None}
 STREAMS = [n for n in QUERIES if n.startswith("stream_")]
 PYTHON = {"match_sequence_metric", "name_percentages"}
 # a handful per family; ``python -m suite.check`` compares all of them
