@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,3 +77,17 @@ class WordHashes(dict):
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
+
+
+def platt(margins: np.ndarray, marks: np.ndarray, rounds: int = 30) -> tuple[float, float]:
+    """Slope and intercept that make margins probabilities of a mark (Platt), by Newton steps with a small ridge."""
+    if marks.min(initial=1) == marks.max(initial=0) or not len(marks):
+        return 1.0, 0.0
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
+        v = p * (1 - p)
+        g = np.array([((p - marks) * margins).sum() + a - 1, (p - marks).sum() + b])
+        h = np.array([[(v * margins ** 2).sum() + 1, (v * margins).sum()], [(v * margins).sum(), v.sum() + 1]])
+        a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
+    return float(a), float(b)

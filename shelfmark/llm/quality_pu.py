@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fold, one_table, texts
+from shelfmark.llm.common import fold, one_table, platt, texts
 
 SAMPLE = 12_000
 BINS = 16
@@ -134,18 +134,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(edges, mixed[:size], float(mixed[size]))
 
 
-def calibrate(model: Model, x: np.ndarray, good: np.ndarray, rounds: int = 30) -> Model:
-    """Scales the model to probabilities on labelled rows (Platt), by Newton steps with a small ridge."""
-    if good.min(initial=1) == good.max(initial=0):
-        return model
-    f = model.weights[model.bins(x)].sum(axis=1) + model.bias
-    a, b = 1.0, 0.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
-        v = p * (1 - p)
-        g = np.array([((p - good) * f).sum() + a - 1, (p - good).sum() + b])
-        h = np.array([[(v * f * f).sum() + 1, (v * f).sum()], [(v * f).sum(), v.sum() + 1]])
-        a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
+def calibrate(model: Model, x: np.ndarray, good: np.ndarray) -> Model:
+    """Scales the model to probabilities on labelled rows."""
+    a, b = platt(model.weights[model.bins(x)].sum(axis=1) + model.bias, good)
     return Model(model.edges, model.weights * a, model.bias * a + b)
 
 

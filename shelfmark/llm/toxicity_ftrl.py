@@ -6,8 +6,8 @@ thousand numbers in a table of fixed size, which is what is sent to the tasks.
 
 The fit uses a bounded sample of labelled texts of the training fold: at most ``SAMPLE``, those with the least hash of
 their id. They are dealt to ``SHARDS`` tasks by that hash; each makes its own passes and the weights are averaged
-(McDonald et al., Distributed Training Strategies for the Structured Perceptron, 2010). Scores are for all documents,
-whole texts.
+(McDonald et al., Distributed Training Strategies for the Structured Perceptron, 2010). The sums are scaled to
+probabilities on the same sample. Scores are for all documents, whole texts.
 
 Defined results: null and empty texts have the intercept's score. Repeated labels of a document count as toxic if any
 says so. Without labels all scores are 0.5. Rows keep their number, extra columns are ignored, empty tables are fine.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WordHashes, fold, one_table, raw_texts
+from shelfmark.llm.common import WordHashes, cut, fold, one_table, platt, raw_texts
 
 BITS = 20
 SAMPLE = 16_000
@@ -69,7 +69,7 @@ def fit_shard(features: list[np.ndarray], toxic: list[int]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, shards: int = SHARDS) -> np.ndarray:
-    """The averaged weights as an array of 2**BITS numbers."""
+    """The averaged and scaled weights as an array of 2**BITS numbers, the last one the intercept."""
     marks = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 0)
              .groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
              .withColumn("order", F.xxhash64("label_id")))
@@ -89,12 +89,25 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, shards: int =
         at = np.flatnonzero(w)
         return pd.DataFrame({"place": at, "weight": w[at] / shards})
 
-    features = rows.select("order", "toxic", "text").mapInArrow(scan, "order long, toxic int, features binary")
+    features = cut(rows.select("order", "toxic", "text").mapInArrow(scan, "order long, toxic int, features binary"))
     fitted = (features.withColumn("shard", F.pmod("order", F.lit(shards))).groupBy("shard")
               .applyInPandas(lambda rows: fit(rows), "place long, weight double"))
     out = np.zeros(1 << BITS)
     for row in fitted.groupBy("place").agg(F.sum("weight").alias("weight")).collect():  # at most 2**BITS rows
         out[row["place"]] = row["weight"]
+
+    sent = docs.sparkSession.sparkContext.broadcast(out)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for toxic, column in one_table(batches, ["toxic", "features"]):
+            sums = [float(sent.value[np.frombuffer(f, dtype=np.uint32)].sum()) for f in column.to_pylist()]
+            yield pa.RecordBatch.from_arrays([toxic, pa.array(sums, pa.float64())], names=["toxic", "margin"])
+
+    found = features.select("toxic", "features").mapInArrow(margins, "toxic int, margin double").toPandas()
+    order = np.sort(found["margin"].to_numpy() + 1j * found["toxic"].to_numpy())  # rows come in any order
+    slope, shift = platt(order.real + out[-1], order.imag)  # at most `size` rows
+    out *= slope
+    out[-1] += shift
     return out
 
 
