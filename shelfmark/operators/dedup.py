@@ -11,15 +11,19 @@ gives two cases that together find every pair:
   A. the artists are close (half budget) and the titles are within full budget;
   B. the titles are close (half budget) and the artists are within full budget.
 
-Each case is two string-similarity joins over *distinct* strings: the strict one
-over the whole column, the loose one only between partners of the strict one. A
-hot artist or a hot title is one string there, whatever number of albums it has.
-
-String join: within edit distance d, cut the longer string into d + 1 pieces; at
-least one piece occurs in the other string at nearly the same place. So pairs
-are found by an equi-join on (length, piece number, piece text), with the exact
-Levenshtein distance as the last word. No pair is lost and none is compared
-unless it shares such a piece.
+Blocking: two names within edit distance d share one of three kinds of keys.
+
+  * Pieces: cut the longer one into d + 1 pieces; one occurs in the other at
+    nearly the same place. Very selective, unless many names share a beginning.
+  * Two grams: an edit takes at most two of the two-letter grams of a name (with
+    a mark at both ends). If at most m can be lost, two of the m + 2 rarest are
+    shared, so beginnings that a whole library shares don't count.
+  * A gram of the close name and one of the other name: for close names that
+    very many albums have.
+
+Each name asks by the kind that promises it the fewest partners, from the counts
+of its own keys, and answers to all. The exact score has the last word; no pair
+is lost.
 """
 
 from __future__ import annotations
@@ -68,81 +72,104 @@ def _window_keys(s: str, length: str, max_loss: float) -> Column:
                 ELSE CAST(array() AS array<struct<len:int,piece:int,txt:string>>) END)))))""")
 
 
-def similar_strings(left: DataFrame, right: DataFrame, max_loss: float, group: list[str] | None = None) -> DataFrame:
-    """Pairs ``(group…, s1, s2, sim)`` with 1 - sim <= ``max_loss``; both orders, equal strings too.
+def _counted(strings: DataFrame, column: str, keys: Column, out: str) -> DataFrame:
+    """The keys of each string with the number of names that have them, rarest first: ``out`` of struct(n, key)."""
+    rows = strings.select(column, "w", F.explode(keys).alias("key"))
+    counts = rows.groupBy("key").agg(F.sum("w").alias("n"))
+    return (rows.join(counts, "key").groupBy(column)
+            .agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias(out)))
 
-    ``left``/``right``: columns ``group…, s`` without repeats. Pairs are formed
-    only inside a group when one is given.
-    """
-    if not 0 <= max_loss < 1:
-        raise ValueError("the similarity bound leaves nothing to block on")
-    by = group or []
 
-    def keyed(df: DataFrame, keys: Column, name: str) -> DataFrame:
-        return (df.select(*by, F.col("s").alias(name), F.length("s").alias("_n"))
-                .select(*by, name, F.explode(keys).alias("k"))
-                .select(*by, name, "k.len", "k.piece", "k.txt"))
+def _profiled(names: DataFrame, column: str, loss: float) -> DataFrame:
+    """Names with the counted grams and pieces of one column. The k-th occurrence of a gram is a gram of its own."""
+    strings = names.groupBy(column).agg(F.count(F.lit(1)).alias("w")).withColumn("g", F.expr(
+        f"transform(sequence(1, length({column}) + 1), "
+        f"i -> substring(concat('\u0001', {column}, '\u0001'), i, 2))"))
+    grams = _counted(strings, column, F.expr(
+        "transform(g, (x, i) -> xxhash64(x, size(filter(slice(g, 1, i), y -> y = x))))"), f"{column}_grams")
+    pieces = _counted(strings, column, _hashed(_piece_keys(column, f"length({column})", loss)), f"{column}_pieces")
+    return names.join(grams, column).join(pieces, column)
+
 
-    def longer(df: DataFrame, name: str) -> DataFrame:
-        return keyed(df, _piece_keys(name, "_n", max_loss), name)
+def _hashed(keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.xxhash64(k["len"], k["piece"], k["txt"]))
 
-    def shorter(df: DataFrame, name: str) -> DataFrame:
-        return keyed(df, _window_keys(name, "_n", max_loss), name)
 
-    on = [*by, "len", "piece", "txt"]
-    one = shorter(left, "s1").join(longer(right, "s2"), on).select(*by, "s1", "s2")
-    two = (longer(left, "s1").join(shorter(right, "s2"), on).where("length(s2) < length(s1)")
-           .select(*by, "s1", "s2"))
-    return _verified(one.union(two).distinct(), max_loss)
+def _lost(column: str, loss: float) -> Column:
+    """How many grams of a name a partner within ``loss`` can lack. One that is k letters longer lacks k fewer."""
+    lost = [2 * F.floor((F.length(column) + k) * F.lit(loss) + EPS) - k for k in (0, 1)]
+    return F.greatest(*lost).cast("int")
 
 
-def _verified(pairs: DataFrame, max_loss: float) -> DataFrame:
-    """Exact similarity of candidate pairs; the distance computation stops at the allowed distance."""
-    longest = "greatest(length(s1), length(s2))"
-    allowed = f"CAST(floor({longest} * {max_loss} + {EPS}) AS INT)"
-    near = pairs.where(F.expr(f"abs(length(s1) - length(s2)) <= {allowed}"))
-    found = near.withColumn("_d", F.expr(f"levenshtein(s1, s2, {allowed})")).where("_d >= 0")
-    return found.withColumn("sim", F.lit(1.0) - F.col("_d").cast("double") / F.greatest(
-        F.length("s1"), F.length("s2"), F.lit(1)).cast("double")).drop("_d")
+def _rare(column: str, loss: float, shared: int, total: int) -> Column:
+    """Enough of the rarest grams that a name within ``loss`` has ``shared`` of them too, if it has as many grams.
 
+    Beyond a loss of one half every gram can be lost, and the name says nothing.
+    """
+    if loss > 0.5 + EPS:
+        return F.array(F.struct(F.lit(total).cast("long").alias("n"), F.lit(0).cast("long").alias("key")))
+    return F.slice(f"{column}_grams", 1, _lost(column, loss) + shared)
 
-# A group of at most this many strings is compared directly: cheaper than blocking.
-DIRECT_GROUP = 64
 
+def _weight(keys: Column) -> Column:
+    return F.aggregate(keys, F.lit(0.0), lambda s, x: s + x["n"])
 
-def similar_within(left: DataFrame, right: DataFrame, max_loss: float, group: str) -> DataFrame:
-    """``similar_strings`` inside groups: small groups directly, larger ones by pieces.
 
-    The direct comparison costs each left row at most ``DIRECT_GROUP``
-    distances. Groups beyond that, hot ones included, go through the blocking
-    join, so both ways together are exact for any group size.
+def _case(names: DataFrame, strict: str, loose: str, strict_loss: float, loose_loss: float, total: int) -> DataFrame:
+    """Pairs (id1, id2, lengths) that may be within both losses.
+
+    The longer of two strict names asks by the kind of key that it expects the fewest partners from; the shorter
+    one answers to all kinds.
     """
-    big = right.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DIRECT_GROUP).select(group)
-    small = right.join(big, group, "left_anti").select(group, F.col("s").alias("s2"))
-    direct = _verified(left.select(group, F.col("s").alias("s1")).join(small, group), max_loss)
-    blocked = similar_strings(left.join(big, group, "left_semi"), right.join(big, group, "left_semi"), max_loss,
-                              [group])
-    return direct.unionByName(blocked)
-
-
-def _case(pairs: DataFrame, strict: str, loose: str, strict_weight: float, loose_weight: float, budget: float
-          ) -> DataFrame:
-    """Partners whose ``strict`` name is within half the budget and ``loose`` name within the whole."""
-    names = pairs.select(F.col(strict).alias("s")).distinct()
-    close = materialize(similar_strings(names, names, budget / 2 / strict_weight), f"close-{strict}")
-    left = (pairs.join(close.select(F.col("s1").alias(strict), F.col("s2").alias("partner")), strict)
-            .select("partner", F.col(loose).alias("s")).distinct())
-    right = pairs.select(F.col(strict).alias("partner"), F.col(loose).alias("s"))
-    other = similar_within(left, right, budget / loose_weight, "partner")
-    # back to the pairs of albums: strict partner and loose partner must both hold
-    first = pairs.select(F.col(strict).alias("x1"), F.col(loose).alias("y1"))
-    hits = (first.join(close.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("sim").alias("x_sim")), "x1")
-            .join(other.select(F.col("partner").alias("x2"), F.col("s1").alias("y1"), F.col("s2").alias("y2"),
-                               F.col("sim").alias("y_sim")), ["x2", "y1"])
-            .where((1 - F.col("x_sim")) * strict_weight + (1 - F.col("y_sim")) * loose_weight <= budget + EPS))
-    return hits.select(F.col("x1").alias(f"{strict}1"), F.col("y1").alias(f"{loose}1"),
-                       F.col("x2").alias(f"{strict}2"), F.col("y2").alias(f"{loose}2"),
-                       F.col("x_sim").alias(f"{strict}_sim"), F.col("y_sim").alias(f"{loose}_sim"))
+    tag = F.lit(strict)
+    pieces = F.col(f"{strict}_pieces")
+    two = F.expr("flatten(transform(two, (x, i) -> transform(slice(two, i + 2, size(two)), "
+                 f"y -> xxhash64('{strict}', 2, x.key, y.key))))")
+    both = F.flatten(F.transform("one", lambda x: F.transform(
+        "other", lambda y: F.xxhash64(tag, F.lit(1), x["key"], y["key"]))))
+    held = names.select(
+        "id", F.length("a").alias("la"), F.length("t").alias("lt"), strict, F.length(strict).alias("len"),
+        pieces.alias("pieces"), _rare(strict, strict_loss, 1, total).alias("one"),
+        _rare(strict, strict_loss, 2, total).alias("two"), _rare(loose, loose_loss, 1, total).alias("other"),
+        (F.size(f"{strict}_grams") >= _lost(strict, strict_loss) + 2).alias("enough"))
+    of_two = F.when(F.col("enough"), (_weight(F.col("two")) ** 2 - F.aggregate(
+        "two", F.lit(0.0), lambda s, x: s + x["n"].cast("double") ** 2)) / (2.0 * max(total, 1)))
+    guessed = held.withColumns({"by_piece": _weight(F.col("pieces")), "by_two": of_two, "by_both": _weight(
+        F.col("one")) * _weight(F.col("other")) / float(max(total, 1))}).withColumn(
+        "least", F.least("by_piece", "by_two", "by_both"))
+    asked = (F.when(F.col("by_piece") == F.col("least"), F.col("pieces.key"))
+             .when(F.col("by_two") == F.col("least"), two).otherwise(both))
+    answers = F.concat(_hashed(_window_keys(strict, f"length({strict})", strict_loss)), two, both)
+    facts = ["id", "la", "lt", "len"]
+
+    def side(df: DataFrame, keys: Column, number: int) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{c}{number}") for c in facts], F.explode(keys).alias("key"))
+    longer = (F.col("len1") > F.col("len2")) | ((F.col("len1") == F.col("len2")) & (F.col("id1") > F.col("id2")))
+    return side(guessed, asked, 1).join(side(held, answers, 2), "key").where(longer)
+
+
+def candidates(names: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
+    """Pairs (id1 < id2) of ``names(id, a, t)``, distinct names: all near-duplicates and some others."""
+    budget = 1.0 - threshold
+    a, t = budget / tx.ARTIST_WEIGHT, budget / tx.TITLE_WEIGHT
+    if a > 1 + EPS:
+        raise ValueError("the threshold is too low: two albums may match without sharing any part of a name")
+    total = names.count()
+    known = materialize(_profiled(_profiled(names, "a", a / 2), "t", t / 2), "profiles")
+
+    def gap(x: str, y: str) -> Column:  # what the difference of lengths costs at least
+        return F.abs(F.col(x) - F.col(y)) / F.greatest(F.col(x), F.col(y), F.lit(1))
+    cost = gap("la1", "la2") * tx.ARTIST_WEIGHT + gap("lt1", "lt2") * tx.TITLE_WEIGHT
+    met = _case(known, "a", "t", a / 2, t, total).unionByName(_case(known, "t", "a", t / 2, a, total))
+    return met.where(cost <= budget + EPS).select(
+        F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
+
+
+def _closeness(x: str, y: str, loss: float) -> Column:
+    """Similarity of two names, null beyond ``loss``; the distance computation stops there."""
+    longest = F.greatest(F.length(x), F.length(y))
+    d = F.expr(f"levenshtein({x}, {y}, CAST(floor(greatest(length({x}), length({y})) * {min(loss, 1.0)} + {EPS}) AS INT))")
+    return F.when(d >= 0, F.lit(1.0) - d.cast("double") / F.greatest(longest, F.lit(1)).cast("double"))
 
 
 def _signature() -> list[Column]:
@@ -177,24 +204,33 @@ def duplicate_pairs(albums: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -
     Output: key1 < key2 (canonical album keys), similarity, members1, members2.
     With ``duplicate_members`` this holds every near-duplicate pair of the
     library: two albums match when they share a signature or their signatures
-    are listed here. Signatures and close names feed several branches and are
-    written to the shared folder once.
+    are listed here. Thresholds below 0.6 leave nothing to block on and are
+    refused. Signatures feed several branches and are written to the shared
+    folder once.
     """
     budget = 1.0 - threshold
-    if budget / tx.ARTIST_WEIGHT >= 1 or budget / tx.TITLE_WEIGHT >= 1:
-        raise ValueError("threshold too low for exact blocking")
     sig = materialize(signatures(albums), "signatures")
-    pairs = sig.select("a", "t").distinct()
-    by_artist = _case(pairs, "a", "t", tx.ARTIST_WEIGHT, tx.TITLE_WEIGHT, budget)
-    by_title = _case(pairs, "t", "a", tx.TITLE_WEIGHT, tx.ARTIST_WEIGHT, budget)
-    # a pair found by both cases is taken from the first
-    half = budget / 2 / tx.ARTIST_WEIGHT
-    names = by_artist.unionByName(by_title.where((1 - F.col("a_sim")) > half + EPS))
+    names = materialize(sig.select("a", "t").distinct().withColumn("id", F.monotonically_increasing_id()), "names")
+    met = (candidates(names, threshold)
+           .join(names.select(F.col("id").alias("id1"), F.col("a").alias("a1"), F.col("t").alias("t1")), "id1")
+           .join(names.select(F.col("id").alias("id2"), F.col("a").alias("a2"), F.col("t").alias("t2")), "id2"))
+    close = (met.withColumn("a_sim", _closeness("a1", "a2", budget / tx.ARTIST_WEIGHT)).where("a_sim IS NOT NULL")
+             .withColumn("t_sim", _closeness("t1", "t2", budget / tx.TITLE_WEIGHT)).where("t_sim IS NOT NULL")
+             .where((1 - F.col("a_sim")) * tx.ARTIST_WEIGHT + (1 - F.col("t_sim")) * tx.TITLE_WEIGHT <= budget + EPS)
+             .select("a1", "t1", "a2", "t2", "a_sim", "t_sim"))
+    same = names.select(F.col("a").alias("a1"), F.col("t").alias("t1"), F.col("a").alias("a2"), F.col("t").alias("t2"),
+                        F.lit(1.0).alias("a_sim"), F.lit(1.0).alias("t_sim"))
     left = sig.select(F.col("a").alias("a1"), F.col("t").alias("t1"), F.col("n").alias("n1"),
-                      F.col("canonical_key").alias("key1"), F.col("members").alias("members1"))
+                      F.col("canonical_key").alias("k1"), F.col("members").alias("m1"))
     right = sig.select(F.col("a").alias("a2"), F.col("t").alias("t2"), F.col("n").alias("n2"),
-                       F.col("canonical_key").alias("key2"), F.col("members").alias("members2"))
+                       F.col("canonical_key").alias("k2"), F.col("members").alias("m2"))
     score = tx.weighted_similarity(F.col("a_sim"), F.col("t_sim"), tx.count_similarity("n1", "n2"))
-    return (names.join(left, ["a1", "t1"]).join(right, ["a2", "t2"]).where("key1 < key2")
-            .withColumn("similarity", score).where(F.col("similarity") >= threshold)
-            .select("key1", "key2", "similarity", "members1", "members2"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(left, ["a1", "t1"]).join(right, ["a2", "t2"]).withColumn("similarity", score)
+                .where(F.col("similarity") >= threshold))
+    found = scored(close).unionByName(scored(same).where("k1 < k2"))
+    in_order = F.col("k1") < F.col("k2")
+    return found.select(F.least("k1", "k2").alias("key1"), F.greatest("k1", "k2").alias("key2"), "similarity",
+                        F.when(in_order, F.col("m1")).otherwise(F.col("m2")).alias("members1"),
+                        F.when(in_order, F.col("m2")).otherwise(F.col("m1")).alias("members2"))
