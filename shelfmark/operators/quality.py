@@ -94,7 +94,8 @@ def artist_consistency(albums: DataFrame, tax: Taxonomy, strict: bool = False) -
                                          F.count_if(F.size("genres") > 0).alias("with_genres"))
     spread = (unnest(with_normalized(albums, tax, strict), ["artist"], F.col("normalized"), "genre")
               .groupBy("artist").agg(F.count_distinct("genre").alias("unique_genres")))
-    return (sizes.join(spread, "artist", "left")
+    spread = spread.withColumnRenamed("artist", "_artist")  # a missing artist is an artist of its own
+    return (sizes.join(spread, F.col("artist").eqNullSafe(F.col("_artist")), "left").drop("_artist")
             .withColumn("unique_genres", F.coalesce("unique_genres", F.lit(0)))
             .withColumn("without_genres", F.col("n_albums") - F.col("with_genres"))
             .withColumn("percentage_missing", percent(F.col("without_genres"), F.col("n_albums"))))

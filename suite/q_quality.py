@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from shelfmark.operators import quality as ql
 from suite import bindings as b
+from suite.q_matching import lev
 
 QUERIES = {}
 C = "issue_type, severity, album_key, artist, album, description, suggested_fix, confidence"
@@ -179,22 +182,43 @@ add("duplicate_issues",
        FROM sims JOIN part_albums ON album_key = key1 WHERE similarity >= 0.85::double GROUP BY 1, 2, 3""",
     {"sims": __import__("suite.q_matching", fromlist=["PAIRS"]).PAIRS["sims"]})
 
+# The lists of the worn albums, under names of their own beside those of single values.
+_LISTS = b.lists_sql("worn_albums")
+WORN_LISTS = {f"w_{k}": re.sub(rf"\b({'|'.join(_LISTS)})\b(?!\.)", r"w_\1", v) for k, v in _LISTS.items()}
+WORN = {
+    **USED, "used": "SELECT album_key, artist, album, unnest(genres) AS genre FROM worn_albums",
+    **WORN_LISTS,
+    "i_facts": """
+        SELECT a.artist, n, w, coalesce(u, 0) AS u
+        FROM (SELECT artist, count(*) AS n, count(*) FILTER (len(genres) > 0) AS w FROM worn_albums GROUP BY 1) a
+        LEFT JOIN (SELECT artist, count(DISTINCT genre) AS u FROM worn_albums JOIN w_norm_list USING (album_key)
+                   GROUP BY 1) l ON l.artist IS NOT DISTINCT FROM a.artist""",
+    "t_facts": """
+        SELECT p_brand || '|' || p_name AS album_key, count(*) AS n, count(DISTINCT s_name) AS who,
+               count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS unnamed
+        FROM lines GROUP BY 1 HAVING count(*) >= 2""",
+    "names": """
+        SELECT album_key, lower(coalesce(artist, '')) AS a, lower(coalesce(album, '')) AS t, track_count AS n
+        FROM worn_albums""",
+    "sigs": "SELECT a, t, n, min(album_key) AS album_key, count(*) AS copies FROM names GROUP BY 1, 2, 3",
+    "alike": f"""
+        SELECT 1 AS one FROM sigs x JOIN sigs y ON x.album_key < y.album_key
+        WHERE ({lev('x.a', 'y.a')}) * 0.4::double + ({lev('x.t', 'y.t')}) * 0.5::double
+              + (1::double - abs(x.n - y.n)::double / greatest(x.n, y.n)::double) * 0.1::double >= 0.85::double""",
+    "run": """
+        SELECT issue_type, severity FROM genre_found
+        UNION ALL SELECT 'artist_inconsistency', 'warning' FROM i_facts WHERE n >= 2 AND w >= 2 AND u > 10 AND w > 5
+        UNION ALL SELECT 'missing_genres', 'info' FROM i_facts WHERE n >= 2 AND w >= 2 AND (n - w) / n * 100 > 30
+        UNION ALL SELECT 'missing_artist', 'critical' FROM worn_albums WHERE trim(coalesce(artist, '')) = ''
+        UNION ALL SELECT 'missing_album', 'critical' FROM worn_albums WHERE trim(coalesce(album, '')) = ''
+        UNION ALL SELECT 'suspicious_metadata', 'warning' FROM worn_albums WHERE artist IS NOT DISTINCT FROM album
+        UNION ALL SELECT 'missing_track_names', 'warning' FROM t_facts WHERE unnamed > 0
+        UNION ALL SELECT 'multiple_artists', 'info' FROM t_facts WHERE who > 3
+        UNION ALL SELECT 'potential_duplicate', 'warning' FROM alike
+        UNION ALL SELECT 'potential_duplicate', 'warning' FROM sigs, range(1, copies)""",
+}
 add("full_quality_run",
-    lambda s, d: ql.issue_summary(ql.all_issues(
-        b.part_albums(s, d), b.order_tracks(s, d).withColumn("album_key", F.lit(None).cast("string")), b.TAX)),
+    lambda s, d: ql.issue_summary(ql.all_issues(b.worn_albums(s, d), b.part_tracks(s, d), b.TAX)),
     """SELECT 'total' AS level, 'all' AS name, count(*) AS n FROM run
        UNION ALL SELECT 'severity', severity, count(*) FROM run GROUP BY severity
-       UNION ALL SELECT 'type', issue_type, count(*) FROM run GROUP BY issue_type""",
-    {**P_USED, "sims": __import__("suite.q_matching", fromlist=["PAIRS"]).PAIRS["sims"],
-     "lists_part": "SELECT 1",
-     **{k: v for k, v in b.lists_sql("part_albums").items() if k in ("items",)},
-     "i_canon_raw": f"SELECT DISTINCT item AS raw, {b.clean_sql('item')} AS cleaned FROM items",
-     "i_canon": b.names_sql("x", "y")["canon"].replace("canon_raw", "i_canon_raw"),
-     "i_known": "SELECT DISTINCT album_key, canonical AS genre FROM items JOIN i_canon ON item = raw",
-     "i_list": """SELECT album_key, genre FROM i_known
-                  UNION SELECT album_key, parent FROM i_known JOIN tax_parents ON child = genre""",
-     "p_facts": """SELECT a.artist, count(DISTINCT a.album_key) AS w, count(DISTINCT l.genre) AS u
-                   FROM part_albums a JOIN i_list l ON l.album_key = a.album_key GROUP BY 1""",
-     "run": """SELECT issue_type, severity FROM genre_found
-               UNION ALL SELECT 'artist_inconsistency', 'warning' FROM p_facts WHERE u > 10 AND w > 5
-               UNION ALL SELECT 'potential_duplicate', 'warning' FROM sims WHERE similarity >= 0.85::double"""})
+       UNION ALL SELECT 'type', issue_type, count(*) FROM run GROUP BY issue_type""", WORN)
