@@ -6,8 +6,9 @@ Password Strength Estimation, 2016). Parts are words by their rank among the wor
 keyboard or alphabet walks, and brute force. Values that cost ``MIN_COST`` decimal digits of guesses or more are secrets;
 names, words and years in such places are not.
 
-The ranks are counted over all documents; the ``TOP_WORDS`` most frequent ones are sent to the tasks, a documented bound
-on what is broadcast. Words outside of it cost what brute force costs.
+The ranks are those of all words of all documents. Only the values of credential contexts are looked up: their distinct
+runs of 3 to 24 letters are joined with the ranked words, and each distinct value is priced with the words it holds. No
+word is left out and nothing that grows with the input is sent to all tasks.
 
 Base spans always stay; found values overlap none of them. Defined results: a null text is empty and has no spans; rows
 are handled one by one, whatever their doc_id; an empty table gives no rows; extra columns are ignored.
@@ -23,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import one_table, texts
+from shelfmark.llm.common import cut, one_table, texts
 from shelfmark.llm.spans import SPAN_DDL, SPAN_TYPE, Span, apart, as_structs, ordered
 
 KINDS = ("assign", "access", "hex", "guess")
-TOP_WORDS = 20_000
 MIN_COST = 8.0
 MAX_VALUE = 128  # a longer value is priced by its first MAX_VALUE characters, which can only lower the price
 
@@ -45,10 +45,13 @@ _CUES = ("pass", "pwd", "secret", "token", "api", "credential", "auth")
 COMMON = ("password admin welcome letmein login master secret dragon monkey shadow sunshine princess football baseball "
           "superman batman trustno iloveyou qwerty hello freedom whatever charlie access guest default changeme test "
           "user root pass love summer winter spring autumn").split()
+COMMON_RANKS = {word: k + 1 for k, word in enumerate(dict.fromkeys(COMMON))}
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qazwsxedc")
 _DATE = re.compile(r"(?:19|20)\d\d|[0-3]?\d[./-][01]?\d[./-](?:19|20)?\d\d|(?:19|20)\d\d[./-]?[01]\d[./-]?[0-3]\d")
 _BRUTE = 1.0  # decimal digits of guesses for each character
 _JOIN = log10(2)  # for each further part
+_LETTERS = re.compile(r"[a-z]+")
+_VALUES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
 
 def _has_context(text: str) -> bool:
@@ -116,34 +119,87 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     return best[n]
 
 
-def word_ranks(docs: DataFrame, top: int = TOP_WORDS) -> dict[str, int]:
-    """The ``top`` most frequent words of 3 to 24 letters in all texts, by rank. Ties go by the word."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word"))
-    counted = words.where(F.length("word").between(3, 24)).groupBy("word").count()
-    found = [row["word"] for row in counted.orderBy(F.desc("count"), "word").limit(top).collect()]
-    return {word: k + 1 for k, word in enumerate(dict.fromkeys([*COMMON, *found]))}
-
+def word_ranks(docs: DataFrame, top: int | None = None) -> DataFrame:
+    """(word, rank) of the words of 3 to 24 letters in all texts, after those of COMMON; ``top``: only so many of them.
 
-def guess_spans(text: str, ranks: dict[str, int], min_cost: float = MIN_COST) -> list[Span]:
+    Ranks go by count, ties by the word: words are sorted over all tasks and numbered by the sizes of the parts before.
+    """
+    words = docs.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word"))
+    counted = words.where(F.length("word").between(3, 24) & ~F.col("word").isin(COMMON)).groupBy("word").count()
+    # The checkpoint fixes parts and order; the id holds the part in its upper bits and the place in the lower 33.
+    placed = cut(counted.orderBy(F.desc("count"), "word").select("word")).withColumn("at", F.monotonically_increasing_id())
+    sizes = dict(placed.groupBy(F.shiftright("at", 33).cast("int")).count().collect())  # a row for each part
+    starts = [len(COMMON_RANKS)]
+    for part in range(max(sizes, default=0)):
+        starts.append(starts[-1] + sizes.get(part, 0))
+    rank = (F.get(F.array(*map(F.lit, starts)), F.shiftright("at", 33).cast("int")).cast("long")
+            + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    ranked = placed.select("word", rank.alias("rank"))
+    return ranked if top is None else ranked.where(F.col("rank") <= len(COMMON_RANKS) + top)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of 3 to 24 letters in each value, lower-cased."""
+    for numbers, column in one_table(batches, ["number", "value"]):
+        for number, value in zip(numbers.to_pylist(), texts(column)):
+            found = {run[i:j] for run in _LETTERS.findall(value.lower()) for i in range(len(run) - 2)
+                     for j in range(i + 3, min(len(run), i + 24) + 1)}
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()),
+                                              pa.array(list(found), pa.string())], names=["number", "part"])
+
+
+def hard_values(found: DataFrame, ranks: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
+    """The distinct ``value`` of ``found(value)`` that cost ``min_cost`` or more."""
+    values = cut(found.select("value").distinct()).withColumn("number", F.monotonically_increasing_id())
+    parts = values.select("number", "value").mapInArrow(_parts, "number long, part string")
+    known = (parts.join(ranks, parts.part == ranks.word).groupBy(F.col("number").alias("owner"))
+             .agg(F.collect_list(F.struct("word", "rank")).alias("words")))  # at most 22 a letter of the value
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for column, words in one_table(batches, ["value", "words"]):
+            hard = [value for value, held in zip(texts(column), words.to_pylist())
+                    if guess_cost(value, COMMON_RANKS | {w["word"]: w["rank"] for w in held or []}) >= min_cost]
+            yield pa.RecordBatch.from_arrays([pa.array(hard, pa.string())], names=["value"])
+
+    return (values.join(known, values.number == known.owner, "left").select("value", "words")
+            .mapInArrow(price, "value string"))
+
+
+def guess_values(text: str) -> list[dict]:
+    """Places and values of the credential contexts."""
     if not _has_context(text):
         return []
-    return [(*m.span(1), "guess") for m in _CONTEXT.finditer(text) if guess_cost(m[1], ranks) >= min_cost]
+    return [{"start": m.start(1), "end": m.end(1), "value": m[1]} for m in _CONTEXT.finditer(text)]
 
 
-def find(docs: DataFrame, top: int = TOP_WORDS, min_cost: float = MIN_COST) -> DataFrame:
-    """doc_id, base (the base spans) and spans (all) of every row."""
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, top))  # at most `top` words
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, column in one_table(batches, ["doc_id", "text"]):
-            bases, alls = [], []
-            for text in texts(column):
-                base = base_spans(text)
-                extra = apart(guess_spans(text, ranks.value, min_cost), base)
-                bases.append(as_structs(base))
-                alls.append(as_structs(ordered([*base, *extra], KINDS)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(bases, SPAN_TYPE), pa.array(alls, SPAN_TYPE)],
-                                             names=["doc_id", "base", "spans"])
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, column in one_table(batches, ["doc_id", "text"]):
+        rows = texts(column)
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array([as_structs(base_spans(text)) for text in rows], SPAN_TYPE),
+             pa.array([guess_values(text) for text in rows], _VALUES)], names=["doc_id", "base", "found"])
 
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All spans of rows with their base spans and hard values."""
+    for ids, bases, hard in one_table(batches, ["doc_id", "base", "hard"]):
+        alls = []
+        for base, extra in zip(bases.to_pylist(), hard.to_pylist()):
+            base = [(s["start"], s["end"], s["kind"]) for s in base]
+            extra = sorted((s["start"], s["end"], "guess") for s in extra or [])
+            alls.append(as_structs(ordered([*base, *apart(extra, base)], KINDS)))
+        yield pa.RecordBatch.from_arrays([ids, bases, pa.array(alls, SPAN_TYPE)], names=["doc_id", "base", "spans"])
+
+
+def find(docs: DataFrame, top: int | None = None, min_cost: float = MIN_COST) -> DataFrame:
+    """doc_id, base (the base spans) and spans (all) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, base {SPAN_DDL}, spans {SPAN_DDL}")
+    rows = cut(docs.select("doc_id", "text").mapInArrow(
+        _scan, f"doc_id {kind}, base {SPAN_DDL}, found array<struct<start: long, end: long, value: string>>"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # stable: the checkpoint fixes the rows' order
+    found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    hard = cut(hard_values(found, word_ranks(docs, top), min_cost))
+    held = (found.join(hard, "value").groupBy(F.col("row").alias("owner"))
+            .agg(F.collect_list(F.struct("start", "end")).alias("hard")))
+    return (rows.join(held, F.col("row") == F.col("owner"), "left").select("doc_id", "base", "hard")
+            .mapInArrow(_combined, f"doc_id {kind}, base {SPAN_DDL}, spans {SPAN_DDL}"))

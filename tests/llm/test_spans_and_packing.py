@@ -104,6 +104,19 @@ def test_guess_cost():
     assert cost("") == 0 and cost("x" * 10_000) < 6
 
 
+def test_words_of_any_rank_price_a_value(spark):
+    rng = random.Random(4)
+    words = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(21_000)} - {"zzzyqxkwv"}
+    docs = brute.frame(spark, [" ".join([*words, *words, "zzzyqxkwv"]), "pwd: zzzyqxkwv", "pwd: zq9zy!xk7wv"])
+    spans = {r.doc_id: r.spans for r in secrets_guess.find(docs).collect()}
+    assert spans[1] == [] and [tuple(s) for s in spans[2]] == [(5, 16, "guess")]
+    ranks = {r.word: r.rank for r in secrets_guess.word_ranks(docs.repartition(5)).collect()}
+    first = len(secrets_guess.COMMON_RANKS) + 1
+    assert sorted(ranks.values()) == list(range(first, first + len(ranks))) and len(ranks) > 20_000
+    # "zzzyqxkwv" and the 21,000 come twice, "pwd" too: all alike, so the order is the words'.
+    assert sorted(ranks, key=ranks.get) == sorted({*words, "zzzyqxkwv", "pwd"})
+
+
 def test_tokens_equal_the_tokenizer():
     own, plain = packing.Encoder(packing.VOCABULARY), Tokenizer.from_file(packing.VOCABULARY)
     rng = random.Random(2)
