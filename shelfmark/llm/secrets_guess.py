@@ -10,7 +10,9 @@ The ranks are those of all words of all documents. Only the values of credential
 runs of 3 to 24 letters are joined with the ranked words, and each distinct value is priced with the words it holds. No
 word is left out and nothing that grows with the input is sent to all tasks.
 
-Base spans always stay; found values overlap none of them. Defined results: a null text is empty and has no spans; rows
+Values are priced whole, whatever their length. A credential word may stand inside the value of another one; values that
+overlap become one span, from the first that is hard to guess. Base spans always stay; of found values that overlap them,
+the parts outside are kept. Defined results: a null text is empty and has no spans; rows
 are handled one by one, whatever their doc_id; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -20,16 +22,16 @@ import re
 from collections.abc import Iterator
 from math import log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import cut, one_table, texts
-from shelfmark.llm.spans import SPAN_DDL, SPAN_TYPE, Span, apart, as_structs, ordered
+from shelfmark.llm.spans import SPAN_DDL, SPAN_TYPE, Span, as_structs, ordered, uncovered
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_COST = 8.0
-MAX_VALUE = 128  # a longer value is priced by its first MAX_VALUE characters, which can only lower the price
 
 # Fixed patterns of the contract; short runs are skipped at once, as nothing else can match within them.
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -37,7 +39,7 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth)["']?"""
-                      r"""\x20{0,4}[:=]\x20{0,4}["']?([!-!#-&(-+\--:<-_a-~]{6,})""", re.IGNORECASE | re.ASCII)
+                      r"""\x20*[:=]\x20*["']?([!-!#-&(-+\--:<-_a-~]{6,})""", re.IGNORECASE | re.ASCII)
 
 _CUES = ("pass", "pwd", "secret", "token", "api", "credential", "auth")
 
@@ -81,42 +83,77 @@ def _walks(value: str) -> list[int]:
     return ends
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``."""
-    value = value[:MAX_VALUE]
+def guess_cost(value: str, ranks: dict[str, int], limit: float = MIN_COST) -> float:
+    """log10 of the guesses for the cheapest segmentation of ``value``, exact below ``limit``; else ``limit`` or more.
+
+    Costs only add up, so places that can't be reached below the limit are not followed. That bounds the chunks of
+    repeats, and a long value costs time in proportion to its length.
+    """
     low = value.lower()
     n = len(value)
     walks = _walks(low)
-    best = [0.0] + [float("inf")] * n
-
-    def reach(i: int, j: int, cost: float) -> None:
-        total = best[i] + cost + (_JOIN if i else 0.0)
-        if total < best[j]:
-            best[j] = total
+    best = np.full(n + 1, np.inf)
+    best[0] = 0.0
+    far = 0  # no place after it has been reached below the limit
+    brute = np.inf  # the cheapest way to here that ends in brute force
+    widest = max(24, int(limit / _BRUTE))  # wider chunks are no words and cost the limit by brute force
+    until = [0] * (widest + 1)  # for each width, up to where characters equal those one width ahead
+    anchor, run_end, start_cost = -1, 0, 0.0  # of a run of walks: the cheapest start so far, whose walks reach to the end
 
     for i in range(n):
-        brute = best[i]
-        for j in range(i + 1, n + 1):  # brute force
-            reach(i, j, brute - best[i] + _BRUTE * (j - i))
+        brute = min(brute, best[i] + (_JOIN if i else 0.0)) + _BRUTE
+        best[i + 1] = min(best[i + 1], brute)
+        here = best[i] + (_JOIN if i else 0.0)
+        if here >= limit:
+            if i > far:
+                return limit
+            continue
+        far = max(far, i + 1)
         for j in range(i + 3, min(n, i + 24) + 1):  # words
             rank = ranks.get(low[i:j])
             if rank is not None:
                 upper = value[i:j] != low[i:j]
-                reach(i, j, log10(rank + 1) + (log10(2) if upper and value[i + 1:j] == low[i + 1:j] else
-                                               log10(j - i + 1) if upper else 0.0))
-        for m in (_DATE.match(value, i, end) for end in range(i + 4, min(n, i + 10) + 1)):  # dates
-            if m:
-                reach(i, m.end(), log10(119) if m.end() - i == 4 else log10(119 * 365))
-        for length in range(3, walks[i] + 1):  # walks
-            reach(i, i + length, log10(40 * length))
-        for width in range(1, (n - i) // 2 + 1):  # repeats of a chunk
-            times = 1
-            while low.startswith(low[i:i + width], i + times * width):
-                times += 1
+                far = max(far, j)
+                best[j] = min(best[j], here + log10(rank + 1) + (
+                    log10(2) if upper and value[i + 1:j] == low[i + 1:j] else log10(j - i + 1) if upper else 0.0))
+        for end in range(i + 4, min(n, i + 10) + 1):  # dates
+            if m := _DATE.match(value, i, end):
+                far = max(far, m.end())
+                best[m.end()] = min(best[m.end()], here + (log10(119) if m.end() - i == 4 else log10(119 * 365)))
+        if walks[i] >= 3:  # walks
+            # A later start of a run that costs more than an earlier one is cheaper only for short walks.
+            end = i + walks[i]
+            if end != run_end or here <= start_cost:
+                anchor, run_end, start_cost, last = i, end, here, end
+            else:
+                last = min(end, i + 3 + int((i - anchor) / max(10 ** (here - start_cost) - 1, 1e-12)))
+            far = max(far, last)
+            lengths = np.arange(3, last - i + 1)
+            best[i + 3:last + 1] = np.minimum(best[i + 3:last + 1], here + np.log10(40 * lengths))
+        for width in range(1, min(widest, (n - i) // 2) + 1):  # repeats of a chunk
+            if until[width] <= i:
+                k = i
+                while k + width < n and low[k] == low[k + width]:
+                    k += 1
+                until[width] = k
+            times = 1 + max(0, until[width] - i) // width
             if times > 1 and times * width >= 3:
-                chunk = min(_BRUTE * width, log10(ranks[low[i:i + width]] + 1) if low[i:i + width] in ranks else 99.0)
-                reach(i, i + times * width, chunk + log10(times))
-    return best[n]
+                word = ranks.get(low[i:i + width])
+                chunk = min(_BRUTE * width, 99.0 if word is None else log10(word + 1))
+                far = max(far, i + times * width)
+                best[i + times * width] = min(best[i + times * width], here + chunk + log10(times))
+    return float(best[n])
+
+
+def hard_from(value: str, ranks: dict[str, int], min_cost: float = MIN_COST) -> int:
+    """Where the first value that is hard to guess starts: at 0 or after a credential word inside; -1 for none."""
+    at, seen = 0, 0
+    while guess_cost(value[at:], ranks, min_cost) < min_cost:
+        m = _CONTEXT.search(value, seen)
+        if m is None:
+            return -1
+        at = seen = m.start(1)
+    return at
 
 
 def word_ranks(docs: DataFrame, top: int | None = None) -> DataFrame:
@@ -149,7 +186,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hard_values(found: DataFrame, ranks: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
-    """The distinct ``value`` of ``found(value)`` that cost ``min_cost`` or more."""
+    """(value, skip): the distinct ``value`` of ``found(value)`` that cost ``min_cost`` or more from place ``skip`` on."""
     values = cut(found.select("value").distinct()).withColumn("number", F.monotonically_increasing_id())
     parts = values.select("number", "value").mapInArrow(_parts, "number long, part string")
     known = (parts.join(ranks, parts.part == ranks.word).groupBy(F.col("number").alias("owner"))
@@ -157,19 +194,27 @@ def hard_values(found: DataFrame, ranks: DataFrame, min_cost: float = MIN_COST)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for column, words in one_table(batches, ["value", "words"]):
-            hard = [value for value, held in zip(texts(column), words.to_pylist())
-                    if guess_cost(value, COMMON_RANKS | {w["word"]: w["rank"] for w in held or []}) >= min_cost]
-            yield pa.RecordBatch.from_arrays([pa.array(hard, pa.string())], names=["value"])
+            hard = [(value, hard_from(value, COMMON_RANKS | {w["word"]: w["rank"] for w in held or []}, min_cost))
+                    for value, held in zip(texts(column), words.to_pylist())]
+            hard = [(value, skip) for value, skip in hard if skip >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in hard], pa.string()),
+                                              pa.array([k for _, k in hard], pa.int64())], names=["value", "skip"])
 
     return (values.join(known, values.number == known.owner, "left").select("value", "words")
-            .mapInArrow(price, "value string"))
+            .mapInArrow(price, "value string, skip long"))
 
 
 def guess_values(text: str) -> list[dict]:
-    """Places and values of the credential contexts."""
+    """Places and values of the credential contexts; values inside another one are left to ``hard_from``."""
+    out, at, last = [], 0, 0
     if not _has_context(text):
-        return []
-    return [{"start": m.start(1), "end": m.end(1), "value": m[1]} for m in _CONTEXT.finditer(text)]
+        return out
+    while m := _CONTEXT.search(text, at):
+        at = m.start(1)
+        if at >= last:
+            out.append({"start": at, "end": m.end(1), "value": m[1]})
+            last = m.end(1)
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +232,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for base, extra in zip(bases.to_pylist(), hard.to_pylist()):
             base = [(s["start"], s["end"], s["kind"]) for s in base]
             extra = sorted((s["start"], s["end"], "guess") for s in extra or [])
-            alls.append(as_structs(ordered([*base, *apart(extra, base)], KINDS)))
+            alls.append(as_structs(ordered([*base, *uncovered(extra, base)], KINDS)))
         yield pa.RecordBatch.from_arrays([ids, bases, pa.array(alls, SPAN_TYPE)], names=["doc_id", "base", "spans"])
 
 
@@ -200,6 +245,6 @@ def find(docs: DataFrame, top: int | None = None, min_cost: float = MIN_COST) ->
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
     hard = cut(hard_values(found, word_ranks(docs, top), min_cost))
     held = (found.join(hard, "value").groupBy(F.col("row").alias("owner"))
-            .agg(F.collect_list(F.struct("start", "end")).alias("hard")))
+            .agg(F.collect_list(F.struct((F.col("start") + F.col("skip")).alias("start"), "end")).alias("hard")))
     return (rows.join(held, F.col("row") == F.col("owner"), "left").select("doc_id", "base", "hard")
             .mapInArrow(_combined, f"doc_id {kind}, base {SPAN_DDL}, spans {SPAN_DDL}"))

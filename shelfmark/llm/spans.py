@@ -21,6 +21,19 @@ def apart(found: Iterable[Span], base: list[Span]) -> list[Span]:
     return [s for s in found if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
 
 
+def uncovered(found: Iterable[Span], base: list[Span]) -> list[Span]:
+    """The parts of the spans that no span of ``base`` covers."""
+    out = []
+    for start, end, kind in found:
+        for b in sorted(b for b in base if b[0] < end and b[1] > start):
+            if b[0] > start:
+                out.append((start, b[0], kind))
+            start = max(start, b[1])
+        if start < end:
+            out.append((start, end, kind))
+    return out
+
+
 def as_structs(spans: list[Span]) -> list[dict]:
     return [{"start": s, "end": e, "kind": k} for s, e, k in spans]
 

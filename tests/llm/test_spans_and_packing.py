@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from math import log10
 
 import numpy as np
 import pytest
@@ -104,6 +105,57 @@ def test_guess_cost():
     assert cost("") == 0 and cost("x" * 10_000) < 6
 
 
+def plain_cost(value, ranks):
+    """The cheapest segmentation, all ways tried."""
+    low, n = value.lower(), len(value)
+    walks, best = secrets_guess._walks(low), [0.0] + [float("inf")] * len(value)
+    for i in range(n):
+        ways = [(j, float(j - i)) for j in range(i + 1, n + 1)]
+        for j in range(i + 3, min(n, i + 24) + 1):
+            if low[i:j] in ranks:
+                upper, tail = value[i:j] != low[i:j], value[i + 1:j] != low[i + 1:j]
+                ways.append((j, log10(ranks[low[i:j]] + 1) + (log10(j - i + 1) if tail else log10(2) if upper else 0)))
+        for m in (secrets_guess._DATE.match(value, i, end) for end in range(i + 4, min(n, i + 10) + 1)):
+            ways += [(m.end(), log10(119) if m.end() - i == 4 else log10(119 * 365))] if m else []
+        ways += [(i + k, log10(40 * k)) for k in range(3, walks[i] + 1)]
+        for w in range(1, (n - i) // 2 + 1):
+            times = 1
+            while low.startswith(low[i:i + w], i + times * w):
+                times += 1
+            if times > 1 and times * w >= 3:
+                chunk = min(w, log10(ranks[low[i:i + w]] + 1) if low[i:i + w] in ranks else 99)
+                ways.append((i + times * w, chunk + log10(times)))
+        for j, cost in ways:
+            best[j] = min(best[j], best[i] + cost + (log10(2) if i else 0))
+    return best[n]
+
+
+def test_whole_values_are_priced():
+    rng = random.Random(6)
+    ranks = {"password": 1, "summer": 30, "correct": 900, "horse": 500, "abab": 70, "word": 9}
+    chunks = ["password", "Summer", "coRRect", "horse", "abab", "ab", "a", "7", "qwerty", "1234", "4321", "2019", "xK", "!",
+              "0123456789012345678901234567890", "aaaaaaa", "12/05/1999", "ababababababababab", "efefedefgfe"]
+    under = 0
+    for _ in range(3000):
+        value = "".join(rng.choices(chunks, k=rng.randrange(1, 7))) * rng.choice((1, 1, 1, 3))
+        exact, found = plain_cost(value, ranks), secrets_guess.guess_cost(value, ranks)
+        assert abs(exact - found) < 1e-9 if exact < secrets_guess.MIN_COST else found >= secrets_guess.MIN_COST, value
+        under += exact < secrets_guess.MIN_COST
+    assert 300 < under < 2900
+    assert secrets_guess.guess_cost("x" * 200 + "Zq9!xV7kTr2m", ranks) >= secrets_guess.MIN_COST
+    for long in ("ab" * 50_000, "x" * 100_000, "Zq9!xV7kTr2m" * 10_000, "0123456789" * 10_000):  # in linear time
+        assert secrets_guess.guess_cost(long, ranks) > 3
+
+
+def test_contexts_are_found_whole(spark):
+    texts = ["pwd:     Zq9!xV7kTr2m", "credentials: password: Zq9!xV7kTr2m", "auth: token: Zq9!xV7kTr2m", "pwd: " + "x" * 200 +
+             "Zq9!xV7kTr2m", "auth:token=Zq9!xV7kTr2m", "pwd: !Zq9(xV7k~0123456789abcdef~Tr2m"]
+    rows = secrets_guess.find(brute.frame(spark, texts)).orderBy("doc_id").collect()
+    found = [[(t[s.start:s.end], s.kind) for s in r.spans] for t, r in zip(texts, rows)]
+    assert found == [[("Zq9!xV7kTr2m", "guess")]] * 3 + [[("x" * 200 + "Zq9!xV7kTr2m", "guess")], [(
+        "token=Zq9!xV7kTr2m", "guess")], [("!Zq9(xV7k~", "guess"), ("0123456789abcdef", "hex"), ("~Tr2m", "guess")]]
+
+
 def test_words_of_any_rank_price_a_value(spark):
     rng = random.Random(4)
     words = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(21_000)} - {"zzzyqxkwv"}
