@@ -13,11 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.session import shared_dir, tune
+from shelfmark.session import materialize, shared_dir, tune
 
 # Rows of one Arrow batch. Texts may be long, so batches are kept small to bound the memory of a Python worker.
 BATCH_ROWS = 512
 _KEEP_WORDS = 1 << 19
+ROW = "__shelfmark_row"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -39,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key of each row in ``ROW``, written to the shared folder so that the keys stay the same."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` of ``with_rows`` but for the keys in ``dropped(gone)``, with the columns they came with."""
+    return rows.join(cut(dropped), F.col(ROW) == F.col("gone"), "left_anti").drop(ROW)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text, modulo 5. Rows with 0 are held out of training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

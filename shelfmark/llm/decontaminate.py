@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WordHashes, cut, one_table, raw_texts
+from shelfmark.llm.common import ROW, WordHashes, cut, one_table, raw_texts, with_rows, without
 
 SPAN = 13
 GRAM = 5
@@ -174,6 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with the columns they came with. Rows without a doc_id are kept."""
-    bad = contamination(docs, benchmark).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("bad"))
-    return docs.join(cut(bad.distinct()), F.col("doc_id") == F.col("bad"), "left_anti")
+    """The rows that aren't contaminated, with the columns they came with; each is judged by itself, whatever its doc_id."""
+    rows = with_rows(docs, "decontamination_rows")
+    bad = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).where("contaminated")
+    return without(rows, bad.select(F.col("doc_id").alias("gone")))

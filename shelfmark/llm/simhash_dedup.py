@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import cut, one_table, raw_texts
+from shelfmark.llm.common import ROW, cut, one_table, raw_texts, with_rows, without
 from shelfmark.llm.graph import components
 
 SHINGLE = 3
@@ -100,11 +100,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_firsts(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with the columns of ``docs``.
+    """One row of each component, the one with the least doc_id, with the columns of ``docs``.
 
-    A repeated doc_id is kept once. Rows without a doc_id can't be told apart by it and are all kept.
+    Rows are told apart by a key of their own: without a doc_id they come after those with one, and rows that share a
+    doc_id are judged each by its text.
     """
-    copies = (near_duplicates(docs.where("doc_id IS NOT NULL")).where("doc_id <> component_id")
-              .select(F.col("doc_id").alias("copy_id")))
-    firsts = docs.where("doc_id IS NOT NULL").join(cut(copies), F.col("doc_id") == F.col("copy_id"), "left_anti")
-    return firsts.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    rows = with_rows(docs, "near_dedup_rows")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("doc_id")
+    copies = near_duplicates(rows.select(own, "text")).where("doc_id <> component_id")
+    return without(rows, copies.select(F.col("doc_id")[ROW].alias("gone")))

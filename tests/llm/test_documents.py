@@ -72,6 +72,18 @@ def test_keep_firsts(spark):
     assert ids.count(None) == 2
 
 
+def test_filters_judge_rows_not_ids(spark):
+    other = brute.prose(200, 9)
+    docs = brute.frame(spark, [BASE, BASE, other, brute.prose(200, 8), other, BASE], [None, None, 5, 5, 5, None])
+    kept = simhash_dedup.keep_firsts(docs)
+    assert kept.schema == docs.schema
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(
+        map(str, [(None, BASE), (5, other), (5, brute.prose(200, 8))]))
+    bench = spark.createDataFrame([(1, " ".join(BASE.split()[20:60])), (2, other)], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.schema == docs.schema and [(r.doc_id, r.text) for r in clean.collect()] == [(5, brute.prose(200, 8))]
+
+
 ITEMS = [(1, " ".join(BASE.split()[20:60])), (2, " ".join(BASE.split()[40:55]).upper()), (3, "w1 w2 w3"), (4, "one"),
          (5, None), (6, ""), (None, "Two Words"), (7, "short only here"), (8, " ".join(BASE.split()[100:112])),
          (9, "one")]
