@@ -78,13 +78,12 @@ _CUES = frozenset(
 _WORD = re.compile(r"\S+")
 _SPACE = re.compile(r"\s")
 _EDGE_LEFT, _EDGE_RIGHT = "\"'<[{,;:", "\"'>]},;:.!?"
-_NEAR = 48  # characters looked at for the words beside a run
 
 
 def shape(word: str) -> str:
     """Character classes: letters a, digits by the length of their run up to 5, other characters as they are."""
     out = []
-    for kind, run in groupby(word[:64], key=lambda c: "9" if c in "0123456789" else "a" if c.isalpha() else c):
+    for kind, run in groupby(word, key=lambda c: "9" if c in "0123456789" else "a" if c.isalpha() else c):
         n = sum(1 for _ in run)
         out.append("a" if kind == "a" else f"9{min(n, 5)}" if kind == "9" else kind * min(n, 2))
     return "".join(out)
@@ -224,16 +223,22 @@ def _runs(text: str) -> list[tuple[list[str], list[tuple[int, int]], int]]:
             start -= 1
         space = _SPACE.search(text, m.end())
         at = space.start() if space else len(text)
-        if places and text[last:start].strip(" \t") == "":
+        if places and text[last:start].isspace():
             places[-1].append((start, at))
         else:
             places.append([(start, at)])
         last = at
     out = []
     for run in places:
-        before = text[max(0, run[0][0] - _NEAR):run[0][0]].split()[-1:]
-        after = text[run[-1][1]:run[-1][1] + _NEAR].split()[:1]
-        out.append(([*before, *(text[s:e] for s, e in run), *after], run, len(before)))
+        end = run[0][0]
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        before = [text[start:end]] if start < end else []
+        after = _WORD.search(text, run[-1][1])
+        out.append(([*before, *(text[s:e] for s, e in run), *([after[0]] if after else [])], run, len(before)))
     return out
 
 

@@ -73,6 +73,19 @@ def test_field_finds_what_the_patterns_miss(field):
     assert wrong == 0
 
 
+def test_field_joins_over_any_white_space(field):
+    for gap in (" ", "\u00a0", "\u2009", "\n", " \n "):
+        text = f"bitte{gap}telefon{gap}0221{gap}555{gap}0187 oder schreiben"
+        assert [(text[s:e], k) for s, e, k in pii_crf.field_spans(field, [text])[0]] == [
+            (f"0221{gap}555{gap}0187", "phone")], repr(gap)
+        text = f"card 4111{gap}1111{gap}1111{gap}1111 expires soon"
+        assert [(text[s:e], k) for s, e, k in pii_crf.field_spans(field, [text])[0]] == [
+            (text[5:-13], "card")], repr(gap)
+    far = "telefon" + " " * 60 + "0221 555 0187" + " " * 60 + "oder"
+    assert pii_crf._runs(far)[0][0] == ["telefon", "0221", "555", "0187", "oder"]
+    assert pii_crf.shape("x" * 80 + "@mail.example.com") == "a@a.a.a"
+
+
 TEXTS = [None, "", "plain words", "x@y.example.com x@y.example.com", "é 1.2.3.4 \U0001F600 +1 (988) 555-2485", "0" * 9000,
          "4111 1111 1111 1111 and 999.1.1.1", "a@" * 3000 + "b.c", "1.2.3." * 2000, "+1" + "(" * 5000,
          "password=b7db7aa4a5fcc78305 pwd: x7$Kp9!vQ2z pass: summer2019", "\u0130 token = 'abcdefghijklmnop'"]
