@@ -3,8 +3,9 @@
 The URLs that a rule judges are the examples: accepted ones train one model, rejected ones the other. A model is a
 variable-order Markov chain over characters: for each context length from 0 to ``ORDER`` the counts of what follows are
 blended, longer contexts over shorter ones, by Witten-Bell smoothing. Counts are Spark aggregations over all URLs of the
-training part (crc32 of the URL modulo 5 isn't 0); contexts are hashed to 2**BITS places, so both models are tables of fixed
-size. A URL's score is the difference of its log-likelihoods, divided by its length. The threshold is set on the rest of
+training part (crc32 of the URL modulo 5 isn't 0). Contexts and what follows them are exact keys of Spark tables, which
+grow with the input: each distinct run of ``ORDER + 1`` characters is priced once by joins with these tables, and each
+distinct host and path sums the prices of its runs. A URL's score is the difference of its log-likelihoods, divided by its length. The threshold is set on the rest of
 the examples, so that as large a share of the accepted as of the rejected falls on its own side.
 
 The models see host and path. They give the verdict where no rule fits.
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import cut, one_table, raw_texts
 
 ORDER = 5
-BITS = 18
 SCORE_BINS = 2_000
 MAX_SCORE = 20.0
 
@@ -67,100 +66,88 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
     return name, verdict
 
 
-def _steps(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed places of the contexts (orders x characters) and of the contexts with their next character."""
-    text = np.frombuffer(b"\x02" * ORDER + raw + b"\x03", dtype=np.uint8).astype(np.uint64)
+def _grams(raw: bytes) -> np.ndarray:
+    """For each character and the end: its byte below the ORDER bytes before it."""
+    text = np.frombuffer(b"\x02" * ORDER + raw + b"\x03", dtype=np.uint8).astype(np.int64)
     n = len(text) - ORDER
-    contexts, nexts = [], []
-    for order in range(ORDER + 1):
-        h = np.full(n, order + 1, dtype=np.uint64)
-        for k in range(order, 0, -1):
-            h = (h ^ text[ORDER - k:ORDER - k + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        follow = (h ^ (text[ORDER:] + np.uint64(512))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        mask = np.uint64(64 - BITS)
-        contexts.append(((h * np.uint64(0xD6E8FEB86659FD93)) >> mask).astype(np.int64))
-        nexts.append((follow >> mask).astype(np.int64))
-    return np.stack(contexts), np.stack(nexts)
-
-
-class Chain:
-    """Counts of contexts, of contexts with their next character, and of how many characters follow a context."""
-
-    def __init__(self, context: np.ndarray, follow: np.ndarray, kinds: np.ndarray):
-        self.context, self.follow, self.kinds = context, follow, kinds
-
-    def log_likelihood(self, contexts: np.ndarray, nexts: np.ndarray) -> float:
-        p = np.full(contexts.shape[1], 1 / 256)
-        for c, f in zip(contexts, nexts):  # Witten-Bell: a context trusts itself by its count against its kinds
-            count, kinds = self.context[c], self.kinds[c]
-            p = np.where(count > 0, (np.minimum(self.follow[f], count) + kinds * p) / np.maximum(count + kinds, 1), p)
-        return float(np.log(p).sum())
-
-
-def _counts(examples: DataFrame) -> DataFrame:
-    """(verdict, kind, place, n): how often each place occurs, and how many distinct characters follow a context.
-
-    Each task first sums its own batches, so a batch sends at most the places it met.
-    """
+    found = np.zeros(n, dtype=np.int64)
+    for k in range(ORDER + 1):
+        found = found << 8 | text[k:k + n]
+    return found
+
+
+def _steps(rows: DataFrame, key: str) -> DataFrame:
+    """(key, gram, n): the distinct grams of each row of ``rows(key, text)``."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for verdicts, column in one_table(batches, ["verdict", "text"]):
-            met: dict[str, list[np.ndarray]] = {}
-            for verdict, raw in zip(verdicts.to_pylist(), raw_texts(column)):
-                contexts, nexts = _steps(raw)
-                met.setdefault(verdict, []).append((contexts.ravel() << 32) | nexts.ravel())
-            for verdict, parts in met.items():
-                pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(
-                    {"verdict": verdict, "context": pairs >> 32, "follow": pairs & 0xFFFFFFFF, "n": n}),
-                    preserve_index=False)
-
-    pairs = (examples.mapInArrow(scan, "verdict string, context long, follow long, n long")
-             .groupBy("verdict", "context", "follow").agg(F.sum("n").alias("n")))
-    pairs = cut(pairs)
-    context = pairs.groupBy("verdict", F.col("context").alias("place")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    follow = pairs.groupBy("verdict", F.col("follow").alias("place")).agg(F.sum("n").alias("n"))
-    return (context.withColumn("kind", F.lit("context"))
-            .unionByName(follow.withColumns({"kinds": F.lit(0).cast("long"), "kind": F.lit("follow")})))
-
-
-def train(examples: DataFrame) -> dict[str, np.ndarray]:
-    """Tables of a chain for each verdict, from ``examples(verdict, text)``. At most 4 * 2**BITS rows reach the driver."""
-    tables = {v: np.zeros((3, 1 << BITS), dtype=np.float32) for v in ("allow", "block")}
-    found = _counts(examples).toPandas()
-    for (verdict, kind), rows in found.groupby(["verdict", "kind"]):
-        tables[verdict][0 if kind == "context" else 1, rows["place"]] = rows["n"]
-        if kind == "context":
-            tables[verdict][2, rows["place"]] = rows["kinds"]
-    return tables
+        for keys, column in one_table(batches, [key, "text"]):
+            found = [np.unique(_grams(raw), return_counts=True) for raw in raw_texts(column)]
+            owners = np.repeat(np.arange(len(found)), [len(grams) for grams, _ in found])
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(owners)), pa.array(np.concatenate([grams for grams, _ in found])),
+                 pa.array(np.concatenate([n for _, n in found]))], names=[key, "gram", "n"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "text").mapInArrow(scan, f"{key} {kind}, gram long, n long")
+
+
+def _orders(grams: DataFrame) -> DataFrame:
+    """A row for each context length: order, context (length and bytes) and pair (context and next byte)."""
+    before = F.shiftright("gram", 8)
+    contexts = F.array(*[before.bitwiseAND(F.lit((1 << 8 * k) - 1)).bitwiseOR(F.lit(k << 8 * ORDER))
+                         for k in range(ORDER + 1)])
+    return (grams.select("*", F.posexplode(contexts).alias("order", "context"))
+            .withColumn("pair", F.shiftleft("context", 8).bitwiseOR(F.col("gram").bitwiseAND(F.lit(255)))))
+
+
+def train(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of both chains from ``examples(verdict, text)``: of contexts with what follows, and of contexts with the
+    number of different characters that follow."""
+    grams = _steps(examples, "verdict").groupBy("verdict", "gram").agg(F.sum("n").alias("n"))
+    pairs = cut(_orders(grams).groupBy("context", "pair").agg(
+        *[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")]))
+    # A checkpoint, so that both sides of the join are plain exchanges, which Spark splits where a context is common.
+    contexts = cut(pairs.groupBy("context").agg(
+        *[c for v in ("allow", "block") for c in (F.sum(v).alias(f"n_{v}"), F.count_if(F.col(v) > 0).alias(f"kinds_{v}"))]))
+    return pairs.select("pair", "allow", "block"), contexts
+
+
+def _log(verdict: str) -> Column:
+    """Log-probability by Witten-Bell: a context trusts itself by its count against its kinds."""
+    return F.expr(f"aggregate(orders, 1 / 256D, (p, x) -> CASE WHEN x.n_{verdict} > 0 THEN (coalesce(x.{verdict}, 0) "
+                  f"+ x.kinds_{verdict} * p) / (x.n_{verdict} + x.kinds_{verdict}) ELSE p END, p -> ln(p))")
+
+
+def scores(texts: DataFrame, examples: DataFrame) -> DataFrame:
+    """(scored, score) of every distinct ``text``: the difference of log-likelihoods a character."""
+    pairs, contexts = train(examples)
+    numbered = cut(texts.select("text").distinct()).withColumn("number", F.monotonically_increasing_id())
+    steps = cut(_steps(numbered, "number"))
+    priced = (_orders(steps.select("gram").distinct()).join(contexts, "context", "left").join(pairs, "pair", "left")
+              .groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(
+                  "order", "allow", "block", "n_allow", "n_block", "kinds_allow", "kinds_block"))).alias("orders"))
+              .select("gram", (_log("allow") - _log("block")).alias("log")))
+    # Summed in the grams' order, so that a score doesn't depend on how rows were dealt.
+    sums = (steps.join(cut(priced), "gram").groupBy(F.col("number").alias("owner"))
+            .agg(F.array_sort(F.collect_list(F.struct("gram", "n", "log"))).alias("all"))
+            .select("owner", F.expr("aggregate(all, 0D, (s, x) -> s + x.n * x.log)").alias("sum"),
+                    F.expr("aggregate(all, 0L, (s, x) -> s + x.n)").alias("length")))
+    return cut(numbered.join(sums, F.col("number") == F.col("owner")).select(
+        F.col("text").alias("scored"),
+        F.when(F.col("text") == "", 0.0).otherwise(F.col("sum") / F.col("length")).alias("score")))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of ``pages``."""
     host, path = host_and_path(F.col("url"))
-    kind = pages.schema["page_id"].dataType.simpleString()
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     known = split.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"),
                          F.concat("host", "path").alias("text"),
                          (F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5 == 0).alias("held"))
     examples = known.where("ruled IS NOT NULL AND NOT held").select(F.col("ruled").alias("verdict"), "text")
-    tables = pages.sparkSession.sparkContext.broadcast(train(examples))  # tables of fixed size
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "host", "path", "rule", "ruled", "held"]
-        allow, block = Chain(*tables.value["allow"]), Chain(*tables.value["block"])
-        for columns in one_table(batches, [*names, "text"]):
-            scores = []
-            for raw in raw_texts(columns[-1]):
-                steps = _steps(raw)
-                scores.append((allow.log_likelihood(*steps) - block.log_likelihood(*steps)) / len(steps[0][0])
-                              if raw else 0.0)
-            yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(scores, pa.float64())], names=[*names, "score"])
-
-    scored = cut(known.mapInArrow(scan, f"page_id {kind}, host string, path string, rule string, ruled string, "
-                                        "held boolean, score double"))
+    by_text = scores(known, examples)
+    scored = cut(known.join(by_text, F.col("text") == F.col("scored"))
+                 .select("page_id", "host", "path", "rule", "ruled", "held", "score"))
     at = threshold(scored.where("ruled IS NOT NULL AND held"))
     by_score = F.when(F.col("score") >= at, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_score).alias("verdict"), "score")

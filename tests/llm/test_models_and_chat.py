@@ -1,5 +1,9 @@
 """Classifiers on held-out labels, URL filters, quotation linking, and the pipeline against plain steps."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +88,43 @@ def test_url_models_tell_the_kinds_apart(spark):
     assert [r.verdict for r in rows] == [v for _, v in new]
 
 
+def plain_score(text, good, bad):
+    """Both chains over all counts, one character at a time."""
+    def log(examples):
+        follow = [Counter() for _ in range(6)]
+        for example in examples:
+            raw = b"\x02" * 5 + example.encode() + b"\x03"
+            for i in range(5, len(raw)):
+                for k in range(6):
+                    follow[k][raw[i - k:i], raw[i]] += 1
+        raw, total = b"\x02" * 5 + text.encode() + b"\x03", 0.0
+        for i in range(5, len(raw)):
+            p = 1 / 256
+            for k in range(6):
+                own = {c: n for (context, c), n in follow[k].items() if context == raw[i - k:i]}
+                if own:
+                    p = (own.get(raw[i], 0) + len(own) * p) / (sum(own.values()) + len(own))
+            total += math.log(p)
+        return total
+    return (log(good) - log(bad)) / (len(text.encode()) + 1)
+
+
+def test_url_scores_are_exact(spark):
+    good, bad, new = ["a.org/fr/x-é", "a.org/fr/x-é", "b.org/fr/yy"], ["c.net/win", "c.net/%ff"], ["a.net/fr/x", "q", ""]
+    examples = spark.createDataFrame([("allow", t) for t in good] + [("block", t) for t in bad], "verdict string, text string")
+    rows = url_filter.scores(spark.createDataFrame([(t,) for t in new + good + new], "text string"), examples).collect()
+    found = {r.scored: r.score for r in rows}
+    assert len(rows) == len(found) == 5 and found[""] == 0
+    assert all(abs(s - plain_score(t, good, bad)) < 1e-9 for t, s in found.items() if t)
+
+
+def test_url_tables_grow_with_the_input(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-/", k=60)) for _ in range(2500)]
+    pairs, contexts = url_filter.train(spark.createDataFrame([("allow", t) for t in texts], "verdict string, text string"))
+    assert pairs.count() > 1 << 18 and contexts.agg(F.max("n_allow")).first()[0] == 2500 * 61
+
+
 def test_quote_links(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> hello   THERE\nFine."),
             (1, 2, "user", ">> Hello there\n> Fine.\nGood!"), (1, 3, "user", "> Good!\n> Fine.\nSee you"),
