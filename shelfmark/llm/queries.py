@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
+    centroids,
     decontaminate,
+    divergence,
+    language_gru,
     packing,
     pii_crf,
     quality_pu,
@@ -89,6 +92,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets_guess.find(table(spark, sf_dir, "documents")), secrets_guess.KINDS[:3])
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return language_gru.predict(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return divergence.diverging(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return centroids.inertia(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -174,6 +192,58 @@ r AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_hit, 0)
 SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM r
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+l AS (SELECT lang, sum(n) AS total, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gt AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g
+       LEFT JOIN (SELECT c.* FROM c SEMI JOIN k USING (lang, term)) c USING (lang, source) GROUP BY ALL),
+s AS (SELECT gt.lang, gt.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gt.total + 2 * l.v) AS p,
+             1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * l.v) AS q
+      FROM gt JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+         FROM s a JOIN s b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sums.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+          FROM s WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+      FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _op13_sql(rounds: int = centroids.ROUNDS, clusters: int = centroids.CLUSTERS) -> str:
+    """Lloyd's rounds by comparing every vector with every centroid, one set of tables a round."""
+    steps = ["""v AS (SELECT row_number() OVER () AS rid, vec_id,
+      [floor(64.0::DOUBLE * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64)""",
+             f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k, v FROM v
+       QUALIFY k < {clusters})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS (SELECT rid, vec_id, v.v, k,
+       list_sum([(v.v[i] - c{n}.v[i]) * (v.v[i] - c{n}.v[i]) for i in range(1, 65)])::BIGINT AS d FROM v, c{n}
+       QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x,
+       generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY ALL)""")
+            steps.append(f"""c{n + 1} AS (SELECT c{n}.k, coalesce(m.v, c{n}.v) AS v FROM c{n} LEFT JOIN (SELECT k,
+       array_agg(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM m{n} GROUP BY k) m USING (k))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_quality": (op1_quality, None),
     "op2_decontamination": (op2_decontamination, OP2_SQL),
@@ -185,5 +255,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_url_filter": (op8_url_filter, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_secrets": (op10_secrets, None),
+    "op11_language": (op11_language, None),
+    "op12_divergence": (op12_divergence, OP12_SQL),
+    "op13_centroids": (op13_centroids, OP13_SQL),
     "pipeline": (pipeline, None),
 }

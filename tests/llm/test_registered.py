@@ -11,7 +11,7 @@ from tests.conftest import SF
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(entry.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
@@ -24,7 +24,7 @@ def test_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name,table", [("op1_quality", "documents"), ("op3_simhash", "documents"), ("op7_pii", "documents"),
                                         ("op8_url_filter", "pages"), ("op9_toxicity", "documents"),
-                                        ("op10_secrets", "documents")])
+                                        ("op10_secrets", "documents"), ("op11_language", "documents")])
 def test_a_row_for_every_row(spark, name, table):
     assert QUERIES[name][0](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
