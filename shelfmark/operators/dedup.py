@@ -6,24 +6,29 @@ or above the threshold therefore needs
     0.4 (1 - artist) + 0.5 (1 - title) <= 1 - threshold      (the "loss budget")
 
 so at least one of the two names uses no more than half of that budget. That
-gives two cases that together find every pair:
+gives two cases that together find every pair once:
 
-  A. the artists are close (half budget) and the titles are within full budget;
-  B. the titles are close (half budget) and the artists are within full budget.
+  A. the artists are close (half budget);
+  B. the titles are close (half budget) and the artists are not.
 
-Blocking: two names within edit distance d share one of three kinds of keys.
+Each case works in two steps.
 
-  * Pieces: cut the longer one into d + 1 pieces; one occurs in the other at
-    nearly the same place. Very selective, unless many names share a beginning.
-  * Two grams: an edit takes at most two of the two-letter grams of a name (with
-    a mark at both ends). If at most m can be lost, two of the m + 2 rarest are
-    shared, so beginnings that a whole library shares don't count.
-  * A gram of the close name and one of the other name: for close names that
-    very many albums have.
+1. Close names. Distinct artists (titles) that are close to each other, whatever
+   number of albums they have. Two names within edit distance d share one of two
+   kinds of keys: a piece (cut the longer one into d + 1 pieces; one occurs in
+   the other at nearly the same place), or two of the rarest two-letter grams (an
+   edit takes at most two grams of a name, so if at most m can be lost, two of
+   the m + 2 rarest are shared). Each name asks by the kind that promises it the
+   fewest partners, from the counts of its own keys, and answers to both.
 
-Each name asks by the kind that promises it the fewest partners, from the counts
-of its own keys, and answers to all. The exact score has the last word; no pair
-is lost.
+2. The other name. Once the distance of the close names is known, the rest of the
+   budget bounds the distance of the other names. Where a pair of close names has
+   few albums they are compared outright. Where it has many, as one artist with
+   many albums has with itself, they meet by the pieces of the other name, cut for
+   the loss that is left.
+
+The exact score has the last word; no pair is lost. Cost follows the pairs of
+close names, plus the albums of common names, plus the pairs found.
 """
 
 from __future__ import annotations
@@ -33,12 +38,17 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as tx
 from shelfmark.refdata import DUPLICATE_THRESHOLD
-from shelfmark.session import materialize
+from shelfmark.session import materialize, spread
 
 EPS = 1e-9
 
+# A pair of close names whose albums make more pairs than this meets by pieces of the other name.
+OUTRIGHT = 1024
+# Beyond this loss every piece of a name can be lost and pieces say nothing.
+LARGEST_PIECE_LOSS = 0.5
+
 
-def _piece_keys(s: str, length: str, max_loss: float) -> Column:
+def _piece_keys(s: str, length: str, max_loss: float | str) -> Column:
     """Pieces of a string that plays the longer part: one key per piece."""
     d = f"CAST(floor({length} * {max_loss} + {EPS}) AS INT)"
     return F.expr(f"""
@@ -49,7 +59,7 @@ def _piece_keys(s: str, length: str, max_loss: float) -> Column:
                       - CAST(floor(i * {length} / ({d} + 1)) AS INT)) AS txt))""")
 
 
-def _window_keys(s: str, length: str, max_loss: float) -> Column:
+def _window_keys(s: str, length: str, max_loss: float | str) -> Column:
     """Substrings of a string that plays the shorter part, for every longer length it may meet.
 
     Piece i of a longer string of length L starts at p = floor(i L / (d + 1)). If
@@ -72,104 +82,150 @@ def _window_keys(s: str, length: str, max_loss: float) -> Column:
                 ELSE CAST(array() AS array<struct<len:int,piece:int,txt:string>>) END)))))""")
 
 
-def _counted(strings: DataFrame, column: str, keys: Column, out: str) -> DataFrame:
-    """The keys of each string with the number of names that have them, rarest first: ``out`` of struct(n, key)."""
-    rows = strings.select(column, "w", F.explode(keys).alias("key"))
-    counts = rows.groupBy("key").agg(F.sum("w").alias("n"))
-    return (rows.join(counts, "key").groupBy(column)
+def _counted(strings: DataFrame, keys: Column, out: str) -> DataFrame:
+    """The keys of each string with the number of strings that have them, rarest first: ``out`` of struct(n, key)."""
+    rows = strings.select("sid", F.explode(keys).alias("key"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return (rows.join(counts, "key").groupBy("sid")
             .agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias(out)))
 
 
-def _profiled(names: DataFrame, column: str, loss: float) -> DataFrame:
-    """Names with the counted grams and pieces of one column. The k-th occurrence of a gram is a gram of its own."""
-    strings = names.groupBy(column).agg(F.count(F.lit(1)).alias("w")).withColumn("g", F.expr(
-        f"transform(sequence(1, length({column}) + 1), "
-        f"i -> substring(concat('\u0001', {column}, '\u0001'), i, 2))"))
-    grams = _counted(strings, column, F.expr(
-        "transform(g, (x, i) -> xxhash64(x, size(filter(slice(g, 1, i), y -> y = x))))"), f"{column}_grams")
-    pieces = _counted(strings, column, _hashed(_piece_keys(column, f"length({column})", loss)), f"{column}_pieces")
-    return names.join(grams, column).join(pieces, column)
-
-
 def _hashed(keys: Column) -> Column:
     return F.transform(keys, lambda k: F.xxhash64(k["len"], k["piece"], k["txt"]))
 
 
-def _lost(column: str, loss: float) -> Column:
+def _lost(loss: float) -> Column:
     """How many grams of a name a partner within ``loss`` can lack. One that is k letters longer lacks k fewer."""
-    lost = [2 * F.floor((F.length(column) + k) * F.lit(loss) + EPS) - k for k in (0, 1)]
+    lost = [2 * F.floor((F.length("s") + k) * F.lit(loss) + EPS) - k for k in (0, 1)]
     return F.greatest(*lost).cast("int")
 
 
-def _rare(column: str, loss: float, shared: int, total: int) -> Column:
-    """Enough of the rarest grams that a name within ``loss`` has ``shared`` of them too, if it has as many grams.
+def _weight(keys: Column) -> Column:
+    return F.aggregate(keys, F.lit(0.0), lambda s, x: s + x["n"])
 
-    Beyond a loss of one half every gram can be lost, and the name says nothing.
-    """
-    if loss > 0.5 + EPS:
-        return F.array(F.struct(F.lit(total).cast("long").alias("n"), F.lit(0).cast("long").alias("key")))
-    return F.slice(f"{column}_grams", 1, _lost(column, loss) + shared)
 
+def _edits(x: str, y: str, loss: Column | float) -> Column:
+    """Edit distance of two names, -1 beyond ``loss`` of the longer one; the computation stops there."""
+    most = F.floor(F.greatest(F.length(x), F.length(y)) * F.least(F.lit(1.0), F.lit(loss) if isinstance(loss, float) else loss)
+                   + EPS).cast("int")
+    return F.call_function("levenshtein", F.col(x), F.col(y), most)
 
-def _weight(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0.0), lambda s, x: s + x["n"])
 
+def _share(edits: Column, x: str, y: str) -> Column:
+    """Edits as a part of the longer name, 0 for two empty names."""
+    return edits.cast("double") / F.greatest(F.length(x), F.length(y), F.lit(1)).cast("double")
 
-def _case(names: DataFrame, strict: str, loose: str, strict_loss: float, loose_loss: float, total: int) -> DataFrame:
-    """Pairs (id1, id2, lengths) that may be within both losses.
 
-    The longer of two strict names asks by the kind of key that it expects the fewest partners from; the shorter
-    one answers to all kinds.
+def _met_names(strings: DataFrame, loss: float) -> DataFrame:
+    """Pairs of distinct ``strings(sid, s)`` that may be within ``loss``, the longer one first; with repeats.
+
+    The longer of two asks by the kind of key that it expects the fewest partners from; the shorter one answers to
+    both kinds. The k-th occurrence of a gram in a name is a gram of its own.
     """
-    tag = F.lit(strict)
-    pieces = F.col(f"{strict}_pieces")
+    own = strings.withColumn("g", F.expr(
+        "transform(sequence(1, length(s) + 1), i -> substring(concat('\u0001', s, '\u0001'), i, 2))"))
+    grams = _counted(own, F.expr(
+        "transform(g, (x, i) -> xxhash64(x, size(filter(slice(g, 1, i), y -> y = x))))"), "grams")
+    pieces = _counted(own, _hashed(_piece_keys("s", "length(s)", loss)), "pieces")
+    total = F.lit(float(max(strings.count(), 1)))
+    held = strings.join(grams, "sid").join(pieces, "sid").select(
+        "sid", "s", "pieces", F.slice("grams", 1, _lost(loss) + 2).alias("two"),
+        (F.size("grams") >= _lost(loss) + 2).alias("enough"))
     two = F.expr("flatten(transform(two, (x, i) -> transform(slice(two, i + 2, size(two)), "
-                 f"y -> xxhash64('{strict}', 2, x.key, y.key))))")
-    both = F.flatten(F.transform("one", lambda x: F.transform(
-        "other", lambda y: F.xxhash64(tag, F.lit(1), x["key"], y["key"]))))
-    held = names.select(
-        "id", F.length("a").alias("la"), F.length("t").alias("lt"), strict, F.length(strict).alias("len"),
-        pieces.alias("pieces"), _rare(strict, strict_loss, 1, total).alias("one"),
-        _rare(strict, strict_loss, 2, total).alias("two"), _rare(loose, loose_loss, 1, total).alias("other"),
-        (F.size(f"{strict}_grams") >= _lost(strict, strict_loss) + 2).alias("enough"))
-    of_two = F.when(F.col("enough"), (_weight(F.col("two")) ** 2 - F.aggregate(
-        "two", F.lit(0.0), lambda s, x: s + x["n"].cast("double") ** 2)) / (2.0 * max(total, 1)))
-    guessed = held.withColumns({"by_piece": _weight(F.col("pieces")), "by_two": of_two, "by_both": _weight(
-        F.col("one")) * _weight(F.col("other")) / float(max(total, 1))}).withColumn(
-        "least", F.least("by_piece", "by_two", "by_both"))
-    asked = (F.when(F.col("by_piece") == F.col("least"), F.col("pieces.key"))
-             .when(F.col("by_two") == F.col("least"), two).otherwise(both))
-    answers = F.concat(_hashed(_window_keys(strict, f"length({strict})", strict_loss)), two, both)
-    facts = ["id", "la", "lt", "len"]
-
-    def side(df: DataFrame, keys: Column, number: int) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{c}{number}") for c in facts], F.explode(keys).alias("key"))
-    longer = (F.col("len1") > F.col("len2")) | ((F.col("len1") == F.col("len2")) & (F.col("id1") > F.col("id2")))
-    return side(guessed, asked, 1).join(side(held, answers, 2), "key").where(longer)
+                 "y -> xxhash64(2, x.key, y.key))))")
+    of_two = (_weight(F.col("two")) ** 2 - F.aggregate(
+        "two", F.lit(0.0), lambda s, x: s + x["n"].cast("double") ** 2)) / (2.0 * total)
+    asks_two = F.col("enough") & (of_two < _weight(F.col("pieces")))
+    held = materialize(held.select("sid", "s", F.when(asks_two, two).otherwise(F.col("pieces.key")).alias("asked"),
+                                   F.concat(_hashed(_window_keys("s", "length(s)", loss)), two).alias("answers")), "profiles")
+    held = spread(held)  # few bytes, but many pairs to compare
 
+    def side(keys: str, number: int) -> DataFrame:
+        return held.select(F.col("sid").alias(f"sid{number}"), F.col("s").alias(f"s{number}"), F.explode(keys).alias("key"))
+    longer = (F.length("s1") > F.length("s2")) | ((F.length("s1") == F.length("s2")) & (F.col("sid1") > F.col("sid2")))
+    return side("asked", 1).join(side("answers", 2), "key").where(longer).drop("key")
 
-def candidates(names: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
-    """Pairs (id1 < id2) of ``names(id, a, t)``, distinct names: all near-duplicates and some others."""
-    budget = 1.0 - threshold
-    a, t = budget / tx.ARTIST_WEIGHT, budget / tx.TITLE_WEIGHT
-    if a > 1 + EPS:
+
+def close_names(strings: DataFrame, loss: float) -> DataFrame:
+    """Pairs (sid1, sid2, off) of ``strings(sid, s)`` within ``loss``, once each, and every string with itself."""
+    edits = _edits("s1", "s2", loss)
+    pairs = (_met_names(strings, loss).withColumn("edits", edits).where("edits >= 0")
+             .select("sid1", "sid2", _share(F.col("edits"), "s1", "s2").alias("off")).distinct())
+    return pairs.unionByName(strings.select(F.col("sid").alias("sid1"), F.col("sid").alias("sid2"), F.lit(0.0).alias("off")))
+
+
+def _case(names: DataFrame, strict: str, loose: str, strict_weight: float, loose_weight: float, budget: float) -> DataFrame:
+    """Pairs of ``names`` with close strict names whose loose names may be within the rest of the budget.
+
+    Columns: id1, id2, loose1, loose2, off (of the strict names) and left (the loss that is left).
+    """
+    strings = materialize(names.groupBy(F.col(strict).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+                          .withColumn("sid", F.monotonically_increasing_id()), "strings")
+    sizes = strings.select("sid", "n")
+    left = (F.lit(budget) - F.col("off") * strict_weight) / loose_weight
+    close = materialize(close_names(strings.select("sid", "s"), budget / 2 / strict_weight)
+                        .join(sizes.withColumnsRenamed({"sid": "sid1", "n": "n1"}), "sid1")
+                        .join(sizes.withColumnsRenamed({"sid": "sid2", "n": "n2"}), "sid2")
+                        .select("sid1", "sid2", "off", left.alias("left"),
+                                ((F.col("n1").cast("double") * F.col("n2") > OUTRIGHT)
+                                 & (left <= LARGEST_PIECE_LOSS + EPS)).alias("common")), "close")
+    held = materialize(names.join(strings.select(F.col("s").alias(strict), "sid"), strict)
+                       .select("sid", "id", F.col(loose).alias("loose")), "albums")
+    close = spread(close)
+
+    def of(number: int) -> DataFrame:
+        return held.select(*[F.col(c).alias(f"{c}{number}") for c in held.columns])
+    apart = (F.col("sid1") != F.col("sid2")) | (F.col("id1") < F.col("id2"))
+    outright = close.where("NOT common").join(of(1), "sid1").join(of(2), "sid2").where(apart)
+
+    common = close.where("common").withColumn("pair", F.xxhash64("sid1", "sid2"))
+    single = F.col("sid1") == F.col("sid2")
+    sides = common.select("pair", "off", "left", single.alias("single"), F.lit(1).alias("side"), F.col("sid1").alias("sid")
+                          ).unionByName(common.where(~single).select(
+                              "pair", "off", "left", F.lit(False).alias("single"), F.lit(2).alias("side"),
+                              F.col("sid2").alias("sid")))
+    rows = sides.join(held, "sid").withColumn("len", F.length("loose"))
+    # every album asks as the longer and answers as the shorter of two
+    asks = rows.select("pair", "off", "left", "single", *[F.col(c).alias(f"{c}1") for c in ("side", "id", "loose", "len")],
+                       F.explode(_hashed(_piece_keys("loose", "length(loose)", "left"))).alias("key"))
+    answers = rows.select("pair", *[F.col(c).alias(f"{c}2") for c in ("side", "id", "loose", "len")],
+                          F.explode(_hashed(_window_keys("loose", "length(loose)", "left"))).alias("key"))
+    first = (F.col("len1") > F.col("len2")) | ((F.col("len1") == F.col("len2")) & F.when(
+        F.col("side1") == F.col("side2"), F.col("id1") > F.col("id2")).otherwise(F.col("side1") < F.col("side2")))
+    keyed = (asks.join(answers, ["pair", "key"]).where(first & (F.col("single") | (F.col("side1") != F.col("side2"))))
+             .select("id1", "id2", "loose1", "loose2", "off", "left").distinct())
+    return outright.select(*keyed.columns).unionByName(keyed).where(
+        F.abs(F.length("loose1") - F.length("loose2")) <= F.floor(
+            F.greatest(F.length("loose1"), F.length("loose2")) * F.col("left") + EPS))
+
+
+def _cases(names: DataFrame, budget: float) -> list[tuple[str, str, DataFrame]]:
+    if budget / tx.ARTIST_WEIGHT > 1 + EPS:
         raise ValueError("the threshold is too low: two albums may match without sharing any part of a name")
-    total = names.count()
-    known = materialize(_profiled(_profiled(names, "a", a / 2), "t", t / 2), "profiles")
-
-    def gap(x: str, y: str) -> Column:  # what the difference of lengths costs at least
-        return F.abs(F.col(x) - F.col(y)) / F.greatest(F.col(x), F.col(y), F.lit(1))
-    cost = gap("la1", "la2") * tx.ARTIST_WEIGHT + gap("lt1", "lt2") * tx.TITLE_WEIGHT
-    met = _case(known, "a", "t", a / 2, t, total).unionByName(_case(known, "t", "a", t / 2, a, total))
-    return met.where(cost <= budget + EPS).select(
+    return [("a", "t", _case(names, "a", "t", tx.ARTIST_WEIGHT, tx.TITLE_WEIGHT, budget)),
+            ("t", "a", _case(names, "t", "a", tx.TITLE_WEIGHT, tx.ARTIST_WEIGHT, budget))]
+
+
+def candidates(names: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
+    """Pairs (id1 < id2) of ``names(id, a, t)`` that are compared: all near-duplicates and some others. For inspection."""
+    (_, _, first), (_, _, second) = _cases(names, 1.0 - threshold)
+    return first.unionByName(second).select(
         F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
 
 
-def _closeness(x: str, y: str, loss: float) -> Column:
-    """Similarity of two names, null beyond ``loss``; the distance computation stops there."""
-    longest = F.greatest(F.length(x), F.length(y))
-    d = F.expr(f"levenshtein({x}, {y}, CAST(floor(greatest(length({x}), length({y})) * {min(loss, 1.0)} + {EPS}) AS INT))")
-    return F.when(d >= 0, F.lit(1.0) - d.cast("double") / F.greatest(longest, F.lit(1)).cast("double"))
+def close_albums(names: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
+    """Pairs (id1, id2, a_sim, t_sim) of distinct ``names(id, a, t)`` within the loss budget, once each."""
+    budget = 1.0 - threshold
+    out = None
+    for strict, loose, met in _cases(names, budget):
+        edits = _edits("loose1", "loose2", F.col("left"))
+        off = _share(F.col("edits"), "loose1", "loose2")
+        near = met.withColumn("edits", edits).where("edits >= 0").withColumn("off2", off)
+        if strict == "t":  # close artists are the other case's; both compute the same part from the same two names
+            near = near.where(F.col("off2") > F.lit(budget / 2 / tx.ARTIST_WEIGHT) + EPS)
+        found = near.select("id1", "id2", (1 - F.col("off")).alias(f"{strict}_sim"), (1 - F.col("off2")).alias(f"{loose}_sim"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _signature() -> list[Column]:
@@ -208,26 +264,18 @@ def duplicate_pairs(albums: DataFrame, threshold: float = DUPLICATE_THRESHOLD) -
     refused. Signatures feed several branches and are written to the shared
     folder once.
     """
-    budget = 1.0 - threshold
     sig = materialize(signatures(albums), "signatures")
     names = materialize(sig.select("a", "t").distinct().withColumn("id", F.monotonically_increasing_id()), "names")
-    met = (candidates(names, threshold)
-           .join(names.select(F.col("id").alias("id1"), F.col("a").alias("a1"), F.col("t").alias("t1")), "id1")
-           .join(names.select(F.col("id").alias("id2"), F.col("a").alias("a2"), F.col("t").alias("t2")), "id2"))
-    close = (met.withColumn("a_sim", _closeness("a1", "a2", budget / tx.ARTIST_WEIGHT)).where("a_sim IS NOT NULL")
-             .withColumn("t_sim", _closeness("t1", "t2", budget / tx.TITLE_WEIGHT)).where("t_sim IS NOT NULL")
-             .where((1 - F.col("a_sim")) * tx.ARTIST_WEIGHT + (1 - F.col("t_sim")) * tx.TITLE_WEIGHT <= budget + EPS)
-             .select("a1", "t1", "a2", "t2", "a_sim", "t_sim"))
-    same = names.select(F.col("a").alias("a1"), F.col("t").alias("t1"), F.col("a").alias("a2"), F.col("t").alias("t2"),
-                        F.lit(1.0).alias("a_sim"), F.lit(1.0).alias("t_sim"))
-    left = sig.select(F.col("a").alias("a1"), F.col("t").alias("t1"), F.col("n").alias("n1"),
-                      F.col("canonical_key").alias("k1"), F.col("members").alias("m1"))
-    right = sig.select(F.col("a").alias("a2"), F.col("t").alias("t2"), F.col("n").alias("n2"),
-                       F.col("canonical_key").alias("k2"), F.col("members").alias("m2"))
+    close = close_albums(names, threshold)
+    same = names.select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("a_sim"),
+                        F.lit(1.0).alias("t_sim"))
+    held = materialize(sig.join(names, ["a", "t"]).select("id", "n", F.col("canonical_key").alias("k"),
+                                                          F.col("members").alias("m")), "counts")
+    left, right = (held.select(*[F.col(c).alias(f"{c}{i}") for c in held.columns]) for i in (1, 2))
     score = tx.weighted_similarity(F.col("a_sim"), F.col("t_sim"), tx.count_similarity("n1", "n2"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(left, ["a1", "t1"]).join(right, ["a2", "t2"]).withColumn("similarity", score)
+        return (pairs.join(left, "id1").join(right, "id2").withColumn("similarity", score)
                 .where(F.col("similarity") >= threshold))
     found = scored(close).unionByName(scored(same).where("k1 < k2"))
     in_order = F.col("k1") < F.col("k2")

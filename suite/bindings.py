@@ -79,14 +79,22 @@ def part_albums(spark: SparkSession, sf: str) -> DataFrame:
                               F.col("year").cast("string"), F.lit(")/01.flac")))
 
 
+# What the worn albums of one gap have among their categories.
+ODD_CATEGORIES = {4: " ", 5: "1977", 6: "Progressive Symphonic Rock Of The Early And The Middle Seventies",
+                  7: "Rock rock", 8: "Pop//Rock"}
+BARE_ARTISTS = ["Brand#4", "Brand#11"]
+
+
 def worn_albums(spark: SparkSession, sf: str) -> DataFrame:
-    """The part albums with gaps: lost artists, blank and repeated titles, blank and numeric categories."""
+    """The part albums with gaps: lost artists, blank and repeated titles, odd categories, artists without categories."""
     gap = F.col("total_duration").cast("bigint") % 20
+    genres = F.when(F.col("artist").isin(BARE_ARTISTS) & (gap >= 10), F.array().cast("array<string>"))
+    for at, odd in ODD_CATEGORIES.items():
+        genres = genres.when(gap == at, F.array_append("genres", F.lit(odd)))
     return part_albums(spark, sf).withColumns({
         "artist": F.when(gap != 1, F.col("artist")),
         "album": F.when(gap == 2, " ").when(gap == 3, F.col("artist")).otherwise(F.col("album")),
-        "genres": F.when(gap == 4, F.array_append("genres", F.lit(" "))).when(
-            gap == 5, F.array_append("genres", F.lit("1977"))).otherwise(F.col("genres"))})
+        "genres": genres.otherwise(F.col("genres"))})
 
 
 def part_tracks(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,11 +356,12 @@ SQL: dict[str, str] = {
                CAST(sum(p_size) AS DOUBLE) AS total_duration, min(p_size) + 1949 AS year,
                '/lib/' || p_brand || '/' || p_name || ' (' || (min(p_size) + 1949) || ')/01.flac' AS file_path
         FROM part GROUP BY p_brand, p_name""",
-    "worn_albums": """
+    "worn_albums": f"""
         SELECT album_key, CASE WHEN gap <> 1 THEN artist END AS artist,
                CASE gap WHEN 2 THEN ' ' WHEN 3 THEN artist ELSE album END AS album,
-               CASE gap WHEN 4 THEN list_append(genres, ' ') WHEN 5 THEN list_append(genres, '1977') ELSE genres END
-               AS genres, track_count
+               CASE WHEN artist IN ({", ".join(f"'{a}'" for a in BARE_ARTISTS)}) AND gap >= 10 THEN CAST([] AS VARCHAR[])
+                    {" ".join(f"WHEN gap = {k} THEN list_append(genres, '{v}')" for k, v in ODD_CATEGORIES.items())}
+                    ELSE genres END AS genres, track_count
         FROM (SELECT *, CAST(total_duration AS BIGINT) % 20 AS gap FROM part_albums)""",
     "order_albums": f"""
         SELECT {_ARTIST} || '|' || {_TITLE} AS album_key, {_ARTIST} AS artist, {_TITLE} AS album,

@@ -127,98 +127,101 @@ add("track_issues",
     lambda s, d: ql.track_issues(b.rough_albums(s, d), b.order_tracks(s, d)),
     f"SELECT {C} FROM track_found", TRACKS)
 
-EVERY = {
-    **USED, **ARTISTS, "used": USED["used"],
-    **TRACKS,
-    "track_facts": TRACKS["track_facts"].replace(
-        "rough_albums a ON a.album_key = t.album_key",
-        "order_albums a ON regexp_extract(a.album, '[0-9]+$') = t.album_key"),
-    "order_rough": "SELECT album_key, artist, album FROM order_albums WHERE artist = album",
-    "every": f"SELECT {C} FROM genre_found UNION ALL SELECT {C} FROM artist_found "
-             f"UNION ALL SELECT {C} FROM track_found",
-}
-
+add("duplicate_issues",
+    lambda s, d: ql.duplicate_issues(b.part_albums(s, d)).groupBy("album_key", "artist", "album", "severity").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.max("confidence")).alias("top")),
+    """SELECT key1 AS album_key, artist, album, 'warning' AS severity, count(*) AS n,
+              round(max(similarity * 100), 6) AS top
+       FROM sims JOIN part_albums ON album_key = key1 WHERE similarity >= 0.85::double GROUP BY 1, 2, 3""",
+    {"sims": __import__("suite.q_matching", fromlist=["PAIRS"]).PAIRS["sims"]})
 
-def tracks_of_orders(s, d):
-    """The tracks of the order albums, whose titles end in the order's key."""
-    keys = b.order_albums(s, d).select("album_key", F.regexp_extract("album", "[0-9]+$", 0).alias("order_key"))
-    return b.order_tracks(s, d).withColumnRenamed("album_key", "order_key").join(keys, "order_key").drop("order_key")
+# The lists of the worn albums, under names of their own beside those of single values.
+_LISTS = b.lists_sql("worn_albums")
+WORN_LISTS = {f"w_{k}": re.sub(rf"\b({'|'.join(_LISTS)})\b(?!\.)", r"w_\1", v) for k, v in _LISTS.items()}
+WORN = {
+    **USED, "used": "SELECT album_key, artist, album, unnest(genres) AS genre FROM worn_albums",
+    **WORN_LISTS,
+    "artist_facts": """
+        SELECT a.artist, n, w, coalesce(u, 0) AS u
+        FROM (SELECT artist, count(*) AS n, count(*) FILTER (len(genres) > 0) AS w FROM worn_albums GROUP BY 1) a
+        LEFT JOIN (SELECT artist, count(DISTINCT genre) AS u FROM worn_albums JOIN w_norm_list USING (album_key)
+                   GROUP BY 1) l ON l.artist IS NOT DISTINCT FROM a.artist""",
+    "track_facts": """
+        SELECT album_key, artist, album, t.n, who, unnamed
+        FROM (SELECT p_brand || '|' || p_name AS album_key, count(*) AS n, count(DISTINCT s_name) AS who,
+                     count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS unnamed
+              FROM lines GROUP BY 1 HAVING count(*) >= 2) t JOIN worn_albums USING (album_key)""",
+    "artist_found": ARTISTS["artist_found"], "track_found": TRACKS["track_found"],
+    "gaps_found": ROUGH["rough_found"].replace("rough_albums", "worn_albums"),
+    "names": """
+        SELECT album_key, lower(coalesce(artist, '')) AS a, lower(coalesce(album, '')) AS t, track_count AS n
+        FROM worn_albums""",
+    "sigs": "SELECT a, t, n, min(album_key) AS album_key, count(*) AS copies FROM names GROUP BY 1, 2, 3",
+    "alike": f"""
+        SELECT x.album_key, y.album_key AS other,
+               ({lev('x.a', 'y.a')}) * 0.4::double + ({lev('x.t', 'y.t')}) * 0.5::double
+               + (1::double - abs(x.n - y.n)::double / greatest(x.n, y.n)::double) * 0.1::double AS similarity
+        FROM sigs x JOIN sigs y ON x.album_key < y.album_key
+        UNION ALL SELECT m.album_key, sigs.album_key, 1::double FROM names m JOIN sigs USING (a, t, n)
+        WHERE m.album_key <> sigs.album_key""",
+    "alike_found": """
+        SELECT 'potential_duplicate' AS issue_type, 'warning' AS severity, a.album_key, a.artist, a.album,
+               'Potential duplicate: "' || coalesce(o.artist, 'null') || ' - ' || o.album || '" (similarity: '
+               || CAST(round(similarity * 100) AS INTEGER) || '%)' AS description,
+               'Review and remove duplicate or mark as different edition' AS suggested_fix, similarity * 100 AS confidence
+        FROM alike JOIN worn_albums a ON a.album_key = alike.album_key JOIN worn_albums o ON o.album_key = other
+        WHERE similarity >= 0.85::double""",
+    "every": " UNION ALL ".join(f"SELECT {C} FROM {part}_found"
+                                for part in ("genre", "artist", "gaps", "track", "alike")),
+}
 
 
 def issues(s, d):
-    return ql.all_issues(b.order_albums(s, d), tracks_of_orders(s, d), b.TAX, duplicates=False)
+    """All rules, near-duplicates included, over the worn albums and their tracks."""
+    return ql.all_issues(b.worn_albums(s, d), b.part_tracks(s, d), b.TAX)
 
 
 add("issue_summary",
     lambda s, d: ql.issue_summary(issues(s, d)),
     """SELECT 'total' AS level, 'all' AS name, count(*) AS n FROM every
        UNION ALL SELECT 'severity', severity, count(*) FROM every GROUP BY severity
-       UNION ALL SELECT 'type', issue_type, count(*) FROM every GROUP BY issue_type""", EVERY)
+       UNION ALL SELECT 'type', issue_type, count(*) FROM every GROUP BY issue_type""", WORN)
+
+add("full_quality_run",
+    lambda s, d: ql.issue_summary(issues(s, d)),
+    """SELECT 'total' AS level, 'all' AS name, count(*) AS n FROM every
+       UNION ALL SELECT 'severity', severity, count(*) FROM every GROUP BY severity
+       UNION ALL SELECT 'type', issue_type, count(*) FROM every GROUP BY issue_type""", WORN)
 
 add("quality_scores",
-    lambda s, d: ql.scores(b.order_albums(s, d), issues(s, d)).select(
+    lambda s, d: ql.scores(b.worn_albums(s, d), issues(s, d)).select(
         "total_albums", "albums_with_genres", "total_issues", "critical_issues", "warning_issues", "info_issues",
         r6("quality_exact").alias("quality"), r6("consistency_exact").alias("consistency")),
     """SELECT a.n AS total_albums, a.w AS albums_with_genres, t AS total_issues, c AS critical_issues,
               wa AS warning_issues, i AS info_issues,
               round(greatest(0::double, 100 - (c * 5 + wa * 2 + i * 0.5::double) / a.n), 6) AS quality,
               round(greatest(0::double, a.w / a.n * 100 - k / a.n * 20), 6) AS consistency
-       FROM (SELECT count(*) AS n, count(*) FILTER (len(genres) > 0) AS w FROM order_albums) a,
+       FROM (SELECT count(*) AS n, count(*) FILTER (len(genres) > 0) AS w FROM worn_albums) a,
             (SELECT count(*) AS t, count(*) FILTER (severity = 'critical') AS c,
                     count(*) FILTER (severity = 'warning') AS wa, count(*) FILTER (severity = 'info') AS i,
                     count(*) FILTER (issue_type IN ('artist_inconsistency', 'unknown_genre', 'invalid_format')) AS k
-             FROM every) e""", EVERY)
+             FROM every) e""", WORN)
 
 add("top_issues",
     lambda s, d: ql.top_issues(issues(s, d)),
     f"""SELECT {C} FROM every ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC,
-        confidence DESC, issue_type, album_key, artist, description LIMIT 20""", EVERY)
+        confidence DESC, issue_type, album_key, artist, description LIMIT 20""", WORN)
 
-add("duplicate_issues",
-    lambda s, d: ql.duplicate_issues(b.part_albums(s, d)).groupBy("album_key", "artist", "album", "severity").agg(
+# Every pair of order albums is compared here: numbered series whose names are all alike.
+add("order_album_duplicates",
+    lambda s, d: ql.duplicate_issues(b.order_albums(s, d)).groupBy("album_key", "artist", "album").agg(
         F.count(F.lit(1)).alias("n"), r6(F.max("confidence")).alias("top")),
-    """SELECT key1 AS album_key, artist, album, 'warning' AS severity, count(*) AS n,
-              round(max(similarity * 100), 6) AS top
-       FROM sims JOIN part_albums ON album_key = key1 WHERE similarity >= 0.85::double GROUP BY 1, 2, 3""",
-    {"sims": __import__("suite.q_matching", fromlist=["PAIRS"]).PAIRS["sims"]})
-
-# The lists of the worn albums, under names of their own beside those of single values.
-_LISTS = b.lists_sql("worn_albums")
-WORN_LISTS = {f"w_{k}": re.sub(rf"\b({'|'.join(_LISTS)})\b(?!\.)", r"w_\1", v) for k, v in _LISTS.items()}
-WORN = {
-    **USED, "used": "SELECT album_key, artist, album, unnest(genres) AS genre FROM worn_albums",
-    **WORN_LISTS,
-    "i_facts": """
-        SELECT a.artist, n, w, coalesce(u, 0) AS u
-        FROM (SELECT artist, count(*) AS n, count(*) FILTER (len(genres) > 0) AS w FROM worn_albums GROUP BY 1) a
-        LEFT JOIN (SELECT artist, count(DISTINCT genre) AS u FROM worn_albums JOIN w_norm_list USING (album_key)
-                   GROUP BY 1) l ON l.artist IS NOT DISTINCT FROM a.artist""",
-    "t_facts": """
-        SELECT p_brand || '|' || p_name AS album_key, count(*) AS n, count(DISTINCT s_name) AS who,
-               count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS unnamed
-        FROM lines GROUP BY 1 HAVING count(*) >= 2""",
-    "names": """
-        SELECT album_key, lower(coalesce(artist, '')) AS a, lower(coalesce(album, '')) AS t, track_count AS n
-        FROM worn_albums""",
-    "sigs": "SELECT a, t, n, min(album_key) AS album_key, count(*) AS copies FROM names GROUP BY 1, 2, 3",
-    "alike": f"""
-        SELECT 1 AS one FROM sigs x JOIN sigs y ON x.album_key < y.album_key
-        WHERE ({lev('x.a', 'y.a')}) * 0.4::double + ({lev('x.t', 'y.t')}) * 0.5::double
-              + (1::double - abs(x.n - y.n)::double / greatest(x.n, y.n)::double) * 0.1::double >= 0.85::double""",
-    "run": """
-        SELECT issue_type, severity FROM genre_found
-        UNION ALL SELECT 'artist_inconsistency', 'warning' FROM i_facts WHERE n >= 2 AND w >= 2 AND u > 10 AND w > 5
-        UNION ALL SELECT 'missing_genres', 'info' FROM i_facts WHERE n >= 2 AND w >= 2 AND (n - w) / n * 100 > 30
-        UNION ALL SELECT 'missing_artist', 'critical' FROM worn_albums WHERE trim(coalesce(artist, '')) = ''
-        UNION ALL SELECT 'missing_album', 'critical' FROM worn_albums WHERE trim(coalesce(album, '')) = ''
-        UNION ALL SELECT 'suspicious_metadata', 'warning' FROM worn_albums WHERE artist IS NOT DISTINCT FROM album
-        UNION ALL SELECT 'missing_track_names', 'warning' FROM t_facts WHERE unnamed > 0
-        UNION ALL SELECT 'multiple_artists', 'info' FROM t_facts WHERE who > 3
-        UNION ALL SELECT 'potential_duplicate', 'warning' FROM alike
-        UNION ALL SELECT 'potential_duplicate', 'warning' FROM sigs, range(1, copies)""",
-}
-add("full_quality_run",
-    lambda s, d: ql.issue_summary(ql.all_issues(b.worn_albums(s, d), b.part_tracks(s, d), b.TAX)),
-    """SELECT 'total' AS level, 'all' AS name, count(*) AS n FROM run
-       UNION ALL SELECT 'severity', severity, count(*) FROM run GROUP BY severity
-       UNION ALL SELECT 'type', issue_type, count(*) FROM run GROUP BY issue_type""", WORN)
+    f"""SELECT x.album_key, any_value(x.artist) AS artist, any_value(x.album) AS album, count(*) AS n,
+               round(max(({lev('x.a', 'y.a')}) * 0.4::double + ({lev('x.t', 'y.t')}) * 0.5::double
+                         + ({{c}}) * 0.1::double) * 100, 6) AS top
+        FROM low x JOIN low y ON x.album_key < y.album_key AND abs(length(x.t) - length(y.t)) <= 9
+        WHERE ({lev('x.a', 'y.a')}) * 0.4::double + ({lev('x.t', 'y.t')}) * 0.5::double + ({{c}}) * 0.1::double
+              >= 0.85::double GROUP BY 1""".format(
+        c="CASE WHEN x.n > 0 AND y.n > 0 THEN 1::double - abs(x.n - y.n)::double / greatest(x.n, y.n)::double "
+          "ELSE 0.5::double END"),
+    {"low": "SELECT album_key, artist, album, lower(artist) AS a, lower(album) AS t, track_count AS n FROM order_albums"})
