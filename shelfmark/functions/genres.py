@@ -1,10 +1,9 @@
 """Category standardisation as column expressions.
 
-The taxonomy is a small driver-side config, so lookups become literal maps and
-arrays inside the expression. A list column is normalised, expanded, sorted and
-de-duplicated in the row it lives in: no explode, no shuffle, no regrouping,
-and therefore no hot category. ``operators.genres.normalize_values`` is the
-join-based form for taxonomies too large to be literals.
+Lookups are literal maps and arrays inside the expression: a list column is
+normalised, expanded, sorted and de-duplicated in the row it lives in, without
+explode, shuffle or regrouping. That suits a taxonomy of some hundred entries.
+``operators.genres`` has the same work as joins, for a taxonomy of any size.
 """
 
 from __future__ import annotations
@@ -16,14 +15,6 @@ from shelfmark.functions.core import bind, col, constant, list_map, no_strings,
 from shelfmark.functions.text import clean_category, title_case
 from shelfmark.refdata import SOURCE_GENRE_NAMES, Taxonomy
 
-# Largest taxonomy written into an expression.
-LITERAL_BOUND = 2_000
-
-
-def _check(tax: Taxonomy) -> None:
-    if len(tax.mappings) + len(tax.valid) > LITERAL_BOUND:
-        raise ValueError("taxonomy too large for a literal; use operators.genres.normalize_values")
-
 
 def parse_list(c: Column | str) -> Column:
     """Read a stored list: JSON array text, or text split at ``;``."""
@@ -57,7 +48,6 @@ def normalize_category(c: Column | str, tax: Taxonomy, strict: bool = False, min
     ``strict`` skips the lookup of the raw spelling, so that "R&B" is cleaned to
     "Randb" first and stays unknown.
     """
-    _check(tax)
     lookup = string_map(tax.lookup)
     raw = col(c)
 
@@ -122,7 +112,6 @@ def validate_list(c: Column | str, tax: Taxonomy, strict: bool = False) -> Colum
 
 def suggest(c: Column | str, tax: Taxonomy, limit: int = 5) -> Column:
     """First ``limit`` valid categories, alphabetically, that contain the text."""
-    _check(tax)
     names = strings(tax.valid)
     return bind(F.lower(col(c)), lambda t: F.slice(F.filter(names, lambda g: F.lower(g).contains(t)), 1, limit))
 

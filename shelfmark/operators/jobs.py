@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import genres as gx
 from shelfmark.operators.common import percent
-from shelfmark.operators.genres import with_normalized
+from shelfmark.operators.genres import AnyTaxonomy, with_merged, with_normalized
 from shelfmark.refdata import AUTO_THRESHOLD, LOW_THRESHOLD, MEDIUM_THRESHOLD, SECONDS_PER_ALBUM, Taxonomy
 
 
@@ -25,7 +25,7 @@ def decision_reason(confidence: Column, threshold: Column | float = AUTO_THRESHO
             .otherwise(F.format_string("Very low confidence (%.1f%%) - no reliable match found", confidence)))
 
 
-def decide(results: DataFrame, tax: Taxonomy, threshold: float = AUTO_THRESHOLD, genre_limit: int | None = None
+def decide(results: DataFrame, tax: AnyTaxonomy, threshold: float = AUTO_THRESHOLD, genre_limit: int | None = None
            ) -> DataFrame:
     """Adds status, final_genres and manual_review_reason to matched albums.
 
@@ -36,10 +36,10 @@ def decide(results: DataFrame, tax: Taxonomy, threshold: float = AUTO_THRESHOLD,
     c = F.col("confidence")
     failed = F.col("error_message").isNotNull() if "error_message" in results.columns else F.lit(False)
     status = F.when(failed, "failed").otherwise(decision_status(c, threshold))
-    merged = gx.merge_for_update("original_genres", "suggested_genres", tax, genre_limit)
-    return (results.withColumn("status", status)
-            .withColumn("final_genres", F.when(F.col("status") == "completed", merged)
-                        .otherwise(F.col("original_genres")))
+    merged = with_merged(results, "original_genres", "suggested_genres", tax, "_accepted", genre_limit)
+    return (merged.withColumn("status", status)
+            .withColumn("final_genres", F.when(F.col("status") == "completed", F.col("_accepted"))
+                        .otherwise(F.col("original_genres"))).drop("_accepted")
             .withColumn("manual_review_reason", F.when(~failed, decision_reason(c, threshold))))
 
 

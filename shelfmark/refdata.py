@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.session import hinted
 
@@ -246,6 +247,27 @@ class Taxonomy:
         return hinted(spark.createDataFrame(rows, "genre string"), len(rows))
 
 
+@dataclass(frozen=True)
+class TaxonomyTables:
+    """A taxonomy that stays in tables, of any size: ``mappings(variant, canonical)`` and ``parents(child, parent)``.
+
+    Variants are compared in lower case; of several canonical names of a variant the first in order counts.
+    """
+
+    mappings: DataFrame
+    parents: DataFrame
+
+    def mapping_df(self, spark: SparkSession) -> DataFrame:
+        return self.mappings.groupBy(F.lower("variant").alias("variant")).agg(F.min("canonical").alias("canonical"))
+
+    def hierarchy_df(self, spark: SparkSession) -> DataFrame:
+        return self.parents.select("child", "parent").distinct()
+
+    def valid_df(self, spark: SparkSession) -> DataFrame:
+        return (self.mappings.select(F.col("canonical").alias("genre"))
+                .unionByName(self.parents.select(F.explode(F.array("child", "parent")).alias("genre"))).distinct())
+
+
 def era_df(spark: SparkSession) -> DataFrame:
     rows = [(start, end, genres) for start, end, genres in ERAS]
     return hinted(spark.createDataFrame(rows, "era_start int, era_end int, era_genres array<string>"), len(rows))

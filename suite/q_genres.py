@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import genres as gx
 from shelfmark.functions.text import clean_category, normalize_name, title_case
 from shelfmark.operators import genres as gn
+from shelfmark.refdata import TaxonomyTables
 from suite import bindings as b
 
 QUERIES = {}
@@ -96,11 +97,12 @@ add("direct_parents",
 add("expand_with_parents",
     lambda s, d: b.part_albums(s, d).select("album_key", F.array_join(F.array_sort(gx.expand_with_parents(
         F.concat("genres", F.array(F.lit("Synthpop"), F.lit("Americana"))), b.TAX)), "~").alias("genres")),
-    """SELECT album_key, array_to_string(list_sort(list_distinct(list_concat(genres,
-              ['Synthpop', 'Americana', 'Electronic', 'Pop', 'Country', 'Folk']))), '~') AS genres FROM part_albums""")
+    """SELECT album_key, array_to_string(list_sort(list_distinct(list(genre))), '~') AS genres
+       FROM (SELECT * FROM plus UNION ALL SELECT album_key, parent FROM plus JOIN tax_parents ON child = genre) GROUP BY 1""",
+    {"plus": "SELECT album_key, unnest(list_concat(genres, ['Synthpop', 'Americana'])) AS genre FROM part_albums"})
 
 add("validate_categories",
-    lambda s, d: b.order_albums(s, d).select("album_key", gx.validate_list("genres", b.TAX).alias("v")).select(
+    lambda s, d: gn.validate_lists(b.order_albums(s, d), "genres", b.TAX, "v").select(
         "album_key", F.array_join("v.valid", "~").alias("valid"), F.array_join("v.invalid", "~").alias("invalid")),
     """SELECT album_key, coalesce(string_agg(canonical, '~') FILTER (g IS NOT NULL AND ok), '') AS valid,
               coalesce(string_agg(g, '~') FILTER (g IS NOT NULL AND NOT ok), '') AS invalid
@@ -109,26 +111,76 @@ add("validate_categories",
        GROUP BY 1""", {**b.names_sql("order_albums", "genre")})
 
 add("suggest_categories",
-    lambda s, d: instances(s, d).select("k", F.array_join(gx.suggest(F.substring("raw", 1, 2), b.TAX), "~").alias("s")),
-    """SELECT k, coalesce((SELECT string_agg(genre, '~' ORDER BY genre) FROM (
-           SELECT genre FROM tax_valid WHERE contains(lower(genre), lower(raw[1:2])) ORDER BY genre LIMIT 5)), '') AS s
-       FROM instances""", RAW)
+    lambda s, d: gn.suggestions(wanted(s, d), "raw", b.TAX).select("k", F.array_join("suggestions", "~").alias("s")),
+    """SELECT k, coalesce(s, '') AS s FROM wanted LEFT JOIN (
+           SELECT t.raw, string_agg(genre, '~' ORDER BY genre) AS s FROM (
+               SELECT t.raw, v.genre FROM (SELECT DISTINCT raw FROM wanted) t JOIN tax_valid v
+               ON contains(lower(v.genre), lower(t.raw))
+               QUALIFY row_number() OVER (PARTITION BY t.raw ORDER BY v.genre) <= 5) t GROUP BY 1) x USING (raw)""",
+    {**RAW, "wanted": """SELECT k, raw FROM instances UNION ALL
+                         SELECT k, string_split(raw, ' ')[-1] FROM instances"""})
+
+
+def wanted(s, d):
+    """The categories of all orders, whole, and their last words."""
+    own = instances(s, d)
+    return own.unionByName(own.select("k", F.element_at(F.split("raw", " "), -1).alias("raw")))
 
 
 def _edited():
     return b.TAX.with_mapping("Xyzzy Core", "Xyzzy").with_parents("Xyzzy", ["Experimental", "Noise Wall"])
 
 
+def tax_sql(tax):
+    """The tables of another taxonomy in place of the usual one."""
+    return {"tax_map": b._values(list(tax.lookup.items()), "variant, canonical"),
+            "tax_valid": b._values([(g,) for g in tax.valid], "genre"),
+            "tax_parents": b._values([(c, p) for c, ps in tax.hierarchy.items() for p in ps], "child, parent")}
+
+
 add("edited_taxonomy",
     lambda s, d: instances(s, d).where("raw <> ''").select(
         gx.normalize_list(F.array("raw"), _edited()).alias("l"), "raw").groupBy("raw", F.array_join("l", "~").alias(
             "genres")).agg(F.count(F.lit(1)).alias("n")),
-    """SELECT i.raw, CASE WHEN i.raw = 'Xyzzy   Core' THEN 'Experimental~Noise Wall~Xyzzy' ELSE g END AS genres,
-              count(*) AS n
+    """SELECT i.raw, g AS genres, count(*) AS n
        FROM nonempty i LEFT JOIN (SELECT album_key, array_to_string(list_sort(list(genre)), '~') AS g
                                   FROM norm_list GROUP BY 1) l ON l.album_key = i.raw
        GROUP BY 1, 2""",
-    {**RAW, "raw_lists": "SELECT DISTINCT raw AS album_key, [raw] AS genres FROM nonempty", **b.lists_sql("raw_lists")})
+    {**RAW, "raw_lists": "SELECT DISTINCT raw AS album_key, [raw] AS genres FROM nonempty", **b.lists_sql("raw_lists"),
+     **tax_sql(_edited())})
+
+
+def nations(s, d):
+    """A taxonomy that stays in tables: customers named after their nation, nations below regions and their alliance."""
+    own = b.table(s, d, "customer").join(b.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        b.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    of_regions = own.select(F.initcap("n_name").alias("child"), F.initcap("r_name").alias("parent"))
+    of_world = own.select(F.initcap("r_name").alias("child"), F.lit("World").alias("parent"))
+    return TaxonomyTables(own.select(F.col("c_name").alias("variant"), F.initcap("n_name").alias("canonical")),
+                          of_regions.unionByName(of_world))
+
+
+def customer_lists(s, d):
+    """Customers by the day of their orders, and the lower-case name of a supplier, which only holds no known name."""
+    return b.table(s, d, "orders").join(b.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(
+        F.col("o_orderdate").cast("date").alias("day")).agg(F.collect_set("c_name").alias("names"))
+
+
+NATIONS = {
+    "people": f"""SELECT c_name, {b.title_sql('n_name')} AS nation, {b.title_sql('r_name')} AS region FROM customer
+                  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+}
+add("table_taxonomy_lists",
+    lambda s, d: gn.normalize_lists(customer_lists(s, d), "names", nations(s, d)).select(
+        F.col("day").cast("string").alias("day"), F.array_join("normalized", "~").alias("genres")),
+    """SELECT CAST(day AS VARCHAR) AS day, array_to_string(list_sort(list(DISTINCT g)), '~') AS genres
+       FROM (SELECT CAST(o_orderdate AS DATE) AS day, unnest([nation, region]) AS g
+             FROM orders JOIN customer ON o_custkey = c_custkey JOIN people USING (c_name)) GROUP BY 1""", NATIONS)
+
+add("table_taxonomy_below",
+    lambda s, d: gn.descendants(s, nations(s, d)).select("ancestor", "descendant", "depth"),
+    """SELECT DISTINCT region AS ancestor, nation AS descendant, CAST(1 AS INTEGER) AS depth FROM people
+       UNION SELECT 'World', region, 1 FROM people UNION SELECT 'World', nation, 2 FROM people""", NATIONS)
 
 add("source_genre_names",
     lambda s, d: instances(s, d).select(gx.source_genre_name("raw").alias("g")).groupBy("g").agg(
@@ -138,37 +190,39 @@ add("source_genre_names",
 
 
 def _tags(s, d):
+    """What a user clicked as the tags of a release, all else as those of an artist; counts as text, some no numbers."""
     e = b.table(s, d, "events")
     k = F.get_json_object("props", "$.k").cast("int")
+    tag = F.struct(F.concat(F.lit("style "), (k % 30).cast("string")).alias("name"),
+                   F.when(k % 11 == 0, "many").otherwise((k % 7).cast("string")).alias("count"))
     return e.groupBy("user_id").agg(
-        F.array_sort(F.collect_set(F.struct(F.concat(F.lit("style "), (k % 30).cast("string")).alias("name"),
-                                            F.when(k % 11 == 0, "many").otherwise((k % 5).cast("string")).alias("count")))
-                     ).alias("tags"))
+        F.array_sort(F.collect_set(F.when(F.col("event_type") == "click", tag))).alias("release"),
+        F.array_sort(F.collect_set(F.when(F.col("event_type") != "click", tag))).alias("artist"))
 
 
 add("vote_filtered_tags",
-    lambda s, d: _tags(s, d).select("user_id", F.array_join(gx.vote_filtered_tags("tags", "tags", 4, 3, 200), "~")
-                                    .alias("kept")),
-    """SELECT user_id, array_to_string(list_concat(rel, list_filter(art, lambda x: NOT list_contains(rel, x))), '~')
-              AS kept
+    lambda s, d: _tags(s, d).select("user_id", F.array_join(gx.vote_filtered_tags("release", "artist"), "~").alias("kept")),
+    """SELECT user_id, array_to_string(list_concat(rel, list_filter(art, lambda x, i: NOT list_contains(rel, x)
+                                                                   AND list_position(art, x) = i))[1:10], '~') AS kept
        FROM (SELECT user_id,
-                    list_transform(list_filter(tags, lambda t: coalesce(try_cast(t.c AS INTEGER), 0) >= 4),
+                    list_transform(list_filter(release, lambda t: coalesce(try_cast(t.c AS INTEGER), 0) >= 2),
                                    lambda t: 'Style ' || t.n[7:]) AS rel,
-                    list_distinct_in_order AS art
-             FROM (SELECT user_id, tags, list_transform(list_filter(tags,
-                          lambda t: coalesce(try_cast(t.c AS INTEGER), 0) >= 3), lambda t: 'Style ' || t.n[7:]) AS a,
-                          list_filter(a, lambda x, i: list_position(a, x) = i) AS list_distinct_in_order
-                   FROM (SELECT user_id, list_sort(list(DISTINCT {'n': 'style ' || (k % 30),
-                                'c': CASE WHEN k % 11 = 0 THEN 'many' ELSE CAST(k % 5 AS VARCHAR) END})) AS tags
-                         FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
-                         GROUP BY 1)))""")
+                    list_transform(list_filter(artist, lambda t: coalesce(try_cast(t.c AS INTEGER), 0) >= 3),
+                                   lambda t: 'Style ' || t.n[7:]) AS art
+             FROM (SELECT user_id, coalesce(list_sort(list(DISTINCT tag) FILTER (click)), []) AS release,
+                          coalesce(list_sort(list(DISTINCT tag) FILTER (NOT click)), []) AS artist
+                   FROM (SELECT user_id, event_type = 'click' AS click,
+                                {'n': 'style ' || (k % 30), 'c': CASE WHEN k % 11 = 0 THEN 'many' ELSE CAST(k % 7 AS VARCHAR)
+                                 END} AS tag
+                         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))
+                   GROUP BY 1))""")
 
 add("merge_preserving",
     lambda s, d: b.part_albums(s, d).select("album_key", F.array_join(gx.merge_preserving(
         "genres", F.array(F.lit("ROCK & ROLL"), F.lit("Jazz"), F.lit("r&b"), F.lit("jazz"))), "~").alias("merged")),
-    """SELECT album_key, array_to_string(genres || CASE WHEN list_contains(genres, 'rock & roll') THEN [] ELSE
-              ['ROCK & ROLL'] END || ['Jazz'] || CASE WHEN list_contains(genres, 'R&B') THEN [] ELSE ['r&b'] END, '~')
-              AS merged FROM part_albums""")
+    """SELECT album_key, array_to_string(list_filter(g, lambda x, i: list_position(low, lower(x)) = i), '~') AS merged
+       FROM (SELECT *, list_transform(g, lambda x: lower(x)) AS low
+             FROM (SELECT album_key, list_concat(genres, ['ROCK & ROLL', 'Jazz', 'r&b', 'jazz']) AS g FROM part_albums))""")
 
 MERGE = {
     **b.lists_sql("part_albums"),
@@ -203,9 +257,26 @@ add("list_diff",
               len(final_genres) > 1 AS has_changes
        FROM job_results""")
 
+BELOW = {
+    "below": """SELECT lower(name) AS name FROM (
+                    WITH RECURSIVE t AS (SELECT 'metal' AS name UNION SELECT child FROM tax_parents JOIN t
+                                         ON lower(parent) = lower(name)) SELECT name FROM t)""",
+    "listed": """SELECT album_key, genre AS g FROM known UNION ALL SELECT album_key, item FROM items""",
+}
+BELOW_SQL = "SELECT DISTINCT album_key FROM listed WHERE lower(g) IN (SELECT name FROM below)"
 add("hierarchical_search",
     lambda s, d: gn.albums_with_category(b.part_albums(s, d), "metal", b.TAX).select("album_key"),
-    "SELECT album_key FROM part_albums WHERE list_contains(genres, 'Atmospheric Black Metal')")
+    BELOW_SQL, {**b.lists_sql("part_albums"), **BELOW})
+
+
+def _deep():
+    """A third and a fourth level below metal."""
+    return b.TAX.with_parents("Rock & Roll", ["Black Metal"]).with_parents("Soul", ["Rock & Roll"])
+
+
+add("hierarchical_search_levels",
+    lambda s, d: gn.albums_with_category(b.part_albums(s, d), "metal", _deep()).select("album_key"),
+    BELOW_SQL, {**b.lists_sql("part_albums"), **BELOW, **tax_sql(_deep())})
 
 COUNTED = {
     **b.names_sql("pieces", "raw"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 
@@ -24,23 +26,49 @@ def r6(c):
 
 
 def decided(s, d):
-    votes = mt.aggregate_votes(b.vote_entities(s, d), b.votes(s, d))
-    return jb.decide(votes.withColumn("original_genres", F.array(F.lit("rock & roll"))).withColumn(
-        "suggested_genres", F.array(F.lit("house"), F.lit("Pop Music"))), b.TAX, 90.0)
-
-
+    """Every entity with the raw categories of its orders and what the sources voted for."""
+    own = b.table(s, d, "orders").where(b.raw_genre() != "").groupBy(F.col("o_custkey").cast("string").alias("entity_key")).agg(
+        F.array_sort(F.collect_set(b.raw_genre())).alias("original_genres"))
+    votes = mt.aggregate_votes(b.vote_entities(s, d), b.votes(s, d)).withColumnRenamed("final_genres", "suggested_genres")
+    return jb.decide(votes.join(own, "entity_key", "left").withColumn("original_genres", F.coalesce(
+        "original_genres", F.array().cast("array<string>"))), b.TAX, 90.0)
+
+
+def prefixed(prefix, definitions):
+    """The definitions under names of their own."""
+    return {f"{prefix}{k}": re.sub(rf"\b({'|'.join(definitions)})\b(?!\.)", rf"{prefix}\1", v)
+            for k, v in definitions.items()}
+
+
+DECIDED = {
+    **VOTES,
+    "own_lists": f"""SELECT CAST(o_custkey AS VARCHAR) AS album_key, list_sort(list(DISTINCT {b._RAW})) AS genres
+                     FROM orders WHERE {b._RAW} <> '' GROUP BY 1""",
+    "voted_lists": "SELECT entity_key AS album_key, final_genres AS genres FROM aggregated",
+    **prefixed("x_", b.lists_sql("own_lists")), **prefixed("y_", b.lists_sql("voted_lists")),
+    "x_sorted": "SELECT album_key, list_sort(list(genre)) AS g FROM x_norm_list GROUP BY 1",
+    "y_sorted": "SELECT album_key, list_sort(list(genre)) AS g FROM y_norm_list GROUP BY 1",
+    "joined": """SELECT entity_key, coalesce(o.genres, []) AS original, list_concat(coalesce(x.g, []), list_filter(
+                        coalesce(y.g, []), lambda e: NOT list_contains(coalesce(x.g, []), e))) AS g
+                 FROM aggregated a LEFT JOIN own_lists o ON o.album_key = entity_key
+                 LEFT JOIN x_sorted x ON x.album_key = entity_key LEFT JOIN y_sorted y ON y.album_key = entity_key""",
+    "more": """SELECT entity_key, list_sort(list(DISTINCT parent)) AS p
+               FROM (SELECT entity_key, g, unnest(g) AS e FROM joined) JOIN tax_parents ON child = e
+               WHERE NOT list_contains(g, parent) GROUP BY 1""",
+}
 add("batch_decisions",
     lambda s, d: decided(s, d).select("entity_key", "confidence", "status", F.array_join("final_genres", "~").alias(
         "final_genres"), "manual_review_reason"),
     """SELECT entity_key, confidence, CASE WHEN confidence >= 90 THEN 'completed' WHEN confidence >= 40
               THEN 'needs_review' ELSE 'skipped' END AS status,
-              CASE WHEN confidence >= 90 THEN 'Rock~Electronic~House~Pop' ELSE 'rock & roll' END AS final_genres,
+              array_to_string(CASE WHEN confidence >= 90 THEN list_concat(g, coalesce(p, [])) ELSE original END, '~')
+              AS final_genres,
               CASE WHEN confidence >= 90 THEN NULL
                    WHEN confidence >= 70 THEN 'Medium confidence (' || printf('%.1f', confidence) || '%) - requires manual review'
                    WHEN confidence >= 40 THEN 'Low confidence (' || printf('%.1f', confidence) || '%) - uncertain match'
                    ELSE 'Very low confidence (' || printf('%.1f', confidence) || '%) - no reliable match found' END
               AS manual_review_reason
-       FROM aggregated""", VOTES)
+       FROM aggregated JOIN joined USING (entity_key) LEFT JOIN more USING (entity_key)""", DECIDED)
 
 add("decision_counts",
     lambda s, d: b.table(s, d, "events").select(F.least("value", F.lit(100.0)).alias("c")).groupBy(
