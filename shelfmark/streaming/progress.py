@@ -1,12 +1,14 @@
 """Progress of running jobs as streams.
 
-Input: result rows with ``created_at`` as a UTC timestamp. State is bounded by
-the watermark; rows later than it are dropped by Spark and counted in the
-query's progress (``numRowsDroppedByWatermark``).
+Input: result rows with ``created_at`` as a UTC timestamp. Windows, sessions and
+first results keep state up to the watermark; rows later than it are dropped by
+Spark. ``job_progress`` groups by job only and keeps one state row per job for
+good. ``batch_counters`` tells what each batch read, dropped and holds.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +67,9 @@ def first_results(results: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return _marked(results, watermark).dropDuplicatesWithinWatermark(["job_id", "album_key"])
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", timeout: int | None = None
-                  ) -> None:
-    """Process what is there and stop.
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", timeout: int | None = None,
+                  counters: str | None = None) -> None:
+    """Process what is there and stop; ``counters`` names a table for the counters of its batches.
 
     Update mode writes each batch's changed rows with their batch id; the newest
     row per key is the current value (``current``). A batch that runs again
@@ -79,6 +81,42 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     else:
         query = writer.outputMode(mode).foreachBatch(_keep_batch(out)).start()
     query.awaitTermination(timeout)
+    if counters is not None:
+        save_counters(query, stream.sparkSession, counters)
+
+
+COUNTERS = ("run_id string, batch_id long, read long, late long, repeated long, held long, "
+            "watermark timestamp")
+
+
+def batch_counters(query) -> list[tuple]:
+    """A row for each finished batch that the query still knows: rows read, dropped as late, dropped as repeats, and rows
+    of state after it.
+
+    Spark keeps the progress of the last ``spark.sql.streaming.numRecentProgressUpdates`` batches. Rows that are late
+    for several operators of a query count for each.
+    """
+    out = {}
+    for p in query.recentProgress:
+        ops = p["stateOperators"]
+        mark = p["eventTime"].get("watermark")
+        out[p["batchId"]] = (
+            str(p["runId"]), p["batchId"], p["numInputRows"], sum(o["numRowsDroppedByWatermark"] for o in ops),
+            sum(int(o["customMetrics"].get("numDroppedDuplicateRows", 0)) for o in ops),
+            sum(o["numRowsTotal"] for o in ops),
+            dt.datetime.fromisoformat(mark.replace("Z", "+00:00")) if mark else None)
+    return [out[k] for k in sorted(out)]
+
+
+def save_counters(query, spark: SparkSession, path: str) -> None:
+    """Write the counters of a query's batches to a table. A run has a folder of its own, so saving twice changes nothing."""
+    rows = spark.createDataFrame(batch_counters(query), COUNTERS)
+    rows.write.mode("overwrite").parquet(f"{path}/run={query.runId}")
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters of all saved runs."""
+    return spark.read.schema(COUNTERS).parquet(f"{path}/*")
 
 
 def _keep_batch(out: str) -> Callable[[DataFrame, int], None]:

@@ -73,39 +73,82 @@ add("stream_activity_sessions",
               <= (SELECT max(created_at) - INTERVAL 10 MINUTES FROM job_results)""")
 
 add("stream_first_results",
-    lambda s, d: run(s, sp.first_results(results(s, d), "40 days"), "append").select("job_id", "album_key").distinct(),
+    lambda s, d: run(s, sp.first_results(results(s, d), "40 days"), "append").select("job_id", "album_key"),
     "SELECT DISTINCT job_id, album_key FROM job_results")
 
+# Results arrive in three deliveries; the second and the third bring the one before them again.
+BY_STATUS = [F.col("status").isin("completed", "approved"), F.col("status") == "needs_review",
+             F.col("status").isin("failed", "skipped")]
+BY_DAY = [F.dayofmonth("created_at") <= 10, F.dayofmonth("created_at").between(11, 20), F.dayofmonth("created_at") > 20]
 
-def streamed_registry(s, d):
-    out = scratch_path(s, "registry")
-    files = results(s, d).select("album_key", "artist", "album", F.date_format(
-        "created_at", "yyyyMMddHHmmssSSSSSS").alias("file_path"))
-    sr.start_registry(files, f"{out}/state", f"{out}/checkpoint").awaitTermination()
-    return sr.latest_state(s, f"{out}/state")
+
+def delivered(s, d, parts, columns, start):
+    """Write the deliveries one after the other and run a stream over what has arrived after each; the log it appends to."""
+    out = scratch_path(s, "deliveries")
+    rows = b.job_results(s, d)
+    for k, own in enumerate(parts):
+        every = rows.where(own)
+        if k:
+            every = every.unionByName(rows.where(parts[k - 1]))
+        every = every.select(*columns)
+        every.write.parquet(f"{out}/in/{k}")
+        arrived = s.readStream.schema(every.schema).parquet(f"{out}/in/*")
+        start(arrived, f"{out}/log", f"{out}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{out}/log")
+
+
+ARRIVALS = {
+    "arrivals": """
+        SELECT r.*, CASE WHEN status IN ('completed', 'approved') THEN 0 WHEN status = 'needs_review' THEN 1 ELSE 2 END AS own
+        FROM job_results r""",
+    "all_arrivals": "SELECT *, own AS k FROM arrivals UNION ALL SELECT *, own + 1 AS k FROM arrivals WHERE own < 2",
+}
+
+
+def registry_log(s, d):
+    path = F.date_format("created_at", "yyyyMMddHHmmssSSSSSS").alias("file_path")
+    columns = ["album_key", "artist", "album", path, F.col("created_at").alias("seen_at")]
+    return delivered(s, d, BY_STATUS, columns, sr.start_registry)
 
 
 add("stream_registry",
-    lambda s, d: streamed_registry(s, d).select("album_key", "artist", "n_paths", fingerprint_text(
-        "n_paths", "hash_hi", "hash_lo").alias("file_hash")),
-    """SELECT album_key, artist, n AS n_paths, md5(n || '-' || hi || '-' || lo) AS file_hash
-       FROM (SELECT album_key, artist, count(*) AS n,
+    lambda s, d: sr.latest(registry_log(s, d), "album_key").select("album_key", "artist", "n_paths", fingerprint_text(
+        "n_paths", "hash_hi", "hash_lo").alias("file_hash"), stamp("first_discovered").alias("first_discovered"),
+        stamp("last_scanned").alias("last_scanned")),
+    """SELECT album_key, artist, n AS n_paths, md5(n || '-' || hi || '-' || lo) AS file_hash, first_discovered, last_scanned
+       FROM (SELECT album_key, artist, count(*) AS n, strftime(min(seen), '%Y-%m-%d %H:%M:%S') AS first_discovered,
+                    strftime(max(seen), '%Y-%m-%d %H:%M:%S') AS last_scanned,
                     sum(CAST(CAST('0x' || substr(m, 1, 15) AS BIGINT) AS HUGEINT)) AS hi,
                     sum(CAST(CAST('0x' || substr(m, 16, 15) AS BIGINT) AS HUGEINT)) AS lo
-             FROM (SELECT album_key, artist, md5(strftime(created_at, '%Y%m%d%H%M%S%f')) AS m FROM job_results)
-             GROUP BY 1, 2)""")
+             FROM (SELECT DISTINCT album_key, artist, created_at AS seen, md5(strftime(created_at, '%Y%m%d%H%M%S%f')) AS m
+                   FROM job_results) GROUP BY 1, 2)""")
+
+add("stream_registry_actions",
+    lambda s, d: registry_log(s, d).groupBy("album_key", "action").agg(F.count(F.lit(1)).alias("n"), F.max("n_paths").alias(
+        "n_paths")),
+    """SELECT album_key, action, count(*) AS n, max(paths) AS n_paths
+       FROM (SELECT album_key, k, CASE WHEN k = min(k) OVER (PARTITION BY album_key) THEN 'new'
+                                       WHEN fresh > 0 THEN 'updated' ELSE 'same' END AS action,
+                    CAST(sum(fresh) OVER (PARTITION BY album_key ORDER BY k) AS BIGINT) AS paths
+             FROM (SELECT album_key, k, count(DISTINCT created_at) FILTER (first = k) AS fresh
+                   FROM (SELECT *, min(k) OVER (PARTITION BY album_key, created_at) AS first FROM all_arrivals)
+                   GROUP BY 1, 2)) GROUP BY 1, 2""", ARRIVALS)
+
+
+CACHE_HOURS = 72
 
 
-def streamed_cache(s, d):
-    out = scratch_path(s, "cache")
-    answers = results(s, d).select("artist", "album", F.col("status").alias("source"),
-                                   F.col("suggested_genres").alias("genres"), "confidence",
-                                   F.lit(1.0).alias("weight"))
-    sr.start_cache(answers, f"{out}/state", f"{out}/checkpoint", b.now).awaitTermination()
-    return sr.latest_state(s, f"{out}/state")
+def cache_log(s, d):
+    columns = ["artist", "album", F.lit("source").alias("source"), F.col("suggested_genres").alias("genres"),
+               "confidence", F.lit(1.0).alias("weight"), "created_at"]
+    return delivered(s, d, BY_DAY, columns, lambda rows, out, checkpoint: sr.start_cache(rows, out, checkpoint, CACHE_HOURS))
 
 
 add("stream_cache",
-    lambda s, d: streamed_cache(s, d).select("artist", "source", "cache_key"),
-    """SELECT DISTINCT artist, status AS source, md5(lower(artist) || '|' || lower(album) || '|' || status) AS cache_key
-       FROM job_results""")
+    lambda s, d: sr.live_entries(cache_log(s, d)).select(
+        "artist", "source", "cache_key", stamp("created_at").alias("created_at"), stamp("expires_at").alias("expires_at")),
+    f"""SELECT artist, 'source' AS source, md5(lower(artist) || '|' || lower(album) || '|source') AS cache_key,
+               strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS created_at,
+               strftime(max(created_at) + INTERVAL {CACHE_HOURS} HOURS, '%Y-%m-%d %H:%M:%S') AS expires_at
+        FROM job_results GROUP BY artist, album
+        HAVING max(created_at) + INTERVAL {CACHE_HOURS} HOURS > (SELECT max(created_at) FROM job_results)""")
