@@ -10,7 +10,7 @@ same at every benchmark size; a full bitmap only lets more rows into the join).
 fingerprints and each hit is extended to both sides; a run of SPAN equal words is a hit.
 
 Defined results: null and wordless texts have no words, no hits and aren't contaminated; items without words never occur.
-Null item_ids are ignored. Items with one id and several texts count once if any text occurs. Each document row is judged
+The windows of an item without id hit like any other; it is not among the items named. Items with one id and several texts count once if any text occurs. Each document row is judged
 by itself, whatever its doc_id, so null and repeated ids are kept as they are. Empty tables are fine.
 """
 
@@ -143,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    scanned = benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(
+    scanned = benchmark.select("item_id", "text").mapInArrow(
         _scan("item_id", None, None), f"item_id {item_kind}, n_words long, found {CANDIDATE}")
     items = cut(scanned.select("item_id", F.least("n_words", F.lit(SPAN)).alias("span"), F.explode("found").alias("c"))
                 .select("item_id", "span", F.col("c.fp").alias("item_fp"), F.col("c.left").alias("item_left"),

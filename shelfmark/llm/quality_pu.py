@@ -1,6 +1,6 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are the documents that a label marks as good; all else of the sample is unlabelled. The model minimises
+Trusted positives are the documents that a label marks as good; the model minimises
 the non-negative unbiased risk (Kiryo et al., Positive-Unlabeled Learning with Non-Negative Risk Estimator, 2017)
 
     prior * E_p[loss(f)] + max(0, E_u[loss(-f)] - prior * E_p[loss(-f)])
@@ -8,14 +8,20 @@ the non-negative unbiased risk (Kiryo et al., Positive-Unlabeled Learning with N
 with the logistic loss over an additive model: each measure of a text is cut into quantile bins, each bin has a weight.
 Where the second term falls below zero on a batch, the step goes against its gradient.
 
-The class prior is estimated from the labels of the training fold: the share of good ones among the labelled.
+No negative label is used anywhere: a document marked bad counts as unlabelled text like every other one, and so does a
+document marked good when it comes up in the unlabelled sample.
 
-The fit uses a bounded sample: at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents of the training fold, those
-with the least hash of their id. Scores are scaled to probabilities on those and at most ``SAMPLE`` documents marked bad. Measures and scores are computed for all documents, whole texts.
+The class prior is estimated from the positives and the unlabelled text (Garg et al., Mixture Proportion Estimation and PU
+Learning: A Modern Approach, 2021): a model that tells positives from unlabelled text is fitted on each half and scores the
+other; the prior is the least ratio, over all thresholds, of unlabelled to positive texts above the threshold, with an
+allowance for small counts, so few labels make it too large rather than too small. The scores are scaled to probabilities by the two numbers that minimise the unbiased risk;
+with the logistic loss that is a convex problem in positives and unlabelled text only.
 
-Defined results: null and empty texts have measures of zero and are scored like any other. Rows without a label are
-unlabelled; repeated labels of a document count as good if any says so. Without positives or unlabelled documents all
-scores are the prior (0.5 if that is unknown too). Rows keep their number; extra columns are ignored.
+The fit uses a bounded sample of the training fold: at most ``SAMPLE`` positives and ``SAMPLE`` documents of any kind, those
+with the least hash of their id. Measures and scores are computed for all documents, whole texts.
+
+Defined results: null and empty texts have measures of zero and are scored like any other. Repeated labels of a document
+count as good if any says so. Without positives all scores are 0.5. Rows keep their number; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import fold, one_table, platt, texts
+from shelfmark.llm.common import fold, one_table, texts
 
 SAMPLE = 12_000
 BINS = 16
@@ -38,6 +44,8 @@ EPOCHS = 30
 BATCH = 512
 RATE = 0.05
 THRESHOLD = 0.3
+SEED = 7
+RIDGE = 0.001
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _SIGNS = ("!", "#*$%&|<>", "0123456789", ".,;:?", "\"'()[]{}", "=@/\\_~^+")
 MEASURES = 16
@@ -60,22 +68,17 @@ def measure(text: str) -> list[float]:
             upper / chars, max(map(len, words)), sum(map(str.isalpha, words)) / n, *signs]
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, float]:
-    """(doc_id, text, role) of at most ``size`` documents of each role, and the prior.
-
-    Roles: 1 marked good, 0 marked bad, -1 unlabelled. The ids chosen are at most three times ``size`` rows.
-    """
-    marks = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
-             .groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").cast("int").alias("good")))
-    prior = marks.agg(F.avg("good")).first()[0]
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").where(fold(F.col("doc_id")) != 0).distinct()
-    marked = (ids.join(marks, F.col("doc_id") == F.col("label_id"), "left")
-              .select(F.col("doc_id").alias("chosen"), F.coalesce("good", F.lit(-1)).alias("role"),
-                      F.xxhash64("doc_id").alias("order")))
-    parts = [marked.where(F.col("role") == role).orderBy("order", "chosen").limit(size) for role in (1, 0, -1)]
-    chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("order")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
-    return rows.select("doc_id", "text", "role"), 0.5 if prior is None else float(prior)
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """(text, role) of at most ``size`` documents marked good (role 1) and ``size`` documents of any kind (role 0)."""
+    good = (labels.where("doc_id IS NOT NULL AND quality = 1").where(fold(F.col("doc_id")) != 0)
+            .select(F.col("doc_id").alias("label_id")).distinct())
+    ids = (docs.where("doc_id IS NOT NULL").select("doc_id").where(fold(F.col("doc_id")) != 0).distinct()
+           .select(F.col("doc_id").alias("chosen"), F.xxhash64("doc_id").alias("order")))
+    positive = ids.join(good, F.col("chosen") == F.col("label_id"), "left_semi")
+    parts = [part.orderBy("order", "chosen").limit(size).select("chosen", F.lit(role).alias("role"))
+             for role, part in ((1, positive), (0, ids))]
+    chosen = parts[0].unionByName(parts[1])  # at most 2 * size narrow rows
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("text", "role")
 
 
 class Model:
@@ -93,7 +96,7 @@ class Model:
         return 1 / (1 + np.exp(-(self.weights[self.bins(x)].sum(axis=1) + self.bias)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Model:
     """Stochastic descent on the non-negative risk, with the step sizes of Adam."""
     both = np.concatenate([positive, unlabelled])
     edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:], axis=0).T if len(both) else np.zeros((MEASURES, BINS))
@@ -134,28 +137,69 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(edges, mixed[:size], float(mixed[size]))
 
 
-def calibrate(model: Model, x: np.ndarray, good: np.ndarray) -> Model:
-    """Scales the model to probabilities on labelled rows."""
-    a, b = platt(model.weights[model.bins(x)].sum(axis=1) + model.bias, good)
-    return Model(model.edges, model.weights * a, model.bias * a + b)
+def separate(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 150) -> Model:
+    """An additive model that tells positives from unlabelled text, both sides weighing the same."""
+    both = np.concatenate([positive, unlabelled])
+    model = Model(np.quantile(both, np.linspace(0, 1, BINS + 1)[1:], axis=0).T, np.zeros(MEASURES * (BINS + 1)), 0.0)
+    at = model.bins(both)
+    mark = np.repeat([1.0, 0.0], [len(positive), len(unlabelled)])
+    weight = np.repeat([0.5 / len(positive), 0.5 / len(unlabelled)], [len(positive), len(unlabelled)])
+    w = model.weights
+    for step in range(rounds):
+        gap = (1 / (1 + np.exp(-w[at].sum(axis=1))) - mark) * weight
+        w = w - 4.0 * (np.bincount(at.ravel(), np.repeat(gap, at.shape[1]), len(w)) + 1e-2 * w)
+    return Model(model.edges, w, 0.0)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """Share of positives among the unlabelled, see the top. 0.5 when one side is too small to be halved."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    models = [separate(positive[k::2], unlabelled[k::2]) for k in (0, 1)]  # each scores the other half
+    p, u = (np.sort(np.concatenate([models[k].score(x[1 - k::2]) for k in (0, 1)])) for x in (positive, unlabelled))
+    at = np.unique(p)
+    share_p = 1 - np.searchsorted(p, at, side="left") / len(p)
+    share_u = 1 - np.searchsorted(u, at, side="left") / len(u)
+    slack = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((share_u + slack) / share_p)
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
+def calibrate(model: Model, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 50,
+              ridge: float = RIDGE) -> Model:
+    """Scales the margins: the slope a and shift b of least unbiased risk, mean_u log(1 + e^(af+b)) - prior mean_p (af+b),
+
+    plus ridge / 2 ((a - 1)^2 + b^2), as the risk of a sample has no least value where a model tells it apart too well.
+    """
+    if not len(positive) or not len(unlabelled):
+        return model
+    fp, fu = (model.weights[model.bins(x)].sum(axis=1) + model.bias for x in (positive, unlabelled))
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(a * fu + b, -30, 30)))
+        v = q * (1 - q)
+        g = np.array([(q * fu).mean() - prior * fp.mean() + ridge * (a - 1), q.mean() - prior + ridge * b])
+        h = np.array([[(v * fu ** 2).mean() + ridge, (v * fu).mean()], [(v * fu).mean(), v.mean() + ridge]])
+        a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
+    return Model(model.edges, model.weights * max(a, 0.0), float(model.bias * max(a, 0.0) + b))
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """Fits the risk on positives and unlabelled, then scales on the labelled rows. All are of the training fold."""
-    rows, prior = sample(docs, labels, size)
-
+    """Prior, fit and scale from positives and unlabelled text of the training fold."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for roles, column in one_table(batches, ["role", "text"]):
             found = [measure(text) for text in texts(column)]
             yield pa.RecordBatch.from_arrays([roles, pa.array(found, pa.list_(pa.float64()))],
                                              names=["role", "measures"])
 
-    found = rows.mapInArrow(scan, "role int, measures array<double>").toPandas()  # at most 3 * size rows
+    found = sample(docs, labels, size).mapInArrow(scan, "role int, measures array<double>").toPandas()  # 2 * size rows
     x = np.array(found["measures"].tolist(), dtype=float).reshape(-1, MEASURES)
     order = np.lexsort(x.T)  # rows come in any order
     x, role = x[order], found["role"].to_numpy(dtype=int)[order]
-    model = fit(x[role == 1], x[role == -1], prior)
-    return calibrate(model, x[role >= 0], role[role >= 0])
+    rng = np.random.default_rng(SEED)
+    positive, unlabelled = (rng.permutation(x[role == k]) for k in (1, 0))
+    prior = class_prior(positive, unlabelled)
+    return calibrate(fit(positive, unlabelled, prior), positive, unlabelled, prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

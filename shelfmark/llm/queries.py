@@ -167,14 +167,14 @@ LEFT JOIN top ON m.conv_id = top.conv_id AND m.turn = top.turn
 """
 
 OP2_SQL = r"""
-WITH b AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, least(len(ws), 13) AS span
-           FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+WITH b AS (SELECT iid, item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, least(len(ws), 13) AS span
+           FROM (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
       FROM (SELECT rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d)),
-bg AS (SELECT item_id, span, array_agg(w) OVER (PARTITION BY item_id ORDER BY i
+bg AS (SELECT item_id, span, array_agg(w) OVER (PARTITION BY iid ORDER BY i
               ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)[:span] AS g FROM b),
 spans AS (SELECT DISTINCT span FROM b),
 dg AS (SELECT rid, i, span, array_agg(w) OVER (PARTITION BY rid, span ORDER BY i

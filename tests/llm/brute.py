@@ -66,7 +66,7 @@ def contamination(texts, items):
         words = BENCH_WORD.findall((text or "").translate(LOWER))
         n = min(13, len(words))
         for k in range(len(words) - n + 1) if n else ():
-            windows.setdefault(tuple(words[k:k + n]), set()).add(str(item))
+            windows.setdefault(tuple(words[k:k + n]), set()).update([] if item is None else [str(item)])
     out = []
     for text in texts:
         words = BENCH_WORD.findall((text or "").translate(LOWER))

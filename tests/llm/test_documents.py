@@ -96,7 +96,7 @@ def test_contamination(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("n_words", F.lit("x"))
     rows = decontaminate.contamination(docs, bench).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256), "contaminated").collect()
-    expected = brute.contamination(texts, [x for x in ITEMS if x[0] is not None])
+    expected = brute.contamination(texts, ITEMS)
     assert sorted(map(str, map(tuple, rows))) == sorted(str((i, *e)) for i, e in zip(ids, expected))
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == brute.DOCS.names
@@ -111,6 +111,14 @@ def test_contamination_empty_tables(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_items_without_id_hit(spark):
+    shared = " ".join(f"shared{k}" for k in range(30))
+    bench = spark.createDataFrame([(None, shared), (None, "other words"), (7, None)], "item_id long, text string")
+    rows = decontaminate.contamination(brute.frame(spark, [shared, "clean text", None]), bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in rows] == [
+        (30, 0, [], True), (0, 0, [], False), (0, 0, [], False)]
+
+
 def test_every_shared_span_is_found(spark):
     rng = random.Random(3)
     words = [f"t{rng.randrange(6)}" for _ in range(400)]  # few words, so that runs repeat

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,53 @@ def test_toxicity_on_held_out_labels(spark):
     assert area > 0.95 and right > 0.93
 
 
+def test_quality_from_positives_only(spark):
+    """Without a single negative label: the same scores, and as good ones."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    first, second = (quality_pu.score(docs, x).orderBy("doc_id").collect() for x in (labels, labels.where("quality = 1")))
+    assert first == second
+    rows = {r.doc_id: r for r in second}
+    marks = [(rows[r.doc_id].score, r.quality) for r in labels.collect() if r.quality is not None and brute.held_out(r.doc_id)]
+    assert brute.auc(*zip(*marks)) >= 0.97
+
+
+def test_quality_when_every_document_is_labelled(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality IS NOT NULL")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = {r.doc_id: r.score for r in quality_pu.score(docs, labels).collect()}
+    marks = [(rows[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in rows and brute.held_out(r.doc_id)]
+    assert len(set(rows.values())) > 100 and brute.auc(*zip(*marks)) >= 0.97
+
+
+def test_class_prior_of_known_mixtures():
+    rng = np.random.default_rng(4)
+
+    def drawn(n, good):
+        return rng.normal(np.where(np.arange(n)[:, None] < good * n, 1.5, -1.5), 1.0, (n, quality_pu.MEASURES))
+    for share in (0.3, 0.6, 0.9):
+        assert abs(quality_pu.class_prior(rng.permutation(drawn(2000, 1)), rng.permutation(drawn(4000, share))) - share) < 0.06
+    assert quality_pu.class_prior(drawn(2, 1), drawn(50, 0.5)) == 0.5
+
+
+def test_scale_minimises_the_unbiased_risk():
+    rng = np.random.default_rng(5)
+    positive, unlabelled = (rng.normal(m, 1, (n, quality_pu.MEASURES)) for m, n in ((0.2, 300), (0, 500)))
+    model = quality_pu.fit(positive, unlabelled, 0.5)
+    scaled = quality_pu.calibrate(model, positive, unlabelled, 0.5, ridge=0.05)
+    fp, fu = (model.weights[model.bins(x)].sum(axis=1) + model.bias for x in (positive, unlabelled))
+    slope = scaled.weights[0] / model.weights[0]
+    shift = scaled.bias - slope * model.bias
+
+    def risk(a, b):
+        """The risk as it is defined, one text after the other."""
+        of_positive = [0.5 * math.log1p(math.exp(-(a * f + b))) - 0.5 * math.log1p(math.exp(a * f + b)) for f in fp]
+        of_unlabelled = [math.log1p(math.exp(a * f + b)) for f in fu]
+        return (sum(of_positive) / len(fp) + sum(of_unlabelled) / len(fu)
+                + 0.05 / 2 * ((a - 1) ** 2 + b ** 2))
+    for a, b in ((1.05, 0), (0.95, 0), (1, 0.05), (1, -0.05)):
+        assert risk(slope, shift) < risk(slope * a, shift + b)
+
+
 @pytest.mark.parametrize("module", [quality_pu, toxicity_ftrl])
 def test_odd_rows(spark, module):
     texts = [None, "", "a b c", "a b c", "you loser", brute.prose(20_000), "###"]
