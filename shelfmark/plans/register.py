@@ -31,6 +31,6 @@ def run_scan(raw_tracks: DataFrame, registry: DataFrame, path: str, session_id:
     merged = register(raw_tracks, registry, completed)
     number = store.write_version(merged, f"{path}/registry")
     stored = store.read_version(spark, f"{path}/registry", number)
-    store.append_log(store.session_row(rg.merge_counters(stored), session_id, started, completed),
-                     f"{path}/scan_sessions")
+    store.write_run({"scan_sessions": store.session_row(rg.merge_counters(stored), session_id, started, completed)}, path,
+                    "session_id", session_id)
     return stored.drop("action")

@@ -7,6 +7,8 @@ being read is never overwritten, so a failed write leaves the table as it was.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,12 +89,30 @@ def read_version(spark: SparkSession, path: str, number: int | None = None) -> D
     return spark.read.parquet(f"{path}/v{number or done[-1]}")
 
 
-def append_log(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append to a log table (results, reviews, issues, sessions)."""
-    writer = df.write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+def write_run(tables: dict[str, DataFrame], path: str, run_column: str, run_id: str) -> None:
+    """Write the rows of one run to its log tables, then the row that commits them.
+
+    The rows go to a partition of the run and of this attempt; the commit row of the run, replaced by dynamic partition
+    overwrite, names the attempt that counts. A run that is done again under its id takes the place of the first, and
+    one that breaks off leaves rows that nobody reads. Rows of attempts that don't count stay until the folder expires.
+    """
+    attempt = uuid.uuid4().hex
+    for name, df in tables.items():
+        (df.withColumns({run_column: F.lit(run_id), "attempt": F.lit(attempt)}).write.mode("append")
+         .partitionBy(run_column, "attempt").parquet(f"{path}/{name}"))
+    spark = next(iter(tables.values())).sparkSession
+    commit = spark.createDataFrame([(run_id, attempt)], f"{run_column} string, attempt string").coalesce(1)
+    (commit.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run_column)
+     .parquet(f"{path}/{run_column}_commits"))
+
+
+def read_log(spark: SparkSession, path: str, name: str, run_column: str) -> DataFrame:
+    """The rows of a log table that a commit row names. Runs that wrote no row to any table of that name have none."""
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
+    commits = spark.read.schema(f"attempt string, {run_column} string").parquet(f"{path}/{run_column}_commits")
+    # partition values that look like numbers or dates are read as such
+    rows = rows.withColumns({run_column: F.col(run_column).cast("string"), "attempt": F.col("attempt").cast("string")})
+    return rows.join(commits.select(run_column, "attempt"), [run_column, "attempt"], "left_semi").drop("attempt")
 
 
 def create_job(spark: SparkSession, job_id: str, name: str, total_albums: DataFrame, threshold: float,
@@ -104,12 +124,6 @@ def create_job(spark: SparkSession, job_id: str, name: str, total_albums: DataFr
         F.lit("pending").alias("status"), F.lit(options).alias("options"))
 
 
-def append_results(results: DataFrame, queue: DataFrame, path: str) -> None:
-    """Result and review rows of a job, partitioned by job."""
-    append_log(results, f"{path}/job_results", ["job_id"])
-    append_log(queue, f"{path}/review_queue", ["job_id"])
-
-
 def session_row(counters: DataFrame, session_id: str, started: Column, completed: Column) -> DataFrame:
     """Log row of a finished scan with the counters of the merge."""
     return counters.select(F.lit(session_id).alias("session_id"), started.alias("started_at"),
@@ -118,9 +132,8 @@ def session_row(counters: DataFrame, session_id: str, started: Column, completed
 
 
 def save_quality_report(scores: DataFrame, issues: DataFrame, report_id: str, now: Column, path: str) -> None:
-    """One report row and all issue rows, tagged with the run's id."""
+    """One report row and all issue rows under the run's id; saved again they take the place of the first."""
     report = scores.select(F.lit(report_id).alias("report_id"), now.alias("created_at"), "total_albums",
                            "total_issues", "critical_issues", "warning_issues", "info_issues", "quality_score",
                            "consistency_score")
-    append_log(report, f"{path}/quality_reports")
-    append_log(issues.withColumn("report_id", F.lit(report_id)), f"{path}/quality_issues", ["report_id"])
+    write_run({"quality_reports": report, "quality_issues": issues}, path, "report_id", report_id)

@@ -6,13 +6,15 @@ import re
 
 from pyspark.sql import functions as F
 
-
 from shelfmark.operators import jobs as jb
 from shelfmark.operators import matching as mt
 from shelfmark.operators import progress as pr
 from shelfmark.operators import registry as rg
+from shelfmark.plans import enrich
+from shelfmark.session import materialize, scratch_path
+from shelfmark.sources import store
 from suite import bindings as b
-from suite.q_matching import VOTES
+from suite.q_matching import VOTES, part_votes
 
 QUERIES = {}
 
@@ -305,3 +307,21 @@ add("recommendations",
        UNION ALL SELECT 'review', count(*) || ' albums need manual review' FROM job_results WHERE status = 'needs_review'
        UNION ALL SELECT 'coverage', 'Only ' || printf('%.1f', round(count(*) FILTER (has_artwork AND genre <> '')
                  / count(*) * 100, 1)) || '% of albums have genres' FROM order_albums""")
+
+
+def stored_jobs(s, d):
+    """Two jobs over all part albums, one of them run twice under its id, the other without one of the sources."""
+    path = scratch_path(s, "jobs")
+    bare = materialize(b.part_albums(s, d).withColumn("genres", F.array().cast("array<string>")), "bare")
+    for job_id, options in (("all", None), ("all", None), ("few", {"sources": {"discogs": {}}, "confidence_threshold": 50.0})):
+        enrich.run_job(bare, b.candidates(s, d), part_votes(s, d), b.TAX, path, job_id, f"job {job_id}", b.now(), options)
+    jobs = store.read_log(s, path, "jobs", "job_id").select("job_id", "total_albums", "confidence_threshold")
+    results = store.read_log(s, path, "job_results", "job_id").groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("results"), F.count_distinct("album_key").alias("albums"))
+    return jobs.join(results, "job_id")
+
+
+add("stored_jobs", stored_jobs,
+    """SELECT job_id, n AS total_albums, threshold AS confidence_threshold, n AS results, n AS albums
+       FROM (SELECT count(*) AS n FROM part_albums),
+            (VALUES ('all', 95::double), ('few', 50::double)) t(job_id, threshold)""")

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from shelfmark.operators import quality as ql
+from shelfmark.plans.quality_report import run_report
+from shelfmark.session import scratch_path
+from shelfmark.sources import store
 from suite import bindings as b
 from suite.q_matching import lev
 
@@ -225,3 +228,20 @@ add("order_album_duplicates",
         c="CASE WHEN x.n > 0 AND y.n > 0 THEN 1::double - abs(x.n - y.n)::double / greatest(x.n, y.n)::double "
           "ELSE 0.5::double END"),
     {"low": "SELECT album_key, artist, album, lower(artist) AS a, lower(album) AS t, track_count AS n FROM order_albums"})
+
+
+def saved_report(s, d):
+    """The report of the worn albums, saved twice under one id, beside one under another."""
+    path = scratch_path(s, "reports")
+    for report_id in ("r1", "r1", "r2"):
+        run_report(b.worn_albums(s, d), b.part_tracks(s, d), b.TAX, path, report_id, b.now())
+    reports = store.read_log(s, path, "quality_reports", "report_id").select("report_id", "total_issues")
+    stored = store.read_log(s, path, "quality_issues", "report_id").groupBy("report_id", "issue_type").agg(
+        F.count(F.lit(1)).alias("n"))
+    return stored.join(reports, "report_id").select("report_id", "issue_type", "n", "total_issues")
+
+
+add("saved_quality_reports", saved_report,
+    """SELECT report_id, issue_type, n, total_issues
+       FROM (SELECT issue_type, count(*) AS n FROM every GROUP BY 1), (SELECT count(*) AS total_issues FROM every),
+            (SELECT unnest(['r1', 'r2']) AS report_id)""", WORN)

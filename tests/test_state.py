@@ -186,9 +186,38 @@ def test_plans_end_to_end(spark, tmp_path):
     albums = b.part_albums(spark, SF).limit(40)
     from suite.q_matching import part_votes
     results = enrich.run_job(albums.withColumn("genres", F.array().cast("array<string>")), b.candidates(spark, SF),
-                             part_votes(spark, SF), TAX, str(tmp_path / "job"), "j1", "test", now, 60.0)
+                             part_votes(spark, SF), TAX, str(tmp_path / "job"), "j1", "test", now,
+                             {"confidence_threshold": 60.0, "max_genres_per_album": 2})
     assert results.count() == 40
-    assert {r.status for r in results.collect()} <= {"completed", "needs_review", "skipped"}
+    rows = results.collect()
+    assert {r.status for r in rows} <= {"completed", "needs_review", "skipped"}
+    assert all(len(r.final_genres) <= 2 for r in rows if r.status == "completed")
+    job = store.read_log(spark, str(tmp_path / "job"), "jobs", "job_id").first()
+    assert (job.job_id, job.confidence_threshold, job.total_albums, job.dry_run) == ("j1", 60.0, 40, True)
     out = quality_report.run_report(albums, None, TAX, str(tmp_path / "q"), "r1", now)
     report = spark.read.parquet(f"{tmp_path}/q/quality_reports").first()
     assert report.total_issues == out["issues"].count()
+
+
+def test_runs_that_come_again(spark, tmp_path):
+    path = str(tmp_path / "log")
+
+    def rows(*values):
+        return spark.createDataFrame([(v,) for v in values], "v int")
+    store.write_run({"a": rows(1, 2), "b": rows(9)}, path, "run_id", "1")
+    store.write_run({"a": rows(3), "b": rows()}, path, "run_id", "2")
+    once = sorted(map(tuple, store.read_log(spark, path, "a", "run_id").collect()))
+    store.write_run({"a": rows(1, 2), "b": rows(9)}, path, "run_id", "1")
+    assert sorted(map(tuple, store.read_log(spark, path, "a", "run_id").collect())) == once == [("1", 1), ("1", 2), ("2", 3)]
+    rows(7).withColumns({"run_id": F.lit("3"), "attempt": F.lit("broke off")}).write.mode("append").partitionBy(
+        "run_id", "attempt").parquet(f"{path}/a")
+    assert store.read_log(spark, path, "a", "run_id").count() == 3
+    store.write_run({"a": rows(), "b": rows(4)}, path, "run_id", "1")
+    assert [tuple(r) for r in store.read_log(spark, path, "a", "run_id").collect()] == [("2", 3)]
+    assert [tuple(r) for r in store.read_log(spark, path, "b", "run_id").collect()] == [("1", 4)]
+
+
+def test_sources_that_are_off(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "source string")
+    assert enrich.of_enabled(rows, {}).count() == 3
+    assert {r.source for r in enrich.of_enabled(rows, {"sources": {"a": {"enabled": False}, "b": {}}}).collect()} == {"b"}
