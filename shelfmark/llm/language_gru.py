@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm.common import fold, one_table, raw_texts
+from shelfmark.session import hinted
 
 WINDOW = 64
 HIDDEN = 8
 SAMPLE = 400
 EXAMPLES = 6
+# Texts that are ranked for the sample, as a multiple of it: those with hashes below that share of a language's texts.
+MARGIN = 4
 STEPS = 200
 BATCH = 192
 RATE = 0.02
@@ -185,9 +188,15 @@ def cut_up(raw: bytes, window: int = WINDOW) -> tuple[np.ndarray, int]:
 def sample(docs: DataFrame, size: int = SAMPLE, examples: int = EXAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Windows, their sizes, the numbers of their languages, and the languages in order."""
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
+    own = docs.select("doc_id", "text", "lang").where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held & (F.length("text") > 0))
+    counts = [(r["lang"], MARGIN * size / r["n"]) for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    shares = own.sparkSession.createDataFrame(counts, "known string, share double")  # a row a language, as in the network
+    # The least hashes lie below this share of all hashes; only these texts are ranked.
+    below = F.xxhash64("doc_id").cast("double") / 2.0 ** 64 + 0.5 <= F.col("share")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text")
-    chosen = (docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held)
-              .where(F.length("text") > 0).withColumn("place", F.row_number().over(order)).where(F.col("place") <= size))
+    chosen = (own.join(hinted(shares, len(counts)), F.col("lang") == F.col("known")).where(below)
+              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= size))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, places, column in one_table(batches, ["lang", "place", "text"]):
