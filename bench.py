@@ -20,7 +20,8 @@ HEADLINE = [
     "compilation_counters", "normalize_values", "normalize_list", "consistency_statistics", "best_match",
     "tiered_search", "aggregate_votes", "duplicate_pairs", "duplicate_groups", "artist_profiles", "all_suggestions",
     "best_suggestions", "genre_issues", "quality_scores", "processing_candidates", "job_summary", "trailing_rate",
-    "changed_fields", "album_status", "browse_page", "stream_job_progress",
+    "changed_fields", "album_status", "browse_page", "stream_job_progress", "full_quality_run", "match_library",
+    "reverted_versions", "suggestion_report",
 ]
 
 
