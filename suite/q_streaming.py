@@ -77,9 +77,8 @@ add("stream_first_results",
     "SELECT DISTINCT job_id, album_key FROM job_results")
 
 # Results arrive in three deliveries; the second and the third bring the one before them again.
-BY_STATUS = [F.col("status").isin("completed", "approved"), F.col("status") == "needs_review",
-             F.col("status").isin("failed", "skipped")]
-BY_DAY = [F.dayofmonth("created_at") <= 10, F.dayofmonth("created_at").between(11, 20), F.dayofmonth("created_at") > 20]
+BY_STATUS = ["status IN ('completed', 'approved')", "status = 'needs_review'", "status IN ('failed', 'skipped')"]
+BY_DAY = ["dayofmonth(created_at) <= 10", "dayofmonth(created_at) BETWEEN 11 AND 20", "dayofmonth(created_at) > 20"]
 
 
 def delivered(s, d, parts, columns, start):
