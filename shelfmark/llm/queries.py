@@ -72,6 +72,12 @@ def op6_quote_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_chat.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op6 over the conversations with their replies quoted, wrapped, nested and cropped."""
+    prepare(spark)
+    return quote_chat.format_chat(quote_chat.quoting(table(spark, sf_dir, "conversations")))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return _digest(pii_crf.find(table(spark, sf_dir, "documents")), pii_crf.KINDS)
@@ -141,18 +147,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-OP6_SQL = r"""
-WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+_OP6_SOURCE = "SELECT conv_id, turn, role, text FROM conversations"
+
+_OP6_QUOTING = r"""SELECT conv_id, turn, role, array_to_string(list_concat(
+    ['> > ' || array_to_string(two[i * 9 + 1:i * 9 + 9], ' ') for i in range(0, (len(two) + 8) // 9)],
+    ['> ' || array_to_string(one[i * 9 + 1:i * 9 + 9], ' ') for i in range(0, (len(one) + 8) // 9)], [t]), chr(10)) AS text
+  FROM (SELECT a.conv_id, a.turn, a.role, a.t, coalesce(b.ws, []) AS two, CASE WHEN o.ws IS NULL THEN []
+          WHEN a.turn % 3 = 0 AND len(o.ws) > 0 THEN o.ws[:len(o.ws) - 1] ELSE o.ws END AS one
+        FROM (SELECT *, CASE WHEN x >= 1 THEN greatest(x - 1 - x % 2, 0) END AS y FROM
+              (SELECT conv_id, turn, role, coalesce(text, '') AS t,
+                 CASE WHEN turn >= 1 THEN greatest(turn - 1 - turn % 2, 0) END AS x FROM conversations)) a
+        LEFT JOIN k o ON a.conv_id = o.conv_id AND a.x = o.turn LEFT JOIN k b ON a.conv_id = b.conv_id AND a.y = b.turn)"""
+
+_OP6_SQL = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, [w for w in string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+') if w <> ''] AS ws
+                     FROM conversations),
+src AS ({source}),
+m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS t FROM src),
 raw AS (SELECT rid, conv_id, turn, unnest(string_split(t, chr(10))) AS line,
                generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM m),
 l AS (SELECT *, regexp_extract(line, '^(?:[ \t]*>)+') AS marker FROM raw),
-n AS (SELECT conv_id, turn, length(regexp_replace(marker, '[^>]', '', 'g')) AS level,
-             trim(regexp_replace(lower(line[length(marker) + 1:]), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS content FROM l),
-o AS (SELECT conv_id, content, min(turn) AS origin FROM n WHERE level = 0 AND content <> '' GROUP BY ALL),
-v AS (SELECT n.conv_id, n.turn, level, origin, count(*) AS c FROM n JOIN o USING (conv_id, content)
-      WHERE level > 0 AND origin < n.turn GROUP BY ALL),
-p AS (SELECT conv_id, turn, first(origin ORDER BY level, c DESC, origin) AS reply_to, sum(c) AS n_linked FROM v
-      GROUP BY ALL),
+n AS (SELECT rid, conv_id, turn, pos, length(regexp_replace(marker, '[^>]', '', 'g')) AS level,
+        [w for w in string_split_regex(lower(line[length(marker) + 1:]), '[ \t\n\x0B\f\r]+') if w <> ''] AS ws FROM l),
+s AS (SELECT *, level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY pos) AS new FROM n),
+r AS (SELECT *, sum(new::INT) OVER (PARTITION BY rid ORDER BY pos) AS run FROM s),
+ps AS (SELECT conv_id, turn, level, flatten(array_agg(ws ORDER BY pos)) AS ws FROM r GROUP BY rid, conv_id, turn, level, run
+       UNION ALL SELECT conv_id, turn, level, ws FROM n WHERE level = 0 AND len(ws) < 5),
+pg AS (SELECT DISTINCT conv_id, turn, level, array_to_string(ws, ' ') AS passage, unnest(CASE WHEN len(ws) < 5
+         THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] END) AS gram
+       FROM ps WHERE len(ws) > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+wrote AS (SELECT DISTINCT conv_id, turn, gram FROM pg WHERE level = 0),
+asked AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, level, passage) AS n_grams FROM pg WHERE level > 0),
+pt AS (SELECT a.conv_id, a.turn, level, passage, w.turn AS origin FROM asked a ASOF JOIN wrote w
+       ON a.conv_id = w.conv_id AND a.gram = w.gram AND a.turn > w.turn),
+best AS (SELECT conv_id, turn, level, passage, first(origin ORDER BY c DESC, origin DESC) AS origin FROM
+         (SELECT conv_id, turn, level, passage, origin, count(*) AS c FROM pt GROUP BY ALL) GROUP BY ALL),
+held AS (SELECT a.conv_id, a.turn, a.level, a.passage, a.n_grams, b.origin, count(*) AS c FROM asked a JOIN best b
+         ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.level = b.level AND a.passage = b.passage
+         JOIN wrote w ON w.conv_id = a.conv_id AND w.gram = a.gram AND w.turn = b.origin GROUP BY ALL),
+v AS (SELECT conv_id, turn, level, origin, sum(c) AS c, count(*) AS n FROM held WHERE c * 5 >= n_grams * 4 GROUP BY ALL),
+p AS (SELECT conv_id, turn, first(origin ORDER BY level, c DESC, origin DESC) AS reply_to, sum(n) AS n_linked FROM v GROUP BY ALL),
 up AS (SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM p
        UNION ALL SELECT up.conv_id, up.turn, p.reply_to, depth + 1 FROM up JOIN p
        ON up.conv_id = p.conv_id AND up.root = p.turn),
@@ -166,6 +200,9 @@ FROM m JOIN own USING (rid) LEFT JOIN p ON m.conv_id = p.conv_id AND m.turn = p.
 LEFT JOIN top ON m.conv_id = top.conv_id AND m.turn = top.turn
 """
 
+OP6_SQL = _OP6_SQL.replace("{source}", _OP6_SOURCE)
+QUOTED_SQL = _OP6_SQL.replace("{source}", _OP6_QUOTING)
+
 OP2_SQL = r"""
 WITH b AS (SELECT iid, item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, least(len(ws), 13) AS span
            FROM (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -251,6 +288,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_packing": (op4_packing, None),
     "op5_quality_rules": (op5_quality_rules, OP5_SQL),
     "op6_quote_chat": (op6_quote_chat, OP6_SQL),
+    "quoted_conversations": (quoted_conversations, QUOTED_SQL),
     "op7_pii": (op7_pii, None),
     "op8_url_filter": (op8_url_filter, None),
     "op9_toxicity": (op9_toxicity, None),

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -175,7 +176,7 @@ def test_url_tables_grow_with_the_input(spark):
 
 def test_quote_links(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> hello   THERE\nFine."),
-            (1, 2, "user", ">> Hello there\n> Fine.\nGood!"), (1, 3, "user", "> Good!\n> Fine.\nSee you"),
+            (1, 2, "user", ">> Hello there\n> Fine.\nGood!"), (1, 3, "user", "> Good!\n\n> Fine.\nSee you"),
             (1, 4, "user", ">not known\nAlone"), (1, 5, "user", "> Alone"), (1, 5, "user", "twice"),
             (2, 0, "user", "> Fine."), (2, 1, None, None), (None, 3, "user", "> Fine."), (3, None, "user", "x"),
             (4, 0, "user", "same"), (4, 1, "user", "same\n> same"), (4, 2, "user", "> same\nmore")]
@@ -183,13 +184,95 @@ def test_quote_links(spark):
     found = {(r.conv_id, r.turn, r.text): r for r in quote_chat.format_chat(frame).collect()}
     get = lambda c, t, x: (found[c, t, x].reply_to, found[c, t, x].thread, found[c, t, x].depth)
     assert get(1, 0, "Hello there\nHow are you?") == (None, 0, 0) and get(1, 1, "Fine.") == (0, 0, 1)
-    assert get(1, 2, "Good!") == (1, 0, 2) and get(1, 3, "See you") == (1, 0, 2)
+    assert get(1, 2, "Good!") == (1, 0, 2) and get(1, 3, "See you") == (2, 0, 3)
     assert get(1, 4, "Alone") == (None, 4, 0) and get(1, 5, "") == (4, 4, 1) and get(1, 5, "twice") == (4, 4, 1)
     assert get(2, 0, "") == (None, 0, 0) and get(2, 1, "") == (None, 1, 0) and get(None, 3, "") == (None, 3, 0)
-    assert get(4, 1, "same") == (0, 0, 1) and get(4, 2, "more") == (0, 0, 1)
+    assert get(4, 1, "same") == (0, 0, 1) and get(4, 2, "more") == (1, 0, 2)
     assert len(found) == len(rows) and quote_chat.format_chat(frame.limit(0)).count() == 0
 
 
+def plain_links(rows):
+    """(conv, turn) to (reply_to, linked passages), by comparing every passage with every earlier turn."""
+    wrote, asked = {}, {}
+    for conv, turn, text in rows:
+        runs = []
+        for line in (text or "").split("\n"):
+            marker = re.match(r"(?:[ \t]*>)*", line)[0]
+            words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", line[len(marker):].lower()) if w]
+            level = marker.count(">")
+            if level == 0 and len(words) < 5:
+                wrote.setdefault((conv, turn), set()).add(tuple(words))
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].extend(words)
+        for level, words in runs:
+            grams = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+            if words and level == 0:
+                wrote.setdefault((conv, turn), set()).update(grams)
+            elif words:
+                asked.setdefault((conv, turn), {})[level, tuple(words)] = grams
+    found = {}
+    for (conv, turn), quoted in asked.items():
+        sums = {}
+        for (level, _), grams in quoted.items():
+            earlier = sorted(t for c, t in wrote if c == conv and t < turn)
+            points = [max(have) for g in grams if (have := [t for t in earlier if g in wrote[conv, t]])]
+            if points:
+                origin = max(points, key=lambda t: (points.count(t), t))
+                n = len(grams & wrote[conv, origin])
+                if n * 5 >= len(grams) * 4:
+                    old = sums.get((level, origin), (0, 0))
+                    sums[level, origin] = (old[0] + n, old[1] + 1)
+        if sums:
+            (_, origin), _ = max(sums.items(), key=lambda x: (-x[0][0], x[1][0], x[0][1]))
+            found[conv, turn] = (origin, sum(n for _, n in sums.values()))
+    return found
+
+
+def test_quote_links_match_plain_comparison(spark):
+    rng = random.Random(4)
+    words = ["alpha", "Beta", "gamma", "delta", "Thanks,", "Ärger", "so"]
+    rows = []
+    for conv in range(6):
+        for turn in range(25):
+            lines = []
+            for _ in range(rng.randrange(6)):
+                if rows and rows[-1][0] == conv and rng.random() < 0.6:
+                    said = rng.choice([r[2] for r in rows if r[0] == conv]).split("\n")
+                    part = rng.choice([x for x in said if ">" not in x] or [""]).split()[rng.randrange(2):]
+                    mark = rng.choice(["> ", ">> ", " > > "])
+                    lines += [mark + " ".join(part[k:k + 3]) for k in range(0, len(part), 3)]
+                else:
+                    lines.append(" ".join(rng.choices(words, k=rng.randrange(12))))
+            rows.append((conv, turn, "\n".join(lines)))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    expected = plain_links(rows)
+    assert len(expected) > 30
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in quote_chat.links(frame).collect()} == expected
+
+
+def test_wrapped_edited_and_common_quotes(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, 0, "one two three four five six seven eight\nThanks,"), (1, 1, "Thanks,\nother words"),
+            (1, 2, "> one two three\n> four five six\n> seven eight\nwrapped"), (1, 3, "> Thanks,\nlast writer"),
+            (1, 4, "> " + " ".join(f"x{k}" for k in range(30))), (2, 0, long),
+            (2, 1, "\n".join("> " + " ".join(long.split()[k:k + 7]) for k in range(0, 60_000, 7))),
+            (2, 2, "> " + " ".join(w for k, w in enumerate(long.split()) if k % 40) + "\nedited"),
+            (2, 3, "> " + " ".join(w for k, w in enumerate(long.split()) if k % 6) + "\nanother text")]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): r.reply_to for r in quote_chat.format_chat(frame).collect()}
+    assert found == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 1, (1, 4): None,
+                     (2, 0): None, (2, 1): 0, (2, 2): 0, (2, 3): None}
+
+
+def test_a_line_that_thousands_wrote_and_quoted(spark):
+    frame = spark.range(5000).selectExpr(
+        "1L AS conv_id", "id * 700 AS turn", "'user' AS role",
+        "CASE WHEN id % 2500 = 0 THEN 'me too' WHEN id % 3 = 0 THEN '> me too' ELSE 'else' END AS text")
+    found = {r.turn // 700: r.reply_to for r in quote_chat.links(frame).collect()}
+    assert found == {k: k // 2500 * 1_750_000 for k in range(5000) if k % 3 == 0 and k % 2500}
+
+
 def test_long_chain_of_replies(spark):
     rows = [(1, k, "user", f"> line {k - 1}\nline {k}") for k in range(100)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -11,7 +11,7 @@ from tests.conftest import SF
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(entry.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline", "quoted"}
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
@@ -29,7 +29,7 @@ def test_a_row_for_every_row(spark, name, table):
     assert QUERIES[name][0](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["op5_quality_rules", "op6_quote_chat"])
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op6_quote_chat", "quoted_conversations"])
 def test_native_plans(spark, name):
     plan = QUERIES[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
