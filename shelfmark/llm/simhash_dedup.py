@@ -3,11 +3,12 @@
 1. Every text gets a 64-bit fingerprint: a bit is set if more than half of its word shingles' hashes have it set.
 2. Equal fingerprints collapse to one node, so copies never meet each other.
 3. Blocks: a fingerprint is split into four blocks of 16 bits. Two fingerprints that differ in at most two bits agree in
-   at least two blocks, so each node is filed under its six pairs of blocks. A node alone in all six has no partner.
-4. Verification without listing the pairs of a block: two nodes differ in at most two bits exactly if some 64-bit value
-   is within one bit of both. Each remaining node is filed under itself and its 64 one-bit neighbours; a value has at
-   most 65 nodes whatever the data, and all of them are linked. Each is joined to the least of them, and the Hamming
-   distance of each such link is checked. A group of many near copies thus costs 65 rows a node, never a square.
+   at least two blocks, so each node is filed under its six pairs of blocks, and nodes under one key are joined.
+4. Verification: under a key of up to ``PAIR_LIMIT`` nodes all pairs are compared by Hamming distance. A larger one, as near
+   copies make it, is split again by its other 32 bits: two of its nodes differ in at most two of them exactly if some
+   value is within one bit of both. Each node is filed under its own 33 values inside the key; a value has at most 33
+   nodes whatever the data. Its least node stands for it, the others are members, and the distance of each such link is
+   checked too. A group of many near copies thus costs at most 6 x 33 rows a node, never a square.
 5. Connected components of the links; each gets the least doc_id of its documents.
 
 Defined results: a null or blank text has fingerprint 0, which is linked like any other. Rows with a null doc_id get
@@ -33,6 +34,8 @@ SHINGLE = 3
 SEED = 42
 MAX_DISTANCE = 2
 BLOCK_BITS = 16
+# Keys of more nodes are split by their other bits, which gives the same links from fewer rows.
+PAIR_LIMIT = 32
 _CHUNK = 1 << 16
 
 
@@ -70,19 +73,24 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Edges (a, b) that connect all of ``nodes(fp)``, distinct, which differ in at most two bits."""
     count = 64 // BLOCK_BITS
     blocks = [((1 << BLOCK_BITS) - 1) << (BLOCK_BITS * k) for k in range(count)]
-    masks = [_signed(sum(pair)) for pair in combinations(blocks, count - MAX_DISTANCE)]
-    filed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
-                         .alias("table", "key"))
-    shared = cut(filed.groupBy("table", "key").count().where("count > 1").select("table", "key"))
-    partners = cut(filed.join(shared, ["table", "key"], "left_semi").select("fp").distinct())
+    masks = F.array(*[F.lit(_signed(sum(pair))) for pair in combinations(blocks, count - MAX_DISTANCE)])
+    filed = nodes.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("table", "key"))
+    sizes = cut(filed.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = cut(filed.join(sizes, ["table", "key"]))
+    small, large = shared.where(F.col("size") <= pair_limit), shared.where(F.col("size") > pair_limit)
+    pairs = (small.select("table", "key", F.col("fp").alias("a"))
+             .join(small.select("table", "key", F.col("fp").alias("b")), ["table", "key"]).where("a < b").select("a", "b"))
     near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
-    balls = (partners.select("fp", F.explode(near).alias("value")).groupBy("value")
-             .agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1))
-    return (balls.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b"))
+    values = (large.select("table", "key", "fp", F.explode(near).alias("value"))
+              .where(F.col("value").bitwiseAND(F.get(masks, F.col("table"))) == F.col("key")))
+    # The table and the value fix the key, as the value agrees with it.
+    members = (values.groupBy("table", "value").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+               .select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b")))
+    return (pairs.unionByName(members)
             .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE).distinct())
 
 

@@ -43,16 +43,22 @@ def test_links_find_every_close_pair(spark):
             values.add(s)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
-    roots = {r.node: r.root for r in components(simhash_dedup.links(nodes)).collect()}
     expected = brute.components([(s, v) for s, v in zip(signed, values)], lambda a, b: (a ^ b).bit_count() <= 2)
-    assert [roots.get(s, s) for s in signed] == expected
+    close = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    for limit in (1, 8, 1000):  # every block split, some, none
+        found = [tuple(r) for r in simhash_dedup.links(nodes, limit).collect()]
+        assert len(set(found)) == len(found) and set(found) <= close
+        assert limit < 1000 or set(found) == close
+        roots = {r.node: r.root for r in components(simhash_dedup.links(nodes, limit)).collect()}
+        assert [roots.get(s, s) for s in signed] == expected
 
 
 def test_links_stay_linear_in_a_dense_group(spark):
-    # All values within 12 bits: every one has many partners, but costs at most 65 rows.
+    # All values within 12 bits: every one has many partners, but costs a bounded number of rows.
     nodes = spark.range(4096).select(F.col("id").alias("fp"))
-    assert simhash_dedup.links(nodes).count() <= 65 * 4096
-    assert components(simhash_dedup.links(nodes)).agg(F.max("root")).first()[0] == 0
+    found = simhash_dedup.links(nodes)
+    assert found.count() <= 65 * 4096
+    assert components(found).agg(F.max("root")).first()[0] == 0
 
 
 def test_chain_component(spark):
