@@ -21,19 +21,16 @@ def changed_fields(old: str, new: str, fields: list[str]) -> Column:
     return F.map_filter(F.map_from_arrays(names, pairs), lambda _, p: ~p["old"].eqNullSafe(p["new"]))
 
 
-def versions_of(changes: DataFrame, key: str, ts: str, tie: list[str], fields: list[str],
-                bucket: Column | None = None) -> DataFrame:
+def versions_of(changes: DataFrame, key: str, ts: str, tie: list[str], fields: list[str]) -> DataFrame:
     """Numbered versions of a change log, with the fields changed since the version before.
 
     ``is_current`` marks the last one. No window sees a whole key (see
-    ``ordered``); the last version is found by ``max_by``.
+    ``ordered``); number, version before and count of versions come from one pass.
     """
     snap = changes.withColumn("snapshot", F.struct(*fields))
-    numbered = with_previous(snap, key, ts, tie, "snapshot", "before", number="version_number", bucket=bucket)
-    last = numbered.groupBy(key).agg(F.max("version_number").alias("_last"))
-    return (numbered.join(last, key)
-            .withColumn("changed_fields", F.when(F.col("before").isNotNull(),
-                                                 changed_fields("before", "snapshot", fields)))
+    numbered = with_previous(snap, key, ts, tie, "snapshot", "before", number="version_number", total="_last")
+    return (numbered.withColumn("changed_fields", F.when(F.col("before").isNotNull(),
+                                                         changed_fields("before", "snapshot", fields)))
             .withColumn("is_current", F.col("version_number") == F.col("_last")).drop("_last", "before"))
 
 

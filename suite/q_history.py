@@ -17,12 +17,8 @@ def add(name, fn, sql=None, extra=None):
     QUERIES[name] = (fn, None if sql is None else b.with_sql(sql, extra))
 
 
-def month():
-    return F.date_trunc("month", "created_at")
-
-
 def logged(s, d):
-    return hs.versions_of(b.order_log(s, d), "album_key", "created_at", ["change_id"], FIELDS, month())
+    return hs.versions_of(b.order_log(s, d), "album_key", "created_at", ["change_id"], FIELDS)
 
 
 LOG = {
@@ -33,13 +29,12 @@ LOG = {
 }
 
 add("version_numbers",
-    lambda s, d: numbered(b.order_log(s, d), "album_key", "created_at", ["change_id"], "v", month()).select(
+    lambda s, d: numbered(b.order_log(s, d), "album_key", "created_at", ["change_id"], "v").select(
         "album_key", "change_id", "v"),
     "SELECT album_key, change_id, v FROM logged", LOG)
 
 add("previous_state",
-    lambda s, d: with_previous(b.order_log(s, d), "album_key", "created_at", ["change_id"], "genre", "before",
-                               bucket=month()).select("change_id", "before"),
+    lambda s, d: with_previous(b.order_log(s, d), "album_key", "created_at", ["change_id"], "genre", "before").select("change_id", "before"),
     "SELECT change_id, g0 AS before FROM logged", LOG)
 
 add("changed_fields",

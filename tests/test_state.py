@@ -11,7 +11,7 @@ from shelfmark.operators import albums as al
 from shelfmark.operators import history as hs
 from shelfmark.operators import jobs as jb
 from shelfmark.operators import registry as rg
-from shelfmark.operators.ordered import numbered, trailing_count, with_previous
+from shelfmark.operators.ordered import numbered, ranged, sum_before, trailing_count, with_previous
 from shelfmark.plans import enrich, quality_report, register
 from shelfmark.refdata import Taxonomy
 from shelfmark.sources import cache as ch
@@ -31,13 +31,31 @@ def log(spark, n=400):
         "ts", F.timestamp_seconds("s"))
 
 
-def test_bucketed_order_equals_window(spark):
-    df = log(spark)
+def test_order_in_ranges_equals_window(spark):
+    df = log(spark).unionByName(spark.createDataFrame(
+        [(None, 5, 900, "x"), (None, 4, 901, "y"), ("hot", None, 902, "z")], "k string, s long, id int, v string")
+        .withColumn("ts", F.timestamp_seconds("s")))
     w = Window.partitionBy("k").orderBy("ts", "id")
-    want = {r.id: (r.n, r.p) for r in df.withColumn("n", F.row_number().over(w)).withColumn("p", F.lag("v").over(w)).collect()}
-    got = {r.id: (r.n, r.p) for r in with_previous(df, "k", "ts", ["id"], "v", "p", number="n").collect()}
-    assert got == want
+    want = {r.id: (r.n, r.p, r.t) for r in df.withColumn("n", F.row_number().over(w)).withColumn("p", F.lag("v").over(w))
+            .withColumn("t", F.count(F.lit(1)).over(Window.partitionBy("k"))).collect()}
+    for parts in (1, 7):
+        got = with_previous(df, "k", "ts", ["id"], "v", "p", number="n", total="t", parts=parts)
+        assert got.columns == [*df.columns, "p", "n", "t"]
+        assert {r.id: (r.n, r.p, r.t) for r in got.collect()} == want
     assert {r.id: r.n for r in numbered(df, "k", "ts", ["id"], "n").collect()} == {k: v[0] for k, v in want.items()}
+    sums = df.withColumn("s", F.coalesce(F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    assert ({r.id: r.b for r in sum_before(df, "k", ["ts", "id"], "id", "b", 5).collect()}
+            == {r.id: r.s for r in sums.collect()})
+    assert numbered(df.limit(0), "k", "ts", ["id"]).count() == 0
+
+
+def test_a_hot_key_in_one_second_takes_many_ranges(spark):
+    df = spark.range(6000).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id", "id % 5 AS v",
+                                      "timestamp_micros(1700000000000000 + IF(id % 3 = 0, id, id * 1000000)) AS ts")
+    sizes = [r["count"] for r in ranged(df, "k", ["ts", "id"], 12).where("k = 'hot'").groupBy("_part").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 1000 and len(sizes) >= 4
+    got = {r.id: r.n for r in numbered(df, "k", "ts", ["id"], "n", 12).where("k = 'hot'").collect()}
+    assert got == {k: k // 3 + 1 for k in range(0, 6000, 3)}
 
 
 def test_trailing_count_equals_window(spark):
@@ -45,6 +63,9 @@ def test_trailing_count_equals_window(spark):
     w = Window.partitionBy("k").orderBy("s").rangeBetween(-3000, 0)
     want = {r.id: r.n for r in df.withColumn("n", F.count(F.lit(1)).over(w)).collect()}
     assert {r.id: r.n for r in trailing_count(df, "k", "ts", 3000, "n").collect()} == want
+    odd = spark.createDataFrame([(None, 1, 1), ("a", None, 2), ("a", 7, 3), ("a", 7, 4)], "k string, s long, id int").withColumn(
+        "ts", F.timestamp_seconds("s"))
+    assert {r.id: r.n for r in trailing_count(odd, "k", "ts", 9, "n", 2).collect()} == {1: None, 2: None, 3: 2, 4: 2}
 
 
 def scan(spark, rows):
