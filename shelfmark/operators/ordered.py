@@ -95,19 +95,17 @@ def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, name: str = "
 
     A trailing range is the difference of two running counts, at its end and
     before its start. Rows of one key and time are counted before they are
-    shuffled, so the ordered table has two rows per distinct time.
+    shuffled, so the ordered table has two rows per distinct time: one where the
+    range starts, ahead of the rows of that time, and one where it ends.
     """
-    span = seconds * 1_000_000
     rows = df.withColumn("_us", F.unix_micros(F.col(ts)))
     counts = rows.where(F.col(key).isNotNull() & F.col("_us").isNotNull()).groupBy(key, "_us").agg(
         F.count(F.lit(1)).alias("_rows"))
-    marks = counts.select(key, F.inline(F.array(F.struct("_us", "_rows"), F.struct(
-        (F.col("_us") - span).alias("_us"), F.lit(0).cast("long").alias("_rows")))))
-    sums = materialize(sum_before(marks.groupBy(key, "_us").agg(F.sum("_rows").alias("_rows")), key, ["_us"], "_rows",
-                                  "_until", parts), "running_counts")
-    starts = sums.select(key, (F.col("_us") + span).alias("_us"), F.col("_until").alias("_outside"))
-    found = sums.where("_rows > 0").join(starts, [key, "_us"]).select(
-        F.col(key).alias("_key"), F.col("_us").alias("_at"),
-        (F.col("_until") + F.col("_rows") - F.col("_outside")).cast("bigint").alias(name))
+    start = F.struct((F.col("_us") - seconds * 1_000_000).alias("_place"), F.lit(0).alias("_end"), F.lit(0).cast("long").alias("_n"))
+    end = F.struct(F.col("_us").alias("_place"), F.lit(1).alias("_end"), F.col("_rows").alias("_n"))
+    sums = sum_before(counts.select(key, F.col("_us").alias("_at"), F.inline(F.array(start, end))), key, ["_place", "_end"],
+                      "_n", "_until", parts)
+    found = sums.groupBy(F.col(key).alias("_key"), "_at").agg(
+        F.sum(F.when(F.col("_end") == 1, F.col("_until") + F.col("_n")).otherwise(-F.col("_until"))).cast("bigint").alias(name))
     return rows.join(found, (F.col(key) == F.col("_key")) & (F.col("_us") == F.col("_at")), "left").drop(
         "_us", "_key", "_at")
