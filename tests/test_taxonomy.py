@@ -113,3 +113,20 @@ def test_search_finds_grandchildren(spark):
     albums = spark.createDataFrame([("a", ["mathcore"]), ("b", ["Metalcore", "x"]), ("c", ["METAL"]), ("d", ["jazz"]), ("e", [])],
                                    "album_key string, genres array<string>")
     assert {r.album_key for r in gn.albums_with_category(albums, "Metal", tax).collect()} == {"a", "b", "c"}
+
+
+def test_elements_do_not_carry_their_list(spark):
+    """A list of n names went along with each of them: n times the bytes."""
+    n, names = 4, 300
+    rows = spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(names)), lambda i: F.concat(
+        F.lit("name "), F.sha1(F.concat_ws("-", i, "id").cast("binary")))).alias("genres")).localCheckpoint()
+    tax = TaxonomyTables(rows.select(F.explode("genres").alias("variant"), F.lit("Known").alias("canonical")),
+                         spark.createDataFrame([("Known", "Above")], "child string, parent string"))
+    for frame, column, want in (
+            (gn.normalize_lists(rows, "genres", tax), "normalized", ["Above", "Known"]),
+            (gn.validate_lists(rows, "genres", tax).select("id", "checked.valid"), "valid", ["Known"] * names),
+            (gn.with_parents(rows.withColumn("genres", F.array_append("genres", F.lit("Known"))), "genres", tax, "o")
+             .select("id", F.slice("o", names + 1, 9).alias("o")), "o", ["Known", "Above"])):
+        assert [r[column] for r in frame.collect()] == [want] * n
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "_no#" in plan and "Aggregate [_list#" not in plan  # elements meet again by the number of their list
