@@ -121,3 +121,23 @@ def test_unknown_names_and_counts(spark):
     filled = albums.fillna("").fillna(0)
     found = {(r.key1, r.key2) for r in dedup.duplicate_pairs(albums).collect()}
     assert found == brute(spark, filled, 0.85)
+
+
+def test_titles_of_common_pieces_are_compared_in_blocks(spark, monkeypatch):
+    """Their pieces of three letters are in most of them, so that meeting by pieces made more rows than there are pairs."""
+    rnd = random.Random(7)
+    titles = ["".join(rnd.choices(["th", "er", "in", "on", "an "], k=14)) for _ in range(60)]
+    titles += [t[:9] + "x" + t[10:] for t in titles[:20]]
+    rows = [(f"k{i:04d}", rnd.choice(["tionsh.example.net", "tionth.example.net"]), t, 5) for i, t in enumerate(titles)]
+    albums = spark.createDataFrame(rows, "album_key string, artist string, album string, track_count long")
+    written = {}
+
+    def kept(frame, name, write=dedup.materialize):
+        written.setdefault(name, []).append(write(frame, name))
+        return written[name][-1]
+    monkeypatch.setattr(dedup, "materialize", kept)
+    monkeypatch.setattr(dedup, "BLOCK", 16)
+    got = [(r.key1, r.key2) for r in dedup.duplicate_pairs(albums).collect()]
+    assert set(got) == brute(spark, albums, 0.85) and len(got) == len(set(got)) and len(got) >= 15
+    close = written["close"][0]
+    assert close.where("common").count() == 0 and close.where("many").count() > 0
