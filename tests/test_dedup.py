@@ -1,11 +1,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as tx
-from shelfmark.operators import dedup
+from shelfmark.operators import blocks, dedup, quality
 
 
 def brute(spark, albums, threshold):
@@ -141,3 +142,67 @@ def test_titles_of_common_pieces_are_compared_in_blocks(spark, monkeypatch):
     assert set(got) == brute(spark, albums, 0.85) and len(got) == len(set(got)) and len(got) >= 15
     close = written["close"][0]
     assert close.where("common").count() == 0 and close.where("many").count() > 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("longest", [1, 7, 8, 16, 31, 33, 63, 70])
+def test_edit_distances_of_many_pairs(longest):
+    rnd = random.Random(longest)
+    xs, ys = (["ab" * (longest % 2) + "".join(rnd.choices("abé\U0001F600", k=rnd.randint(0, longest))) for _ in range(n)]
+              for n in (20, 15))
+    x, y = blocks.numbered(xs, ys)
+    i, j = (g.ravel() for g in np.indices((20, 15)))
+    for p, q, found in zip(i, j, blocks.edits(x, y)(i, j)):
+        assert found == distance(xs[p], ys[q]) or (found == 0 and len(xs[p]) > blocks.WORD)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_albums_compared_in_blocks_equal_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(dedup, "_blocks_pay", lambda sig, budget: sig.count())
+    monkeypatch.setattr(blocks, "BLOCKS", 3)
+    albums = library(spark, seed)
+    threshold = [0.85, 0.6, 0.75][seed]
+    got = [(r.key1, r.key2) for r in dedup.duplicate_pairs(albums, threshold).collect()]
+    assert set(got) == brute(spark, albums, threshold) and len(got) == len(set(got))
+
+
+def test_numbered_series_write_no_pairs_of_close_names(spark, monkeypatch):
+    """Close artists and close titles of a series are far more than the albums close in both."""
+    rnd = random.Random(8)
+    rows = [(f"k{i:04d}", f"customer#{rnd.randrange(900):09d}", f"unplugged collection {i * 37}", 1 + i % 7) for i in range(900)]
+    albums = spark.createDataFrame(rows, "album_key string, artist string, album string, track_count long")
+    written = []
+
+    def kept(frame, name, write=dedup.materialize):
+        written.append(name)
+        return write(frame, name)
+    monkeypatch.setattr(dedup, "materialize", kept)
+    monkeypatch.setattr(dedup, "LEAST_IN_BLOCKS", 500, raising=False)
+    got = [(r.key1, r.key2) for r in dedup.duplicate_pairs(albums).collect()]
+    assert "close" not in written
+    assert set(got) == brute(spark, albums, 0.85) and len(got) == len(set(got))
+
+
+def test_issues_name_both_albums_with_and_without_repeated_keys(spark):
+    rows = [("a", "Some Artist", "Some Title", 3), ("b", "some artist", "some titel", 3), (None, "Some Artist", "Some Titlee", 3)]
+    schema = "album_key string, artist string, album string, track_count long"
+
+    def found(rows):
+        return sorted((r.album_key, r.artist, r.description.split(" (")[0]) for r in
+                      quality.duplicate_issues(spark.createDataFrame(rows, schema)).collect())
+    pair = ("a", "Some Artist", 'Potential duplicate: "some artist - some titel"')
+    itself = [("a", "Some Artist", 'Potential duplicate: "Some Artist - Some Title"'),
+              ("b", "some artist", 'Potential duplicate: "some artist - some titel"')]
+    assert found(rows) == sorted([pair, *itself])
+    assert found([*rows, ("b", "Other", "Unlike all", 9)]) == sorted(
+        [pair, ("a", "Some Artist", 'Potential duplicate: "Other - Unlike all"'), itself[0], itself[1],
+         ("b", "some artist", 'Potential duplicate: "Other - Unlike all"'), ("b", "Other", itself[1][2]),
+         ("b", "Other", 'Potential duplicate: "Other - Unlike all"')])
