@@ -191,6 +191,41 @@ def test_numbered_series_write_no_pairs_of_close_names(spark, monkeypatch):
     assert set(got) == brute(spark, albums, 0.85) and len(got) == len(set(got))
 
 
+def test_few_artists_of_many_titles_are_compared_in_blocks(spark, monkeypatch):
+    """Each artist's titles were compared pair by pair in a join, and those of every close artist's with them."""
+    rnd = random.Random(9)
+    titles = ["".join(rnd.choices(["th", "er", "in", "on", "an "], k=14)) for _ in range(560)]
+    titles += [t[:9] + "x" + t[10:] for t in titles[:40]]
+    hosts = ["tionsh.example.net", "tionth.example.net", "blog.ththre.example.org"]
+    rows = [(f"k{i:04d}", rnd.choice(hosts), t, rnd.choice([0, 5, 6])) for i, t in enumerate(titles)]
+    albums = spark.createDataFrame(rows, "album_key string, artist string, album string, track_count long")
+    written = []
+
+    def kept(frame, name, write=dedup.materialize):
+        written.append(name)
+        return write(frame, name)
+    monkeypatch.setattr(dedup, "materialize", kept)
+    monkeypatch.setattr(dedup, "LEAST_IN_BLOCKS", 500)
+    monkeypatch.setattr(blocks, "MANY_ROWS", 8)
+    got = [(r.key1, r.key2) for r in dedup.duplicate_pairs(albums).collect()]
+    assert "close" not in written
+    assert set(got) == brute(spark, albums, 0.85) and len(got) == len(set(got)) and len(got) >= 15
+
+
+def test_rows_go_to_the_blocks_that_may_hold_a_partner(spark):
+    rows = [(f"some artist {i}", ["unplugged collection", "greatest hits"][i % 2] + f" {i}", 1) for i in range(400)]
+    frame = spark.createDataFrame(rows, "a string, t string, n long")
+    held = frame.repartitionByRange(8, "t").withColumn("block", F.spark_partition_id()).cache()
+    kind = F.substring("t", 1, 3)
+    at = {(r.block, r.kind) for r in held.select("block", kind.alias("kind")).distinct().collect()}
+    dealt = blocks.units(held, 8, 0.85)
+    assert dealt.where("u = v").count() == 400
+    assert dealt.where("block NOT IN (u, v)").isEmpty()
+    for r in dealt.select(kind.alias("kind"), F.when(F.col("block") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("other")
+                          ).distinct().collect():
+        assert (r.other, r.kind) in at
+
+
 def test_issues_name_both_albums_with_and_without_repeated_keys(spark):
     rows = [("a", "Some Artist", "Some Title", 3), ("b", "some artist", "some titel", 3), (None, "Some Artist", "Some Titlee", 3)]
     schema = "album_key string, artist string, album string, track_count long"
