@@ -191,6 +191,31 @@ def test_numbered_series_write_no_pairs_of_close_names(spark, monkeypatch):
     assert set(got) == brute(spark, albums, 0.85) and len(got) == len(set(got))
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.7])
+def test_numbered_series_are_put_together_from_parts(monkeypatch, threshold):
+    """Every pair of two blocks within the threshold, by tables of the first and last parts of their names."""
+    monkeypatch.setattr(blocks, "FEWER", 1)
+    monkeypatch.setattr(blocks, "SLICE", 100)
+    monkeypatch.setattr(blocks, "RARE", 30)
+    rnd = random.Random(5)
+
+    def side(n):
+        return ([rnd.choice(["", "dj "]) + f"customer#{rnd.randrange(90):04d}" for _ in range(n)],
+                [f"studio {rnd.randrange(1, 2000)}" for _ in range(n)], np.array([rnd.choice([0, 1, 2, 7]) for _ in range(n)]))
+    (a1, t1, n1), (a2, t2, n2) = side(300), side(250)
+    (xa, ya), (xt, yt) = blocks.numbered(a1, a2), blocks.numbered(t1, t2)
+    found = blocks.met_in_parts((xa, ya), (xt, yt), n1, n2, threshold)
+    assert found is not None
+    met = [(int(p), int(q)) for i, j, _ in found for p, q in zip(i, j)]
+    assert len(met) == len(set(met)) < 300 * 250 * (0.5 if threshold == 0.85 else 0.8)
+    apart_a, apart_t = (blocks.edits(x, y) for x, y in ((xa, ya), (xt, yt)))
+    i, j = (g.ravel() for g in np.indices((300, 250)))
+    alike = (0.4 * (1 - apart_a(i, j) / np.maximum(xa.size[i], ya.size[j])) + 0.1 * blocks.count_similarity(n1[i], n2[j])
+             + 0.5 * (1 - apart_t(i, j) / np.maximum(xt.size[i], yt.size[j])))
+    near = alike >= threshold
+    assert near.sum() > 20 and set(zip(i[near].tolist(), j[near].tolist())) <= set(met)
+
+
 def test_few_artists_of_many_titles_are_compared_in_blocks(spark, monkeypatch):
     """Each artist's titles were compared pair by pair in a join, and those of every close artist's with them."""
     rnd = random.Random(9)
