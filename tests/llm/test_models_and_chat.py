@@ -251,6 +251,27 @@ def test_quote_links_match_plain_comparison(spark):
     assert {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in quote_chat.links(frame).collect()} == expected
 
 
+def test_shingles_stay_with_their_conversation_unless_it_is_large(spark, monkeypatch):
+    """Only the shingles of large conversations are shuffled; both ways give the same links and the same replies."""
+    texts = ["one two three four five six seven", "eight nine ten eleven twelve one two three four five", "Thanks", "a b c d e f g h"]
+    rows = [(c, t, "user", texts[(c + t) % 4] + f"\nmore of {t % 3} and so on and on") for c in (1, 2, 3) for t in range(9)]
+    rows += [(1, 4, "user", texts[0]), (None, 1, "user", texts[1]), (2, None, "user", texts[2]), (3, 2, "user", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def outcome():
+        replies = quote_chat.quoting(frame).cache()
+        linked = quote_chat.links(replies.select("conv_id", "turn", "text"))
+        plan = linked._jdf.queryExecution().executedPlan().toString()
+        moved = any("hashpartitioning" in line and "gram" in line for line in plan.splitlines())
+        return moved, sorted(map(str, replies.collect())), sorted(map(str, quote_chat.format_chat(replies).collect()))
+    moved, *small = outcome()
+    assert not moved
+    for messages in (0, 9):  # all conversations, the one with a repeated turn
+        monkeypatch.setattr(quote_chat, "MESSAGES", messages)
+        moved, *found = outcome()
+        assert moved and found == small
+
+
 def test_wrapped_edited_and_common_quotes(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     rows = [(1, 0, "one two three four five six seven eight\nThanks,"), (1, 1, "Thanks,\nother words"),
